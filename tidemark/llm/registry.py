@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .fingerprint import op3_scaled_fingerprint
 from .jaccard_join import OP7_SQL, op7_ngram_jaccard_join
+from .line_dedup import OP9_SQL, op9_line_dedup
+from .quality import op5_quality
+from .sharding import OP10_SQL, op10_rendezvous_sharding
+from .toxicity import op8_toxicity
+from .url_filter import OP2_SQL, op2_url_filter
 
 
 def queries() -> dict:
-    found = [op7_ngram_jaccard_join]
+    found = [op2_url_filter, op3_scaled_fingerprint, op5_quality, op7_ngram_jaccard_join, op8_toxicity, op9_line_dedup, op10_rendezvous_sharding]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard_join": OP7_SQL}
+    return {"op2_url_filter": OP2_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_rendezvous_sharding": OP10_SQL}
