@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_benchmark_decontamination
 from .fingerprint import op3_scaled_fingerprint
 from .jaccard_join import OP7_SQL, op7_ngram_jaccard_join
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .lm_score import op4_lm_score
 from .quality import op5_quality
+from .sentencepiece import op6_sentencepiece
 from .sharding import OP10_SQL, op10_rendezvous_sharding
 from .toxicity import op8_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 
 def queries() -> dict:
-    found = [op2_url_filter, op3_scaled_fingerprint, op5_quality, op7_ngram_jaccard_join, op8_toxicity, op9_line_dedup, op10_rendezvous_sharding]
+    found = [
+        op1_benchmark_decontamination, op2_url_filter, op3_scaled_fingerprint, op4_lm_score, op5_quality,
+        op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_line_dedup, op10_rendezvous_sharding,
+    ]
     return {f.__name__: f for f in found}
 
 
