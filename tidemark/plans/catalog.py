@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparisons, sessions
+from . import comparisons, forecasts, series, sessions
 
-MODULES = (sessions, comparisons)
+MODULES = (sessions, comparisons, series, forecasts)
 
 
 def queries() -> dict:
