@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparisons, forecasts, series, sessions
+from . import comparisons, forecasts, series, sessions, texts
 
-MODULES = (sessions, comparisons, series, forecasts)
+MODULES = (sessions, comparisons, series, forecasts, texts)
 
 
 def queries() -> dict:

@@ -1,0 +1,258 @@
+"""Queries over text, semi-structured sources, sinks and streams (their batch form)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import commands as K
+from ..functions import scalars as S
+from ..operators import metrics as M
+from ..sources import exports as X
+from ..sources import git as G
+from ..sources import otlp as O
+from ..sources import transcripts as R
+from ..streaming import ingest as I
+from .staging import ACTIVITIES_SQL, activities, table
+
+ACT = "WITH " + ACTIVITIES_SQL
+COMMANDS = (
+    "uv run pytest tests/unit -x", "git status", "CI= uv run ruff format . && uv run ruff check . && uv run pytest", "npm run build", "ls -la | head", "pytest --benchmark-only",
+    "cargo test ; echo done", "mypy src | tail", "foo --bar", "python -m pytest", "git add . && git commit _", "uv sync && pytest -k name",
+)
+
+
+def q_secret_scrub(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", S.scrub(F.col("text")).alias("text"), S.secret_count(F.col("text")).cast("int").alias("secrets"))
+
+
+def q_planted_scrub(spark, d):
+    """Secrets of each kind planted in order keys, numbered in the order of the text."""
+    kinds = ["AKIA{d}", "sk-ant-{d}", "sk-{d}", "ghp_{d}", "Bearer {d}", "TOKEN={d}{d}", "plain {d}"]
+    digits = F.lpad(F.col("o_orderkey").cast("string"), 16, "0")
+    text = F.lit("")
+    for i, k in enumerate(kinds):
+        text = F.concat(text, F.when((F.col("o_orderkey") % (i + 2)) == 0, F.concat(F.lit(f" {i}: "), F.replace(F.lit(k), F.lit("{d}"), digits))).otherwise(""))
+    return table(spark, d, "orders").select("o_orderkey", S.numbered(S.scrub(text)).alias("text"))
+
+
+def q_iso_week(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", S.iso_week("o_orderdate").alias("week"))
+
+
+def q_version_sort(spark, d):
+    v = F.concat((F.col("p_size") % 12).cast("string"), F.lit("."), (F.col("p_partkey") % 13).cast("string"), F.when(F.col("p_partkey") % 9 == 0, F.lit(".x")).otherwise(F.lit(".0")))
+    rows = table(spark, d, "part").select("p_partkey", v.alias("version"))
+    return rows.orderBy(S.version_numbers(F.col("version")).asc_nulls_last(), "version", "p_partkey").limit(200).select("p_partkey", "version", S.major(F.col("version")).alias("major"))
+
+
+def q_canonical_json(spark, d):
+    entries = F.create_map(F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"), F.lit("name"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")))
+    j = S.canonical_json(entries)
+    return table(spark, d, "part").select("p_partkey", j.alias("json"), S.hashed_id("p", j).alias("id"))
+
+
+def q_allowlist_projection(spark, d):
+    payload = F.from_json("props", "map<string,string>")
+    wide = F.map_concat(payload, F.create_map(F.lit("prompt"), F.lit("x"), F.lit("kind"), F.col("event_type")))
+    e = table(spark, d, "events").withColumn("payload", wide)
+    return e.select("event_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(S.allowed_only(F.col("payload"), ["k", "kind"]))))).alias("payload"), F.array_join(S.dropped_keys(F.col("payload"), ["k", "kind"]), ",").alias("dropped"))
+
+
+def q_bound_payload(spark, d):
+    payload = F.create_map(F.lit("a"), F.col("p_name"), F.lit("b"), F.repeat("p_brand", (F.col("p_size") % 4).cast("int")), F.lit("c"), F.col("p_type"))
+    out = S.bound_payload(payload, 50)
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.map_keys(out)), ",").alias("kept"))
+
+
+def q_snake_case(spark, d):
+    name = F.concat(F.initcap("p_name"), F.lit("HTTPServer"), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select("p_partkey", S.snake(F.regexp_replace(name, " ", "")).alias("name"))
+
+
+def q_exit_codes(spark, d):
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Exit code "), (F.col("o_orderkey") % 128).cast("string"), F.lit("\nout"))).when(F.col("o_orderkey") % 3 == 1, F.lit("ok Exit code 1")).otherwise(F.lit("Exit code x"))
+    return table(spark, d, "orders").select("o_orderkey", S.exit_code(text).alias("exit_code"))
+
+
+def q_path_fold(spark, d):
+    """Of each session's paths: distinct top folders, test files, and files below one folder."""
+    a = activities(spark, d).where("path is not null").withColumn("p", F.when(F.col("k") % 10 == 0, F.concat(F.lit("tests/"), F.col("path"))).otherwise(F.col("path")))
+    return a.groupBy("capture_id").agg(F.countDistinct(F.split("p", "/")[0]).alias("tops"), F.count_if(S.is_test_path(F.col("p"))).alias("test_files"), F.count_if(S.under(F.col("p"), "src/d1")).alias("under_d1"))
+
+
+def _commands(spark, d):
+    listed = F.lit(list(COMMANDS))
+    return table(spark, d, "orders").select("o_orderkey", F.element_at(listed, (F.col("o_orderkey") % len(COMMANDS) + 1).cast("int")).alias("command"))
+
+
+def q_command_category(spark, d):
+    c = F.col("command")
+    return _commands(spark, d).select("o_orderkey", "command", K.category(c).alias("category"), K.exit_masked(c).alias("masked"), K.scope(c).alias("scope"))
+
+
+def q_otlp_logs(spark, d):
+    """Events packed as OTLP bodies of 50 records and unnested again."""
+    e = table(spark, d, "events").withColumn("batch", F.floor(F.col("event_id") / 50))
+    text = lambda v: F.struct(v.cast("string").alias("stringValue"))
+    record = F.struct(
+        F.format_string("%d000", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).alias("timeUnixNano"), text(F.col("event_type")).alias("body"),
+        F.array(F.struct(F.lit("user").alias("key"), text(F.col("user_id")).alias("value")), F.struct(F.lit("id").alias("key"), text(F.col("event_id")).alias("value"))).alias("attributes"),
+    )
+    body = e.groupBy("batch").agg(F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit("service").alias("key"), F.struct(F.lit("s").alias("stringValue")).alias("value"))).alias("attributes")).alias("resource"), F.array(F.struct(F.collect_list(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))).alias("body"))
+    rows = O.log_records(body, "body", "batch")
+    return rows.select(F.col("attributes")["id"].cast("long").alias("event_id"), F.col("attributes")["user"].cast("long").alias("user_id"), F.col("body").alias("event_type"), F.col("resource")["service"].alias("service"), F.expr("cast(time_nanos as bigint) div 1000").alias("micros"))
+
+
+def q_otlp_metrics(spark, d):
+    e = table(spark, d, "events").withColumn("batch", F.floor(F.col("event_id") / 50)).where("event_type in ('click', 'view')")
+    point = F.struct(F.array(F.struct(F.lit("id").alias("key"), F.struct(F.col("event_id").cast("string").alias("intValue")).alias("value"))).alias("attributes"), F.col("value").alias("asDouble"))
+    packed = e.groupBy("batch").agg(F.collect_list(F.when(F.col("event_type") == "click", point)).alias("s"), F.collect_list(F.when(F.col("event_type") == "view", point)).alias("g"))
+    metric = F.struct(F.lit("m").alias("name"), F.struct(F.col("s").alias("dataPoints")).alias("sum"), F.struct(F.col("g").alias("dataPoints")).alias("gauge"))
+    body = packed.select("batch", F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"))).alias("body"))
+    return O.metric_points(body, "body", "batch").select(F.col("attributes")["id"].cast("long").alias("event_id"), "kind", "value")
+
+
+def _lines(spark, d):
+    """Conversation turns as transcript lines; every seventh conversation's are cut short."""
+    c = table(spark, d, "conversations")
+    block = F.struct(F.lit("text").alias("type"), F.substring("text", 1, 20).alias("text"))
+    call = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("id"), F.lit("Read").alias("name"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - 1).alias("tool_use_id"), (F.col("conv_id") % 3 == 0).alias("is_error"))
+    body = lambda *blocks: F.concat(F.lit('{"type":"'), F.col("role"), F.lit('","sessionId":"'), F.col("conv_id"), F.lit('","uuid":"'), F.col("turn"), F.lit('","message":{"role":"'), F.col("role"), F.lit('","content":['), F.concat_ws(",", *[F.to_json(b) for b in blocks]), F.lit("]}}"))
+    value = F.when(F.col("role") == "assistant", body(block, call)).otherwise(body(block, result))
+    return c.select("conv_id", "turn", F.when(F.col("conv_id") % 7 == 0, F.substring(value, 1, 25)).otherwise(value).alias("value"))
+
+
+def q_dead_letter(spark, d):
+    good, bad = R.parse_lines(_lines(spark, d))
+    return good.select("conv_id", "turn", F.lit("row").alias("kind")).unionByName(bad.select("conv_id", "turn", F.lit("letter").alias("kind")))
+
+
+def q_content_counts(spark, d):
+    good, _ = R.parse_lines(_lines(spark, d))
+    return good.select("conv_id", "turn", *[c.cast("int").alias(n) for n, c in R.content_counts(F.col("message.content"), ("text", "tool_use", "tool_result")).items()])
+
+
+def q_tool_calls(spark, d):
+    good, _ = R.parse_lines(_lines(spark, d))
+    return R.calls(good).select(F.col("sessionId").alias("session"), "call_id", "name", "failed")
+
+
+def q_file_changes(spark, d):
+    p = table(spark, d, "part")
+    as_list = F.concat(F.lit('[{"path":"a'), F.col("p_partkey"), F.lit('","kind":"update"},{"path":"b","kind":"add"}]'))
+    as_map = F.concat(F.lit('{"m'), F.col("p_partkey"), F.lit('":{"kind":"delete"}}'))
+    return R.file_changes(p.withColumn("changes", F.when(F.col("p_partkey") % 2 == 0, as_list).otherwise(as_map)), "changes", "p_partkey")
+
+
+def q_numstat_totals(spark, d):
+    """Orders as commits: their lines in numstat form, parsed, and totals unknown where a binary file is."""
+    l = table(spark, d, "lineitem")
+    binary = F.col("l_partkey") % 50 == 0
+    line = F.concat_ws("\t", F.when(binary, "-").otherwise(F.col("l_quantity").cast("int").cast("string")), F.when(binary, "-").otherwise(F.col("l_linenumber").cast("string")), F.concat(F.lit("src/p"), F.col("l_partkey"), F.lit(".py")))
+    text = l.groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("numstat"))
+    return G.totals(G.numstat(text, "numstat", "l_orderkey"), "l_orderkey")
+
+
+def q_diff_rework(spark, d):
+    """Orders of a customer as commits with diffs; which one's added lines the next three remove."""
+    from .comparisons import _lineage
+
+    rows = _lineage(spark, d).where("o_custkey < 400")
+    diff = F.concat(
+        F.lit("--- a/f.py\n+++ b/f.py\n@@ -1 +1 @@\n+price = "), (F.col("o_orderkey") % 7).cast("string"), F.lit("\n-price = "), ((F.col("o_orderkey") + 3) % 7).cast("string"), F.lit("\n+ab\n context\n"),
+    )
+    lines = G.diff_lines(rows.withColumn("diff", diff), "diff", "o_custkey", "idx")
+    return G.reworked(lines, "o_custkey", "idx")
+
+
+def _stored(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    incoming = o.where("o_orderkey % 4 = 0").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 8 == 0, 10_000_000).otherwise(0)).alias("o_orderkey"), F.when(F.col("o_orderkey") % 12 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_custkey")
+    return o, incoming
+
+
+def q_upsert_by_id(spark, d):
+    return X.upsert(*_stored(spark, d), "o_orderkey")
+
+
+def q_fresh_only_import(spark, d):
+    o, incoming = _stored(spark, d)
+    return X.fresh_only(incoming.unionByName(incoming), o, "o_orderkey")
+
+
+def q_import_conflicts(spark, d):
+    o, incoming = _stored(spark, d)
+    return X.conflicts(incoming, o, "o_orderkey").select("o_orderkey", F.array_join("columns", ",").alias("columns"))
+
+
+def q_purge(spark, d):
+    return X.purge(table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+
+
+def q_resanitize(spark, d):
+    """Rows that a second cleaning changes: none but the ones that held secrets at first."""
+    docs = table(spark, d, "documents")
+    once = S.scrub(F.col("text"))
+    return docs.select("doc_id", (once != F.col("text")).alias("changed"), (S.scrub(once) == once).alias("stable")).where("changed or not stable")
+
+
+def q_debounce_sessions(spark, d):
+    a = activities(spark, d).where(M.is_edit())
+    return I.debounce(a.select("capture_id", "ts", "path"), "capture_id", "ts", "path", "6 hours").select("capture_id", "started", "fires", "triggers")
+
+
+def q_first_seen(spark, d):
+    return I.first_seen(activities(spark, d).select("capture_id", "ts", "activity_id"), "capture_id", "ts")
+
+
+def q_session_conflicts(spark, d):
+    a = activities(spark, d).where(M.is_request())
+    return I.session_map(a.select("capture_id", "model", "ts"), "capture_id", "model", "ts")
+
+
+QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
+_RE = [S.KEY_HEADER + r"[\s\S]*?" + S.KEY_FOOTER, *S.SECRETS[1:]]
+
+
+def _scrubbed(c: str) -> str:
+    for p in _RE:
+        c = f"regexp_replace({c}, '{p}', '<redacted>', 'g')"
+    # the engine has no look-behind: what stands in front is kept by a group
+    return f"regexp_replace({c}, '(^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]{{0,63}}=)([A-Za-z0-9+/=_-]{{32,}})', '\\1\\2<redacted>', 'g')"
+
+
+_CAT = {0: ("test", "targeted", False), 1: ("git", None, False), 2: ("test", "full", False), 3: ("build", None, False), 4: ("shell", None, False), 5: ("benchmark", None, False), 6: ("test", "full", True), 7: ("typecheck", None, True), 8: ("unknown", None, False), 9: ("test", "full", False), 10: ("git", None, False), 11: ("test", "targeted", False)}
+_VALUES = ", ".join(f"({i}, '{COMMANDS[i]}', '{c}', {'NULL' if s is None else chr(39) + s + chr(39)}, {str(m).lower()})" for i, (c, s, m) in _CAT.items())
+_PLANT = " || ".join(f"CASE WHEN o_orderkey % {i + 2} = 0 THEN ' {i}: ' || {x} ELSE '' END" for i, x in enumerate(["'@'"] * 5 + ["'TOKEN=@'", "'plain ' || lpad(o_orderkey::VARCHAR, 16, '0')"]))
+SQL = {
+    "secret_scrub": f"SELECT doc_id, {_scrubbed('text')} AS text, ((length({_scrubbed('text')}) - length(replace({_scrubbed('text')}, '<redacted>', ''))) // 10 - (length(text) - length(replace(text, '<redacted>', ''))) // 10)::INTEGER AS secrets FROM documents",
+    "planted_scrub": f"WITH p AS (SELECT o_orderkey, string_split({_PLANT}, '@') AS x FROM orders) SELECT o_orderkey, x[1] || array_to_string(list_transform(x[2:], lambda s, i: '<redacted:' || i || '>' || s), '') AS text FROM p",
+    "iso_week": "SELECT o_orderkey, printf('%04d-W%02d', isoyear(o_orderdate), weekofyear(o_orderdate)) AS week FROM orders",
+    "version_sort": "WITH v AS (SELECT p_partkey, (p_size % 12) || '.' || (p_partkey % 13) || CASE WHEN p_partkey % 9 = 0 THEN '.x' ELSE '.0' END AS version FROM part) SELECT p_partkey, version, regexp_extract(version, '^[^.]*\\.[^.]*') AS major FROM v ORDER BY CASE WHEN version LIKE '%x' THEN 1 ELSE 0 END, CASE WHEN version LIKE '%x' THEN NULL ELSE list_transform(string_split(version, '.'), lambda p: try_cast(p AS INTEGER)) END, version, p_partkey LIMIT 200",
+    "canonical_json": "WITH j AS (SELECT p_partkey, '{\"brand\":\"' || p_brand || '\",\"name\":' || CASE WHEN p_partkey % 5 <> 0 THEN '\"' || p_name || '\"' ELSE 'null' END || ',\"type\":\"' || p_type || '\"}' AS json FROM part) SELECT p_partkey, json, 'p_' || substr(sha256(json), 1, 24) AS id FROM j",
+    "allowlist_projection": "SELECT event_id, '{\"k\":\"' || json_extract_string(props, '$.k') || '\",\"kind\":\"' || event_type || '\"}' AS payload, 'prompt' AS dropped FROM events",
+    "bound_payload": """WITH e AS (SELECT p_partkey, unnest(['a', 'b', 'c']) AS key, unnest([p_name, repeat(p_brand, p_size % 4), p_type]) AS value FROM part), w AS (SELECT *, 7 + strlen(value) AS w FROM e),
+      c AS (SELECT *, sum(w) OVER (PARTITION BY p_partkey ORDER BY w, key) AS used FROM w) SELECT p_partkey, coalesce(string_agg(key, ',' ORDER BY key) FILTER (used <= 50), '') AS kept FROM c GROUP BY 1""",
+    "snake_case": "WITH n AS (SELECT p_partkey, replace(array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || 'HTTPServer' || p_size, ' ', '') AS name FROM part) SELECT p_partkey, lower(regexp_replace(regexp_replace(name, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS name FROM n",
+    "exit_codes": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 128)::INTEGER END AS exit_code FROM orders",
+    "path_fold": ACT + ", p AS (SELECT capture_id, CASE WHEN k % 10 = 0 THEN 'tests/' || path ELSE path END AS p FROM act WHERE path IS NOT NULL) SELECT capture_id, count(DISTINCT string_split(p, '/')[1]) AS tops, count(*) FILTER (starts_with(p, 'tests/')) AS test_files, count(*) FILTER (p = 'src/d1' OR starts_with(p, 'src/d1/')) AS under_d1 FROM p GROUP BY 1",
+    "command_category": f"SELECT o_orderkey, command, category, masked, scope FROM orders JOIN (VALUES {_VALUES}) c(i, command, category, scope, masked) ON i = o_orderkey % {len(COMMANDS)}",
+    "otlp_logs": "SELECT event_id, user_id, event_type, 's' AS service, epoch_us(ts) AS micros FROM events",
+    "otlp_metrics": "SELECT event_id, CASE event_type WHEN 'click' THEN 'sum' ELSE 'gauge' END AS kind, value FROM events WHERE event_type IN ('click', 'view')",
+    "dead_letter": "SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN 'letter' ELSE 'row' END AS kind FROM conversations",
+    "content_counts": "SELECT conv_id, turn, 1 AS text_blocks, (role = 'assistant')::INTEGER AS tool_use_blocks, (role <> 'assistant')::INTEGER AS tool_result_blocks FROM conversations WHERE conv_id % 7 <> 0",
+    "tool_calls": "SELECT a.conv_id::VARCHAR AS session, 'c' || a.conv_id || '-' || a.turn AS call_id, 'Read' AS name, CASE WHEN b.conv_id IS NOT NULL THEN a.conv_id % 3 = 0 END AS failed FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role <> 'assistant' WHERE a.role = 'assistant' AND a.conv_id % 7 <> 0",
+    "file_changes": "SELECT p_partkey, 'a' || p_partkey AS path, 'update' AS kind FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'b', 'add' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'm' || p_partkey, 'delete' FROM part WHERE p_partkey % 2 <> 0",
+    "numstat_totals": "SELECT l_orderkey, count(*) AS files, CASE WHEN bool_and(l_partkey % 50 <> 0) THEN sum(l_quantity::INTEGER)::BIGINT END AS added, CASE WHEN bool_and(l_partkey % 50 <> 0) THEN sum(l_linenumber)::BIGINT END AS removed FROM lineitem GROUP BY 1",
+    "diff_rework": "WITH l AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS idx FROM orders WHERE o_custkey < 400) SELECT a.o_custkey, a.idx, min(b.idx) AS \"by\" FROM l a JOIN l b ON a.o_custkey = b.o_custkey AND b.idx BETWEEN a.idx + 1 AND a.idx + 3 AND a.o_orderkey % 7 = (b.o_orderkey + 3) % 7 GROUP BY ALL",
+    "upsert_by_id": "WITH i AS (SELECT o_orderkey + CASE WHEN o_orderkey % 8 = 0 THEN 10000000 ELSE 0 END AS o_orderkey, CASE WHEN o_orderkey % 12 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 4 = 0) SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM i) UNION ALL SELECT * FROM i",
+    "fresh_only_import": "SELECT o_orderkey + 10000000 AS o_orderkey, CASE WHEN o_orderkey % 12 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 8 = 0",
+    "import_conflicts": "SELECT o_orderkey, 'o_orderstatus' AS columns FROM orders WHERE o_orderkey % 12 = 0 AND o_orderkey % 8 <> 0 AND o_orderstatus <> 'X'",
+    "purge": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "resanitize": f"SELECT doc_id, true AS changed, true AS stable FROM documents WHERE {_scrubbed('text')} <> text",
+    "debounce_sessions": ACT + ", e AS (SELECT capture_id, ts, sum(gap::INT) OVER (PARTITION BY capture_id ORDER BY ts) AS burst FROM (SELECT capture_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY capture_id ORDER BY ts) > INTERVAL 6 HOUR, false) AS gap FROM act WHERE kind = 'file_edit')) SELECT capture_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS fires, count(*) AS triggers FROM e GROUP BY capture_id, burst",
+    "first_seen": ACT + " SELECT capture_id, min(ts) AS ts, arg_min(activity_id, (ts, activity_id)) AS activity_id FROM act GROUP BY 1",
+    "session_conflicts": ACT + " SELECT capture_id, model, previous FROM (SELECT capture_id, model, lag(model) OVER (PARTITION BY capture_id ORDER BY ts, model) AS previous FROM act WHERE kind = 'model_request') WHERE model IS DISTINCT FROM previous",
+}
