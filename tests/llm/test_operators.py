@@ -1,0 +1,400 @@
+"""The numbered operators on small tables: brute force, edge cases and SQL."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, fingerprint, graph, jaccard_join, line_dedup, lm_score, quality, registry, sentencepiece, sharding, toxicity, url_filter
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+SCHEMA = "doc_id long, text string"
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def shingle_set(text, n):
+    w = words(text)
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def vocabulary(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Random texts with exact copies, near copies of several rates, a common line, nulls, empty and one-word texts."""
+    rng = random.Random(7)
+    vocab = vocabulary(rng, 400)
+    make = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    texts = [make(rng.randint(20, 120)) for _ in range(30)]
+    base = make(150)
+    for rate in (0.005, 0.01, 0.02, 0.05):
+        for _ in range(8):
+            texts.append(" ".join(rng.choice(vocab) if rng.random() < rate else w for w in base.split()))
+    texts += [texts[0]] * 4 + [texts[1].upper()] + ["one", "One", "two words", None, "", " \n\t ", "ü" * 30]
+    texts += ["common line of some words here\n" + make(12) for _ in range(40)]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_matches_sql(spark, duck, same, name):
+    same(registry.queries()[name](spark, SF), duck.sql(registry.oracle_sql()[name]))
+
+
+def components_brute(rows, n, num, den):
+    sets = {i: shingle_set(t, n) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and den * len(x & y) >= num * len(x | y):
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("n", "num", "den", "unit"), [(4, 85, 100, 2_000_000), (5, 80, 100, 2_000_000), (4, 85, 100, 900)])
+def test_jaccard_components(spark, corpus, monkeypatch, n, num, den, unit):
+    """unit 900 deals the near copies to several blocks, and FREQUENT 4 makes common signatures loud."""
+    if unit < 1000:
+        monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+    df = spark.createDataFrame(corpus, SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, n, num, den, unit).collect()}
+    assert got == components_brute(corpus, n, num, den)
+
+
+def test_jaccard_null_ids_repeats_and_empty(spark):
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None)]
+    got = sorted((r.doc_id or 0, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 3), (0, 3), (3, 3), (3, 3), (4, 4)]
+    assert jaccard_join.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_tree_links_equal_all_pairs():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = []
+    for _ in range(150):
+        own = rng.integers(0, 1 << 62, rng.integers(0, 14)).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[: rng.integers(30, 61)], own])))
+    ptr = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    links = jaccard_join.tree_links(np.concatenate(sets), ptr, 85, 100)
+    up = list(range(len(sets)))
+    root = lambda x: x if up[x] == x else root(up[x])
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    want = components_sets([set(s.tolist()) for s in sets])
+    assert [root(i) for i in range(len(sets))] == want
+
+
+def components_sets(sets):
+    up = list(range(len(sets)))
+    root = lambda x: x if up[x] == x else root(up[x])
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    return [root(i) for i in range(len(sets))]
+
+
+def test_components_of_paths(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_line_dedup_keeps_first_place(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, f"x\n{long}\ny"), (1, f"p\n{long}"), (3, None), (4, ""), (5, "\n\n"), (1, f"p\n{long}"), (None, f"{long}\nz"), (6, "same\nlines\nhere"), (7, "same\nlines\nhere"), (8, "é\r\nq")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, removed string").drop("removed")
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.line_dedup(df).collect()), key=str)
+    # null ids come first, so the row without an id holds the first place of the long line
+    want = sorted([(2, "x\ny"), (1, "p"), (3, None), (4, ""), (5, "\n\n"), (1, "p"), (None, f"{long}\nz"), (6, "same\nlines\nhere"), (7, ""), (8, "é\r\nq")], key=str)
+    assert got == want
+
+
+def test_line_dedup_boundaries_shift_with_the_lines(spark):
+    shared = [f"shared line number {i}" for i in range(30)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(["own a", "own b", *shared, "own c"]))]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].removed_lines == 0 and got[2].removed_lines >= 22
+    assert all(x in got[2].text.split("\n") for x in ("own a", "own b", "own c"))
+
+
+def test_fingerprints(spark, corpus):
+    rows = sorted(((i, t or "") for i, t in corpus), reverse=True)
+    got = {r.doc_id: r for r in fingerprint.neighbour_fingerprints(spark.createDataFrame(corpus, SCHEMA).repartition(4), ranges=7).collect()}
+    alone = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame(corpus, SCHEMA)).collect()}
+    sketches = {i: set(re.findall(".{12}", f)) for i, f in alone.items()}
+    for k, (i, t) in enumerate(rows):
+        j, nxt = rows[(k + 1) % len(rows)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), alone[i])
+        a, b = sketches[i], sketches[j]
+        assert r.near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        e = set(re.findall(".{12}", r.edited_fingerprint))
+        assert r.near_edited == pytest.approx(len(a & e) / len(a | e) if a | e else 1.0)
+    assert all(bool(f) == bool(words(dict(corpus)[i])) for i, f in alone.items())
+
+
+def test_fingerprint_containment_and_merge(spark):
+    rng = random.Random(3)
+    vocab = vocabulary(rng, 900)
+    part, rest = (" ".join(rng.choice(vocab) for _ in range(n)) for n in (400, 4000))
+    df = fingerprint.fingerprints(spark.createDataFrame([(1, part), (2, f"{rest} {part}"), (3, rest)], SCHEMA))
+    f = {r.doc_id: r.fingerprint for r in df.collect()}
+    row = spark.createDataFrame([(f[1], f[2], f[3])], "a string, b string, c string").select(fingerprint.containment(F.col("a"), F.col("b")).alias("in_b"), fingerprint.containment(F.col("a"), F.col("c")).alias("in_c"), fingerprint.merged(F.col("a"), F.col("c")).alias("m")).first()
+    assert row.in_b == 1.0 and row.in_c < 0.1
+    assert set(re.findall(".{12}", f[1])) | set(re.findall(".{12}", f[3])) == set(re.findall(".{12}", row.m))
+
+
+def test_url_filter_equals_all_rules(spark):
+    urls = [None, "", "no scheme", "http://com", "http://com/", "HTTPS://WWW.Example.COM/en/x?y#z", "http://example.com/en/", "http://a.example.com/de", "http://x.net/es/1", "http://x.net/ES/1", "http://notnet/es/", "ftp://q.net?/es/", "http://spam-farm.example.org/", "http://b.casino-win.example.net/de/", "http://example.com/en/"]
+    got = [tuple(r)[1:] for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.CONTRACT + url_filter.PATTERNS).orderBy("page_id").collect()]
+    rules = url_filter.CONTRACT + url_filter.PATTERNS
+    for url, (host, path, rule, verdict, pattern, tried) in zip(urls, got, strict=True):
+        if not url or "://" not in url:
+            assert (host, path, rule, verdict) == ("", "", None, "allow")
+            continue
+        rest = url.split("://", 1)[1]
+        h = re.match(r"[^/?#]*", rest)[0]
+        assert (host, path) == (h.translate(LOWER), re.match(r"[^?#]*", rest[len(h) :])[0])
+        fits = [r for r in rules if re.match(r.pattern, host + path)]
+        best = min(fits, key=lambda r: (r.tier, -len(r.name), r.name), default=None)
+        assert (rule or pattern) == (best.name if best else None) and verdict == (best.action if best else "allow")
+        assert tried < len(rules)
+
+
+def test_rarest_token_is_the_index_key():
+    rules = (url_filter.host_rule("common.rare.org", "/", "block"),)
+    assert list(url_filter.rule_index(rules, {"common": 9, "rare": 1, "org": 50})) == ["rare"]
+    assert url_filter.host_rule("a.b", "/en", "block").tokens == ("a", "b")  # 'en' may be part of a longer word
+
+
+def test_sharding_laws(spark):
+    ids = [(i, "x" * (i % 50)) for i in range(3000)] + [(None, None), (5, "again"), (5, "again")]
+    df = spark.createDataFrame(ids, SCHEMA)
+    rows = sharding.shard_documents(df, [1.0, 2.0, 1.0]).collect()
+    by = Counter(r.shard for r in rows)
+    assert by[1] > 1.7 * by[0] and by[1] > 1.7 * by[2]
+    assert all(r.grown_shard in (r.shard, 3) for r in rows)
+    for s in range(3):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(by[s]))
+    grown = {r.doc_id: r.shard for r in sharding.shard_documents(df, [1.0, 2.0, 1.0, 1.0]).collect()}
+    assert all(grown[r.doc_id] == r.grown_shard for r in rows)
+    assert all(r.text_crc32 == zlib.crc32(("x" * (r.doc_id % 50)).encode()) for r in rows if r.doc_id not in (None, 5))
+    assert sharding.shard_documents(df.limit(0), [1.0]).count() == 0
+
+
+def test_write_shards(spark, tmp_path):
+    df = spark.createDataFrame([(i, str(i)) for i in range(50)], SCHEMA)
+    sharding.write_shards(df, [1.0] * 3, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 50
+
+
+def test_sentencepiece_equals_the_library(spark):
+    import sentencepiece as library
+
+    lib = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    rng = random.Random(5)
+    texts = ["", " ", "   ", "\n\n a", "  a  b ", " " * 40 + "b" + " " * 37, "\t", "é́ ﬁ Ａ", "漢字かな", "🙂🙂 a🙂", "a\x00b", "a▁b", "<s> </s>", "aaaaaaaaaab" * 5, "12345" * 9, "x" * 3000]
+    texts += ["".join(rng.choice("ab ehtrn  ing▁é漢\n0=") for _ in range(rng.randint(1, 200))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], SCHEMA)
+    coded = sentencepiece.encode(df, check=True)
+    got = {r.doc_id: r for r in sentencepiece.decode(coded).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].ids == lib.encode(t), repr(t)
+        assert got[i].round_trip and got[i].decoded == t.replace("▁", " ")
+    assert got[len(texts)].ids is None and got[len(texts)].decoded is None
+    assert sentencepiece.encode(df.limit(0)).count() == 0
+
+
+def test_sentencepiece_round_trip_of_documents(spark):
+    import sentencepiece as library
+
+    lib = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    rows = sentencepiece.encode(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), check=True).collect()
+    assert all(r.round_trip for r in rows) and all(r.ids == lib.encode(r.text) for r in rows)
+
+
+def lm_brute(rows):
+    count = Counter()
+    tokens = {}
+    for i, t in rows:
+        tokens[i] = [*words(t), "\n"]
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update(tokens[i])
+    n, v = sum(count.values()), len(count)
+    return {i: (len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) for i, w in tokens.items()}
+
+
+def test_lm_counts_and_gain(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 2000)  # several chunks and ranges
+    monkeypatch.setattr(lm_score, "RANGE_IDS", 500)
+    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(corpus, SCHEMA).repartition(3)).collect()}
+    want = lm_brute(corpus)
+    for i, (n, known, train, base) in want.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, n, known, train)
+        assert r.base_score == pytest.approx(base) and r.score <= 0
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert lm_score.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert lm_score.score_documents(spark.createDataFrame([(None, None), (1, "a")], SCHEMA)).count() == 2
+
+
+def test_lm_is_a_distribution():
+    """The mixture over all known words and the unseen ones' share sums to one for each context."""
+    weights = lm_score.learn_weights(np.array([[1, 0, 8, 5], [2, 4, 8, 9], [0, -1, 12, 3], [3, -1, -1, 2]]), 1 / 11)
+    assert np.allclose(weights.sum(1), 1, atol=1e-6) and (weights[:, 2] > 0).all() and weights[0, 0] == 0
+    words_, pairs = np.array([6, 3, 1]), np.array([2, 1, 0])
+    p = weights[2, 0] * pairs / 3 + weights[2, 1] * words_ / 10 + weights[2, 2] / 4
+    assert p.sum() + weights[2, 2] / 4 == pytest.approx(1, abs=1e-6)
+
+
+def test_pack_round_trip():
+    for kind in (np.uint32, np.uint64):
+        a = np.arange(1000, dtype=kind) ** 2
+        assert (lm_score.unpack(lm_score.pack(a), len(a), kind) == a).all()
+    assert len(lm_score.unpack(lm_score.pack(np.zeros(0, np.uint64)), 0, np.uint64)) == 0
+
+
+def test_toxicity_learns_and_generalises(spark):
+    rng = random.Random(9)
+    vocab = vocabulary(rng, 300)
+    rows = []
+    for i in range(600):
+        toxic = int(i % 5 == 0)
+        w = [rng.choice(vocab) for _ in range(rng.randint(20, 200))]
+        if toxic:
+            for bad in rng.sample(["idiot", "moron", "scum"], 2):
+                w.insert(rng.randrange(len(w)), bad)
+        rows.append((i, " ".join(w), toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit_toxicity(df, df.where("doc_id < 400").select("doc_id", "label"))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df.select("doc_id", "text"), model).collect()}
+    assert all((got[i] >= 0.5) == bool(t) for i, _, t in rows)
+
+
+def test_toxicity_without_labels_and_edge_texts(spark):
+    df = spark.createDataFrame([(1, None, 5.0), (None, "", 1.0), (2, "x" * 100_000, 0.0)], "doc_id long, text string, score double")
+    none = spark.createDataFrame([], "doc_id long, label int")
+    rows = toxicity.score_toxicity(df, toxicity.fit_toxicity(df, none)).collect()
+    assert len(rows) == 3 and all(0 <= r.score <= 1 for r in rows)
+    one = spark.createDataFrame([(2, 0)], "doc_id long, label int")
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(df, toxicity.fit_toxicity(df, one)).collect())
+
+
+def held_out_accuracy(spark, f, label):
+    labels = {r.doc_id: r[label] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [r for r in f(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
+    return sum(r.predicted == labels[r.doc_id] for r in rows) / len(rows)
+
+
+def test_held_out_accuracy(spark):
+    assert held_out_accuracy(spark, registry.queries()["op5_quality"], "quality") > 0.95
+    assert held_out_accuracy(spark, registry.queries()["op8_toxicity"], "toxic") > 0.9
+
+
+def test_quality_edge_cases(spark):
+    df = spark.createDataFrame([(1, None), (None, ""), (2, "x " * 50_000), (3, "\n\n")], SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, label int")
+    assert [r.score for r in quality.quality_scores(df, none).collect()] == [0.5] * 4
+    one_class = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, label int")
+    assert all(r.score == 0.5 for r in quality.quality_scores(df, one_class).collect())
+    assert quality.document_statistics(df.limit(0)).count() == 0
+
+
+def test_statistics_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["One two, two.\nOne two, two.\n", "", "É9 ***", "a\n\nb"]
+    from tidemark.llm.text import arrow_bytes
+
+    whole = quality.statistics(*arrow_bytes(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert np.allclose(whole[i], quality.statistics(*arrow_bytes(pa.array([t])))[0])
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+@pytest.fixture(scope="module")
+def leaky():
+    rng = random.Random(11)
+    vocab = vocabulary(rng, 3000)
+    item = lambda n: [rng.choice(vocab) for _ in range(n)]
+    bench = [(i, item(rng.randint(15, 60))) for i in range(30)]
+    docs, leaks = [], set()
+    for i in range(200):
+        w = item(rng.randint(0, 400))
+        if i % 4 == 0:
+            k, text = bench[rng.randrange(30)]
+            text = [x if rng.random() > 0.1 else rng.choice(vocab) for x in text] if i % 8 == 0 else text
+            at = rng.randint(0, len(w))
+            w = w[:at] + text + w[at:]
+            leaks.add((i, k))
+        docs.append((i, " ".join(w).capitalize()))
+    return docs, [(i, " ".join(t)) for i, t in bench], leaks
+
+
+def test_leaks_against_brute_force(spark, leaky):
+    docs, bench, leaks = leaky
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(leaks & got) >= 0.95 * len(leaks)
+    text, items = dict(docs), dict(bench)
+    for r in found:
+        assert (r.doc_id, r.item_id) in leaks or lcs(words(items[r.item_id]), words(text[r.doc_id])) >= 0.5 * len(words(items[r.item_id])) / 2
+
+
+def test_subsequence_by_bits_equals_table():
+    rng = random.Random(12)
+    a = [rng.choice("abcdefgh") for _ in range(40)]
+    texts = pa.array([" ".join(a)], pa.large_string())
+    items = decontaminate.Items([1], texts, np.ones(decontaminate.FEATURES, np.float32), np.ones((decontaminate.FEATURES, 2), np.float32), 8)
+    for _ in range(20):
+        b = [rng.choice("abcdefghxyz") for _ in range(60)]
+        from tidemark.llm.text import arrow_bytes
+
+        w, _ = decontaminate.plain_words(*arrow_bytes(pa.array([" ".join(b)])))
+        full, tail = decontaminate._subsequence(items, w, np.array([0]), np.array([60]), np.array([0]))
+        assert (full[0], tail[0]) == (lcs(a, b), lcs(a[-8:], b))
+
+
+def test_decontaminate_keeps_clean_rows(spark, leaky):
+    docs, bench, leaks = leaky
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs] + [(900, None, "x", 1), (901, "", None, None)], "doc_id long, text string, item_id string, cosine int")
+    kept = {r.doc_id for r in decontaminate.decontaminate(df, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert {900, 901} <= kept and len({i for i, _ in docs} - kept) >= 0.95 * len(leaks)
+    assert {i for i, _ in docs} - kept <= {i for i, _ in leaks}
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminate(df, nothing).count() == df.count()
+    assert decontaminate.find_leaks(df.limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0

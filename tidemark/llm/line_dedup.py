@@ -1,10 +1,11 @@
 """Line dedup by content-defined chunks, with DataFrame functions only.
 
-The lines of a text are hashed; a rolling hash over the last ``window`` line hashes ends a chunk
-where it is 0 modulo ``divisor``, so boundaries depend on nearby lines only and shift with them.
-A line of ``long_words`` words or more stands alone. A chunk of two lines or more, or of one such
-long line, that occurs more than once in all documents stays at its first place (smallest
-doc_id, then position) and is removed elsewhere, after its bytes were compared.
+The lines of a text are hashed, and a rolling hash runs over the last ``window`` line hashes. A chunk
+ends where that hash is larger than at both neighbouring lines, so boundaries depend on a few nearby lines
+only, shift with them, and are never one line apart. A line of ``long_words`` words or more
+stands alone. A chunk of two lines or more, or of one such long line, that occurs more than once in all
+documents stays at its first place (smallest doc_id, then position) and is removed elsewhere,
+after its bytes were compared.
 """
 
 from __future__ import annotations
@@ -15,21 +16,23 @@ from pyspark.sql import functions as F
 from .graph import cut
 
 BROADCAST_ROWS = 1_000_000
-STEP = 1009
+STEP, MODULUS = 1009, 1_000_003
 
 
-def _chunked(docs: DataFrame, window: int, divisor: int, long_words: int) -> DataFrame:
+def _chunked(docs: DataFrame, window: int, long_words: int) -> DataFrame:
     """docs(doc_id, text) with key, lines and ends: the last line of each chunk, counted from 0."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.split("text", "\n", -1).alias("lines"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.split("text", "\n", -1).alias("lines")).where("lines is not null")
     hashed = lines.select(
         "*",
         F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")).alias("v"),
         F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= long_words - 1).alias("long"),
     )
-    rolling = " + ".join(f"if(i >= {k}, v[greatest(i - {k}, 0)], 0) * {STEP**k}" for k in range(window))
     last = "size(lines) - 1"
-    ends = f"filter(sequence(0, {last}), i -> i = {last} or `long`[i] or `long`[least(i + 1, {last})] or ({rolling}) div 64 % {divisor} = 0)"
-    return hashed.where("lines is not null").select("doc_id", "key", "lines", "long", F.expr(ends).alias("ends"))
+    rolling = " + ".join(f"if(i >= {k}, v[greatest(i - {k}, 0)], 0) * {STEP**k}" for k in range(window))
+    rolled = hashed.select("*", F.expr(f"transform(sequence(0, {last}), i -> ({rolling}) % {MODULUS})").alias("r"))
+    peak = f"i > 0 and i < {last} - 1 and r[i] > r[greatest(i - 1, 0)] and r[i] >= r[least(i + 1, {last})]"
+    ends = f"filter(sequence(0, {last}), i -> i = {last} or `long`[i] or `long`[least(i + 1, {last})] or ({peak}))"
+    return rolled.select("doc_id", "key", "lines", "long", F.expr(ends).alias("ends"))
 
 
 def _slices(wanted: str) -> Column:
@@ -41,7 +44,7 @@ def _slices(wanted: str) -> Column:
     )
 
 
-def line_dedup(docs: DataFrame, window: int = 2, divisor: int = 2, long_words: int = 50) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = 2, long_words: int = 50) -> DataFrame:
     """docs with repeated chunks cut out of text, and n_lines, removed_lines, removed (start, stop of chunks).
 
     A null text stays null with 0 lines; a text without removals is returned byte by byte. Chunks
@@ -49,7 +52,7 @@ def line_dedup(docs: DataFrame, window: int = 2, divisor: int = 2, long_words: i
     so that repeated rows come out alike. Other columns of docs pass through.
     """
     core = docs.select("doc_id", "text")
-    chunked = _chunked(core, window, divisor, long_words)
+    chunked = _chunked(core, window, long_words)
     eligible = "(c.stop > c.start or `long`[c.start])"
     keys = chunked.select("doc_id", "key", F.explode(_slices(eligible)).alias("c")).select(
         "doc_id", "key", F.col("c.start").alias("start"), F.xxhash64("c.chunk").alias("h"), (F.length("c.chunk") > F.col("c.stop") - F.col("c.start")).alias("said")
@@ -92,7 +95,8 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
 v AS (SELECT *, ('0x' || substr(md5(x), 1, 7))::BIGINT AS v, length(x) - length(replace(x, ' ', '')) >= 49 AS long FROM l),
-w AS (SELECT *, (v + coalesce(lag(v) OVER d, 0) * 1009) // 64 % 2 = 0 OR long OR coalesce(lead(long) OVER d, true) AS ends FROM v WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, (v + coalesce(lag(v) OVER d, 0) * 1009) % 1000003 AS r, count(*) OVER (PARTITION BY doc_id) - 1 AS last FROM v WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+w AS (SELECT *, long OR coalesce(lead(long) OVER d, true) OR (i > 0 AND i < last - 1 AND r > lag(r) OVER d AND r >= lead(r) OVER d) AS ends FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM w),
 c AS (SELECT doc_id, k, min(i) AS start, count(*) AS lines, bool_or(long) AS long, string_agg(x, chr(10) ORDER BY i) AS chunk FROM n GROUP BY doc_id, k),
 g AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, start) AS nth FROM c WHERE (lines > 1 OR long) AND length(chunk) > lines - 1),
