@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparisons, forecasts, series, sessions, texts
+from . import comparisons, extras, forecasts, series, sessions, texts
 
-MODULES = (sessions, comparisons, series, forecasts, texts)
+MODULES = (sessions, comparisons, series, forecasts, texts, extras)
 
 
 def queries() -> dict:
