@@ -61,32 +61,32 @@ def line_dedup(docs: DataFrame, window: int = 2, long_words: int = 50) -> DataFr
     repeated = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     places = keys.join(repeated, "h").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
     places = cut(places)
-    at = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("key") == F.col("k")]
     few = places.count() <= BROADCAST_ROWS and keys.count() <= 8 * BROADCAST_ROWS  # 8 bytes a start, 40 a document
-    side = places.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "starts")
-    found = chunked.join(F.broadcast(side) if few else side, at)
-    texts = found.select("doc_id", "key", F.explode(_slices(f"{eligible} and array_contains(starts, c.start)")).alias("c")).select(
+    found = _beside(chunked, places, "starts", few, "inner")
+    texts = found.select("doc_id", "key", F.explode(_slices(f"{eligible} and array_contains(__starts, c.start)")).alias("c")).select(
         "doc_id", "key", "c.start", "c.stop", "c.chunk"
     )
     # groups are of equal bytes, not of equal hashes
     first = texts.groupBy(F.xxhash64("chunk").alias("h"), "chunk").agg(F.min(F.struct("doc_id", "key", "start")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
     gone = texts.withColumn("h", F.xxhash64("chunk")).join(first, ["h", "chunk"]).where(~F.struct("doc_id", "key", "start").eqNullSafe(F.col("keeper")))
     gone = cut(gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed")))
-    side = gone.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "removed")
     few = few and gone.count() <= BROADCAST_ROWS
-    joined = docs.withColumn("__key", F.xxhash64("text")).join(
-        F.broadcast(side) if few else side, [F.col("doc_id").eqNullSafe(F.col("d")), F.col("__key") == F.col("k")], "left"
-    )
-    lines = F.split("text", "\n", -1)
-    out = joined.withColumn("__lines", lines)
-    kept = F.expr("array_join(filter(__lines, (x, i) -> not exists(removed, c -> i between c.start and c.stop)), '\\n')")
-    total = F.expr("coalesce(aggregate(removed, 0, (s, c) -> s + c.stop - c.start + 1), 0)")
+    docs = docs.drop("n_lines", "removed_lines", "removed")
+    out = _beside(docs.withColumn("__key", F.xxhash64("text")), gone, "removed", few, "left", "__key").withColumn("__lines", F.split("text", "\n", -1))
+    kept = F.expr("array_join(filter(__lines, (x, i) -> not exists(__removed, c -> i between c.start and c.stop)), '\\n')")
+    total = F.expr("coalesce(aggregate(__removed, 0, (s, c) -> s + c.stop - c.start + 1), 0)")
     return out.select(
-        *[F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("__lines"), F.lit(0)).alias("n_lines"), total.alias("removed_lines"), F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("removed"),
+        *[F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.coalesce(F.size("__lines"), F.lit(0)).alias("n_lines"), total.alias("removed_lines"), F.coalesce("__removed", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("removed"),
     )
 
 
+def _beside(rows: DataFrame, side: DataFrame, value: str, few: bool, how: str, key: str = "key") -> DataFrame:
+    """rows joined to side(doc_id, key, value), whose columns get names that no table has."""
+    side = side.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.col(value).alias(f"__{value}"))
+    return rows.join(F.broadcast(side) if few else side, [F.col("doc_id").eqNullSafe(F.col("__d")), F.col(key) == F.col("__k")], how)
+
+
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "text", "n_lines", "removed_lines", F.size("removed").alias("removed_chunks"))

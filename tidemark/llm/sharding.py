@@ -24,11 +24,12 @@ def _winner(lanes: list[Column], weights: list[float]) -> Column:
 def assign_shards(df: DataFrame, key: Column, weights: list[float], grown_weight: float = 1.0) -> DataFrame:
     """df with shard, grown_shard (with one more shard) and slot_bucket.
 
-    A null key is the empty text. Four shards share one md5 of key and shard group.
+    A null key is the empty text. Four shards share one md5 of key and shard group. Columns of these names are replaced.
     """
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
     n = len(weights) + 1
+    df = df.drop("shard", "grown_shard", "slot_bucket")
     named = df.withColumn("__key", F.coalesce(key.cast("string"), F.lit("")))
     blocks = [F.md5(F.concat_ws(":", F.col("__key"), F.lit(str(b)))) for b in range((n + 3) // 4)]
     drawn = named.select("*", *(b.alias(f"__m{k}") for k, b in enumerate(blocks)), F.md5(F.concat_ws(":", F.col("__key"), F.lit("slot"))).alias("__slot"))
