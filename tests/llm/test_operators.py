@@ -134,6 +134,24 @@ def test_line_dedup_keeps_first_place(spark):
     assert got == want
 
 
+CLASHING = "doc_id long, text string, d int, k int, removed string, n_lines int, starts int, key int, score string, ids string, shard int, h1 int, rep int, place int, x int, fold int, label string"
+
+
+def test_clashing_columns(spark):
+    row = (1, "a b c d e f g h", *[1, 2, "r", 3, 4, 5, "s", "i", 6, 7, 8, 9, 10, 11, "l"])
+    df = spark.createDataFrame([row, (2, *row[1:])], CLASHING)
+    assert line_dedup.line_dedup(df).select("d", "k", "starts", "key", "score").count() == 2
+    assert jaccard_join.keep_one(df).columns == df.columns and jaccard_join.keep_one(df).count() == 1
+    assert toxicity.score_toxicity(df, toxicity.fit_toxicity(df, df.select("doc_id", F.lit(1).alias("label")))).dtypes[-1] == ("score", "double")
+    assert sentencepiece.encode(df).dtypes[-1] == ("ids", "array<int>")
+    assert fingerprint.fingerprints(df).count() == fingerprint.neighbour_fingerprints(df).count() == 2
+    assert lm_score.score_documents(df).count() == sharding.shard_documents(df, [1.0]).count() == 2
+    assert sharding.assign_shards(df, F.col("doc_id"), [1.0, 1.0]).where("shard > 1").count() == 0
+    assert quality.quality_scores(df, df.select("doc_id", F.lit(1).alias("label"))).count() == 2
+    bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    assert decontaminate.decontaminate(df, bench).count() == 0 and decontaminate.find_leaks(df, bench).count() == 2
+
+
 def test_line_dedup_boundaries_shift_with_the_lines(spark):
     shared = [f"shared line number {i}" for i in range(30)]
     rows = [(1, "\n".join(shared)), (2, "\n".join(["own a", "own b", *shared, "own c"]))]
