@@ -326,6 +326,16 @@ def test_toxicity_without_labels_and_edge_texts(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(df, toxicity.fit_toxicity(df, one)).collect())
 
 
+def test_toxicity_sample_counts_an_id_once(spark):
+    rng = random.Random(10)
+    rows = [(i, ("scum " if i % 3 == 0 else "kind ") + " ".join(rng.choices(["house", "river", "stone"], k=9))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, label int")
+    once, often = (toxicity.fit_toxicity(spark.createDataFrame(r, SCHEMA), labels) for r in (rows, rows + [rows[1]] * 40))
+    order = [np.argsort(m["feature"]) for m in (once, often)]
+    assert np.array_equal(once["feature"][order[0]], often["feature"][order[1]]) and len(once["feature"])
+    assert np.allclose(once["weight"][order[0]], often["weight"][order[1]]) and math.isclose(once["bias"], often["bias"])
+
+
 def held_out_accuracy(spark, f, label):
     labels = {r.doc_id: r[label] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = [r for r in f(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
@@ -407,6 +417,22 @@ def test_subsequence_by_bits_equals_table():
         assert (full[0], tail[0]) == (lcs(a, b), lcs(a[-8:], b))
 
 
+def test_leaks_do_not_depend_on_the_segments_of_a_long_text(leaky, monkeypatch):
+    docs, bench, _ = leaky
+    from tidemark.llm.text import arrow_bytes
+
+    rng = np.random.default_rng(3)
+    space = rng.normal(size=(decontaminate.FEATURES, 32)).astype(np.float32)
+    items = decontaminate.Items([i for i, _ in bench], pa.array([t for _, t in bench], pa.large_string()), np.ones(decontaminate.FEATURES, np.float32), space, 8)
+    data, offsets = arrow_bytes(pa.array([" ".join(t for _, t in docs), "", None, docs[4][1], "a b c"]))
+    found = []
+    for size in (1 << 16, 3, 1):
+        monkeypatch.setattr(decontaminate, "SEGMENT", size)
+        text, item, near, share, told = decontaminate._leaks(items, data, offsets, **decontaminate.SETTINGS)
+        found.append((text.tolist(), item.tolist(), np.round(near, 4).tolist(), share.tolist(), told.tolist()))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) > 20
+
+
 def test_decontaminate_keeps_clean_rows(spark, leaky):
     docs, bench, leaks = leaky
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs] + [(900, None, "x", 1), (901, "", None, None)], "doc_id long, text string, item_id string, cosine int")

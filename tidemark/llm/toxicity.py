@@ -109,6 +109,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> di
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     some = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))  # rows that repeat an id don't add to the sample
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     rows = chosen.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: _fit(t, share), "feature int, weight double").collect()
     if not rows:
