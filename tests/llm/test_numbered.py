@@ -403,6 +403,15 @@ def test_leaks_against_brute_force(spark, leaky):
         assert (r.doc_id, r.item_id) in leaks or lcs(words(items[r.item_id]), words(text[r.doc_id])) >= 0.5 * len(words(items[r.item_id])) / 2
 
 
+def test_orthonormal_keeps_the_range():
+    rng = np.random.default_rng(4)
+    z = (rng.normal(size=(640, 5)) @ rng.normal(size=(5, 12))).astype(np.float32)  # rank 5 of 12
+    q = decontaminate.orthonormal(z.copy()).astype(float)
+    assert np.allclose(np.sort(np.linalg.eigvalsh(q.T @ q)), [0] * 7 + [1] * 5, atol=1e-4)
+    assert np.allclose(q @ (q.T @ z), z, atol=1e-3)
+    assert not decontaminate.orthonormal(np.zeros((640, 12), np.float32)).any()
+
+
 def test_subsequence_by_bits_equals_table():
     rng = random.Random(12)
     a = [rng.choice("abcdefgh") for _ in range(40)]
