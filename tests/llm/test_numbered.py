@@ -82,6 +82,24 @@ def test_jaccard_components(spark, corpus, monkeypatch, n, num, den, unit):
     assert got == components_brute(corpus, n, num, den)
 
 
+@pytest.mark.parametrize(("n", "num", "den", "frequent"), [(4, 85, 100, 32), (5, 80, 100, 32), (5, 80, 100, 1)])
+def test_jaccard_links_across_size_bands(spark, monkeypatch, n, num, den, frequent):
+    """Copies that gain or lose words at their end or inside, around every band's end; frequent 1 makes all shared signatures loud."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    rng = random.Random(11)
+    texts = []
+    for end in (12, 17, 24, 34, 48, 68, 96, 135, 190):
+        for shift in (-1, 0, 2):
+            base = [f"{end}x{shift}x{rng.randrange(10**6)}" for _ in range(end + n - 1 + shift)]
+            few = max(1, len(base) // 12)
+            texts += [base, [*base, "more"], base[:-1], base[few:], base + [f"{end}y{shift}y{k}" for k in range(few)]]
+            at = rng.randrange(len(base))
+            texts.append([*base[:at], f"{end}z{shift}", *base[at:]])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3), n, num, den).collect()}
+    assert got == components_brute(rows, n, num, den)
+
+
 def test_jaccard_null_ids_repeats_and_empty(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None)]
     got = sorted((r.doc_id or 0, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())

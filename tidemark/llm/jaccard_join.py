@@ -9,7 +9,9 @@ Sets are the distinct word n-grams of a text. Two documents link when
    at least spare+1 blocks hold the same elements in both. A document emits one signature for each
    block's whole content; documents that share a signature are candidates. ``spare`` lets a
    document leave a few signatures that very many documents share (a common line alone in its
-   block), or empty blocks, without losing a link.
+   block), or empty blocks, without losing a link. Linked sets lie in the same size band or in neighbouring
+   ones, so a document has signatures for its own band (slot 0) and, if needed, for the next one (slot 1); both
+   slots meet, and the slot only says which spare ones a frequent signature counts against.
 3. A family (a connected component of candidates) is searched by a signature tree: nodes hold the
    OR of their documents' token bitmaps and their range of sizes, and a dual traversal drops node
    pairs whose maximum possible overlap is too small. What is left is verified exactly. Pairs that
@@ -103,7 +105,7 @@ def _summaries(batches, words: int, num: int, den: int):
         for a, b, data, offsets in slices(batch.column("text")):
             h, ptr = distinct(*shingles(*word_hashes(data, offsets), words))
             sig, slot, sp, spare0, spare1 = _signatures(h, ptr, num, den, bands)
-            # the lowest bit of a signature says its slot
+            # the lowest bit of a signature says its slot and is no part of its value
             sig = (sig & ~U(1)) | slot.astype(U)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(a, b - a), pa.array(np.diff(ptr)), pa.array(sums(mix64(h ^ U(1)), ptr).view(np.int64)), pa.array(sums(mix64(h ^ U(2)), ptr).view(np.int64)),
@@ -281,15 +283,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     reps = full.where("doc_id is not null").join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
     facts = reps.select("rep", "h1", "n", "spare0", "spare1")
     rows = reps.select("rep", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.count("*").alias("held")).where("held > 1")
-    held = cut(rows.join(shared, "sig"))
+    value = F.col("sig").bitwiseAND(F.lit(-2))  # a slot-1 signature meets the next band's slot-0 ones
+    shared = rows.groupBy(value.alias("value")).agg(F.count("*").alias("held")).where("held > 1")
+    held = cut(rows.join(shared, value == F.col("value")).select("rep", "sig", "held"))
     facts = cut(facts.join(held.select("rep").distinct(), "rep").dropDuplicates(["rep"]))
     # a document may leave as many very frequent signatures as it has spare ones
     loud = held.where(F.col("held") > FREQUENT).groupBy("rep").agg(F.count_if(F.col("sig") % 2 == 0).alias("loud0"), F.count_if(F.col("sig") % 2 != 0).alias("loud1"))
     loud = loud.join(facts, "rep").select("rep", (F.col("loud0") > F.col("spare0")).alias("keeps0"), (F.col("loud1") > F.col("spare1")).alias("keeps1"))
     kept = held.join(loud, "rep", "left").where((F.col("held") <= FREQUENT) | F.when(F.col("sig") % 2 == 0, F.col("keeps0")).otherwise(F.col("keeps1")))
-    heads = kept.groupBy("sig").agg(F.min("rep").alias("v"))
-    family = components(kept.join(heads, "sig").select(F.col("rep").alias("u"), "v"))
+    heads = kept.groupBy(value.alias("value")).agg(F.min("rep").alias("v"))
+    family = components(kept.join(heads, value == F.col("value")).select(F.col("rep").alias("u"), "v"))
     members = facts.join(family, facts.rep == family.node).select("rep", "h1", "n", F.col("component").alias("family"))
     parts = members.groupBy("family").agg(F.ceil(F.sum("n") / unit_tokens).alias("parts"))
     members = cut(
