@@ -155,6 +155,28 @@ def test_line_dedup_keeps_first_place(spark):
 CLASHING = "doc_id long, text string, d int, k int, removed string, n_lines int, starts int, key int, score string, ids string, shard int, h1 int, rep int, place int, x int, fold int, label string"
 
 
+def test_line_dedup_removes_whole_passages(spark):
+    """Passages of 2 to 20 lines between random lines stay in their first document only; other lines stay."""
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    plans = [(2, 30), (2, 25), (3, 20), (3, 45), (4, 20), (5, 20), (6, 20), (20, 12)]
+    rows, want = [], {}
+    for size, n in plans:
+        passage = [line(n) for _ in range(size)]
+        passage[size // 2 : size // 2] = [""] * (size > 3)
+        for copy in range(6):
+            head, tail = ([line(rng.randint(3, 40)) for _ in range(rng.randint(1, 8))] for _ in range(2))
+            rows.append((len(rows), "\n".join([*head, *passage, *tail])))
+            want[rows[-1][0]] = rows[-1][1] if copy == 0 else "\n".join([*head, *tail])
+    rows += [(100, f"{line(60)}\n" + "\n".join([line(9)] * 12)), (None, None), (101, "")]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame([*rows, rows[1]], SCHEMA).repartition(3)).collect()}
+    assert {i: got[i].text for i in want} == want
+    assert all(got[i].n_lines - got[i].removed_lines == len(t.split("\n")) for i, t in want.items())
+    # two lines of a line that repeats itself stay at the first place
+    assert rows[-3][1].startswith("\n".join(rows[-3][1].split("\n")[:3])) and got[100].text == "\n".join(rows[-3][1].split("\n")[:3])
+    assert got[None].text is None and got[101].text == ""
+
+
 def test_clashing_columns(spark):
     row = (1, "a b c d e f g h", *[1, 2, "r", 3, 4, 5, "s", "i", 6, 7, 8, 9, 10, 11, "l"])
     df = spark.createDataFrame([row, (2, *row[1:])], CLASHING)

@@ -6,12 +6,18 @@ only, shift with them, and are never one line apart. A line of ``long_words`` wo
 stands alone. A chunk of two lines or more, or of one such long line, that occurs more than once in all
 documents stays at its first place (smallest doc_id, then position) and is removed elsewhere,
 after its bytes were compared.
+
+A repeated passage need not hold a whole chunk in both documents, since its outer lines merge with foreign ones. So
+every two neighbouring lines are also a pair, pairs that occur more than once are compared by their bytes, and
+unbroken runs of pairs that have an earlier place are removed if they hold ``long_words`` words or more. What a run
+holds depends on no line outside it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import cut
 
@@ -44,9 +50,46 @@ def _slices(wanted: str) -> Column:
     )
 
 
-def line_dedup(docs: DataFrame, window: int = 2, long_words: int = 50) -> DataFrame:
-    """docs with repeated chunks cut out of text, and n_lines, removed_lines, removed (start, stop of chunks).
+def _pairs(wanted: str) -> Column:
+    """Structs (start, words, last, pair) of the neighbouring lines start and start + 1 that ``wanted`` admits; words of the first, and of the second line."""
+    words = "if({0} = '', 0, length({0}) - length(replace({0}, ' ', '')) + 1)"
+    return F.expr(
+        f"transform(filter(sequence(0, size(lines) - 2), i -> {wanted}), i -> named_struct('start', i, 'words', {words.format('lines[i]')}, "
+        f"'last', {words.format('lines[i + 1]')}, 'pair', concat(lines[i], '\n', lines[i + 1])))"
+    )
 
+
+def _passages(core: DataFrame, long_words: int) -> DataFrame:
+    """(doc_id, key, start, stop) of runs of repeated pairs, but for each pair's first place."""
+    lines = core.select("doc_id", F.xxhash64("text").alias("key"), F.split("text", "\n", -1).alias("lines")).where("size(lines) > 1")
+    hashes = F.expr("transform(sequence(0, size(lines) - 2), i -> xxhash64(lines[i], lines[i + 1]))")
+    keys = cut(lines.select("doc_id", "key", F.posexplode(hashes).alias("start", "h")))
+    repeated = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    places = cut(keys.join(repeated, "h").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")))
+    few = places.count() <= BROADCAST_ROWS and keys.count() <= 8 * BROADCAST_ROWS
+    found = _beside(lines, places, "starts", few, "inner")
+    texts = found.select("doc_id", "key", F.explode(_pairs("array_contains(__starts, i)")).alias("c")).select("doc_id", "key", "c.*")
+    first = texts.groupBy(F.xxhash64("pair").alias("h"), "pair").agg(F.min(F.struct("doc_id", "key", "start")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    # a line that follows itself doesn't take a line from its pair's first place
+    own = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("key") == F.col("keeper.key")) & (F.col("start") < F.col("keeper.start") + 2)
+    gone = texts.withColumn("h", F.xxhash64("pair")).join(first, ["h", "pair"]).where(~own).select("doc_id", "key", "start", "words", "last").distinct()
+    runs = gone.withColumn("run", F.col("start") - F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("start"))).groupBy("doc_id", "key", "run")
+    runs = runs.agg(F.min("start").alias("start"), (F.max("start") + 1).alias("stop"), (F.sum("words") + F.max_by("last", "start")).alias("words"))
+    return runs.where(F.col("words") >= long_words).select("doc_id", "key", "start", "stop")
+
+
+def _merged(ranges: DataFrame) -> DataFrame:
+    """Ranges (doc_id, key, start, stop) of lines, those that overlap made one."""
+    w = Window.partitionBy("doc_id", "key").orderBy("start", "stop")
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = ranges.distinct().withColumn("head", (before.isNull() | (F.col("start") > before)).cast("int"))
+    return apart.withColumn("n", F.sum("head").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "key", "n").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("n")
+
+
+def line_dedup(docs: DataFrame, window: int = 2, long_words: int = 50, passages: bool = True) -> DataFrame:
+    """docs with repeated chunks and passages cut out of text, and n_lines, removed_lines, removed (start, stop of cuts).
+
+    passages: whether runs of repeated pairs go, too; without, only whole chunks do.
     A null text stays null with 0 lines; a text without removals is returned byte by byte. Chunks
     without any character but line ends are kept. Rows of the same doc_id and text count as one place,
     so that repeated rows come out alike. Other columns of docs pass through.
@@ -69,6 +112,8 @@ def line_dedup(docs: DataFrame, window: int = 2, long_words: int = 50) -> DataFr
     # groups are of equal bytes, not of equal hashes
     first = texts.groupBy(F.xxhash64("chunk").alias("h"), "chunk").agg(F.min(F.struct("doc_id", "key", "start")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
     gone = texts.withColumn("h", F.xxhash64("chunk")).join(first, ["h", "chunk"]).where(~F.struct("doc_id", "key", "start").eqNullSafe(F.col("keeper")))
+    if passages:
+        gone = _merged(gone.select("doc_id", "key", "start", "stop").unionByName(_passages(core, long_words)))
     gone = cut(gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed")))
     few = few and gone.count() <= BROADCAST_ROWS
     docs = docs.drop("n_lines", "removed_lines", "removed")
@@ -89,7 +134,8 @@ def _beside(rows: DataFrame, side: DataFrame, value: str, few: bool, how: str, k
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs).select("doc_id", "text", "n_lines", "removed_lines", F.size("removed").alias("removed_chunks"))
+    # the rule of OP9_SQL, which has chunks only
+    return line_dedup(docs, passages=False).select("doc_id", "text", "n_lines", "removed_lines", F.size("removed").alias("removed_chunks"))
 
 
 OP9_SQL = r"""
