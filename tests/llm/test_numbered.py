@@ -246,6 +246,21 @@ def test_url_filter_equals_all_rules(spark):
         assert tried < len(rules)
 
 
+def test_url_patterns_with_suffixed_hosts_equal_all_regexes(spark):
+    stems = ["ad-track", "ads-track", "spam-farm", "spam-farms", "casino", "casino-win", "adult-x", "cheap-pill", "cheap-pills", "free-bet", "free-bets"]
+    hosts = [f"{before}{stem}{after}" for stem in stems for before in ("", "b.", "x", "x-", "ad-") for after in ("", "er", "ing", "s", "-er", "er-1", ".a", "_b")]
+    urls = [f"http://{h}.example.{top}/{path}" for h in hosts for top, path in (("net", ""), ("org", "de/"))]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_filter.CONTRACT + url_filter.PATTERNS
+    some = 0
+    for r in url_filter.filter_urls(rows, rules).collect():
+        fits = [x for x in rules if re.match(x.pattern, r.host + r.path)]
+        best = min(fits, key=lambda x: (x.tier, -len(x.name), x.name), default=None)
+        assert ((r.rule or r.pattern), r.verdict) == (best.name if best else None, best.action if best else "allow"), r
+        some += bool(r.pattern == "ads-track" and "track.example" not in r.host)
+    assert some
+
+
 def test_rarest_token_is_the_index_key():
     rules = (url_filter.host_rule("common.rare.org", "/", "block"),)
     assert list(url_filter.rule_index(rules, {"common": 9, "rare": 1, "org": 50})) == ["rare"]

@@ -1,7 +1,8 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression over ``host + path`` (host lower-cased) and the literal tokens
-that every match must hold as whole tokens. Each rule is indexed under one of its tokens, the
+that every match must hold as whole tokens; a token may be several alternatives with ``|`` between them, of which
+every match holds one. Each rule is indexed under one of its tokens (under all alternatives of it), the
 one that the fewest URLs have (counted over all rows). The tokens of a URL fetch the candidate
 rules, and only those run their regular expressions. Rows are judged where they lie: no
 shuffle but for the counts of the rules' own tokens, so a hot host costs nothing extra.
@@ -50,7 +51,7 @@ CONTRACT = (
 
 #: patterns of unwanted hosts and trackers, for URLs that no host rule fits
 PATTERNS = (
-    Rule("ads-track", "block", r"^[^/]*\bads?-track", ("track",), 1),
+    Rule("ads-track", "block", r"^[^/]*\bads?-track", ("ad|ads",), 1),
     Rule("spam-farm", "block", r"^[^/]*\bspam-farms?\.", ("spam",), 1),
     Rule("casino", "block", r"^[^/]*\bcasino(-[a-z0-9]+)?\.", ("casino",), 1),
     Rule("adult", "block", r"^[^/]*\badult-[a-z0-9]+\.", ("adult",), 1),
@@ -81,8 +82,9 @@ def rule_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, lis
     for rule in rules:
         if not rule.tokens:
             raise ValueError(f"rule {rule.name} has no literal token")
-        rarest = min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t))
-        index.setdefault(rarest, []).append((rule, re.compile(rule.pattern, re.S)))
+        rarest = min(rule.tokens, key=lambda t: (sum(counts.get(x, 0) for x in t.split("|")), -len(t), t))
+        for t in rarest.split("|"):
+            index.setdefault(t, []).append((rule, re.compile(rule.pattern, re.S)))
     return index
 
 
@@ -97,7 +99,7 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url", key: s
     if len(rules) > MAX_RULES:
         raise ValueError("too many rules for an index in every task")
     parts = df.select(F.col(key).alias(key), host_column(F.col(url)).alias("host"), path_column(F.col(url)).alias("path"))
-    index = rule_index(tuple(rules), token_counts(parts, sorted({t for r in rules for t in r.tokens})))
+    index = rule_index(tuple(rules), token_counts(parts, sorted({x for r in rules for t in r.tokens for x in t.split("|")})))
     token = re.compile(TOKEN)
 
     def judge(batches):
@@ -110,7 +112,7 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url", key: s
                     for rule, regex in index.get(t, ()):
                         n += 1
                         if regex.match(subject):
-                            fits.append(rule)
+                            fits.append(rule)  # twice if it is found by two alternatives
                 best = min(fits, key=lambda r: (r.tier, -len(r.name), r.name), default=None)
                 named.append(best.name if best and best.tier == 0 else None)
                 patterns.append(best.name if best and best.tier else None)
