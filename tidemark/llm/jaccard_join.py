@@ -3,7 +3,7 @@
 Sets are the distinct word n-grams of a text. Two documents link when
 ``den * |A & B| >= num * |A | B|``. The work is dealt out in four steps:
 
-1. Equal sets are one class (grouped on a 128-bit sum of their hashes).
+1. Equal sets are one class, named by a 64-bit sum of their mixed hashes.
 2. Candidate families. |A ^ B| <= (den-num)/(den+num) * (|A|+|B|) for a linked pair, so if the
    hash space is cut into H+1+spare blocks (H: that bound for the larger sizes of a size band),
    at least spare+1 blocks hold the same elements in both. A document emits one signature for each
@@ -12,16 +12,19 @@ Sets are the distinct word n-grams of a text. Two documents link when
    block), or empty blocks, without losing a link. Linked sets lie in the same size band or in neighbouring
    ones, so a document has signatures for its own band (slot 0) and, if needed, for the next one (slot 1); both
    slots meet, and the slot only says which spare ones a frequent signature counts against.
+   Signatures are packed in sorted cells and dealt by hash range; a range tells only those that several classes
+   share. One that is frequent within a chunk of documents is known to be frequent, so the chunk keeps it to
+   itself and only sends its count: no range gets all rows of a hot signature.
 3. A family (a connected component of candidates) is searched by a signature tree: nodes hold the
    OR of their documents' token bitmaps and their range of sizes, and a dual traversal drops node
    pairs whose maximum possible overlap is too small. What is left is verified exactly. Pairs that
    are already connected are skipped, so a group of near copies needs no list of all its pairs.
-4. A family of more than ``unit_tokens`` set elements is dealt to blocks by hash; blocks are searched
-   alone first, and only families whose blocks did not become one component get a second
-   search of block pairs.
+4. A family of more than ``unit_tokens`` set elements is dealt to blocks by hash, which are searched
+   alone first. Then only documents with a signature whose holders aren't one component yet are
+   searched again, in families of their own; such a family that is still too large is searched by pairs of blocks.
 
-Null or wordless texts have an empty set and link with nothing. Repeated doc_ids are
-separate rows of one id; a null doc_id never is a class's smallest id unless all are null.
+Null or wordless texts have an empty set and link with nothing. Rows are told apart by doc_id and text, so
+repeated doc_ids and null ids may have any texts; a null doc_id never is a component's smallest id unless all are null.
 """
 
 from __future__ import annotations
@@ -30,16 +33,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, cut
-from .text import distinct, lists, mix64, shingles, slices, sums, word_hashes
+from .dealing import cells, deal, unpack
+from .graph import beside, components, cut
+from .text import distinct, mix64, shingles, slices, sums, word_hashes
 
 U = np.uint64
 FREQUENT = 32
-BAND = 1.4
-BROADCAST_ROWS = 400_000
+BAND = 1.6
+CHUNK_BYTES = 8 << 20
+RANGE_ENTRIES = 2_000_000
+CHUNK_ENTRIES = 500_000  # about so many signatures a chunk has
 
 
 def _bands(num: int, den: int, top: int = 1 << 34) -> np.ndarray:
@@ -98,24 +105,105 @@ def _signatures(h: np.ndarray, ptr: np.ndarray, num: int, den: int, bands: np.nd
     return sig[keep], slot[owner[keep]], out, spares[0], spares[1]
 
 
+def _sets(texts: pa.Array | pa.ChunkedArray, words: int):
+    """(first row, end row, hashes, pointers, class names) of the sets of texts."""
+    for a, b, data, offsets in slices(texts):
+        h, ptr = distinct(*shingles(*word_hashes(data, offsets), words))
+        yield a, b, h, ptr, _names(h, ptr)
+
+
+def _names(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    return mix64(sums(mix64(h ^ U(1)), ptr) + np.diff(ptr).astype(U)).view(np.int64)
+
+
 def _summaries(batches, words: int, num: int, den: int):
     bands = _bands(num, den)
     for batch in batches:
-        ids = batch.column("doc_id")
-        for a, b, data, offsets in slices(batch.column("text")):
-            h, ptr = distinct(*shingles(*word_hashes(data, offsets), words))
-            sig, slot, sp, spare0, spare1 = _signatures(h, ptr, num, den, bands)
-            # the lowest bit of a signature says its slot and is no part of its value
-            sig = (sig & ~U(1)) | slot.astype(U)
+        for a, b, h, ptr, name in _sets(batch.column("text"), words):
+            _, _, sp, spare0, spare1 = _signatures(h, ptr, num, den, bands)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(np.diff(ptr)), pa.array(sums(mix64(h ^ U(1)), ptr).view(np.int64)), pa.array(sums(mix64(h ^ U(2)), ptr).view(np.int64)),
-                 pa.array(spare0), pa.array(spare1), lists(pa.array(sig.view(np.int64)), sp)],
-                ["doc_id", "n", "h1", "h2", "spare0", "spare1", "sigs"],
+                [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(np.diff(ptr)), pa.array(name), pa.array(spare0), pa.array(spare1), pa.array(np.diff(sp))],
+                ["doc_id", "key", "n", "name", "spare0", "spare1", "m"],
             )
 
 
-SUMMARY = "doc_id long, n long, h1 long, h2 long, spare0 long, spare1 long, sigs array<long>"
+SUMMARY = "doc_id long, key long, n long, name long, spare0 long, spare1 long, m long"
+LOCAL = 1 << 30  # ranges from here on hold what a chunk found to be frequent
+TOLD = "u long, v long, slot int, loud boolean"
+
+
+def _virtual(value: np.ndarray) -> np.ndarray:
+    """The node that stands for a frequent signature."""
+    return mix64(value ^ U(0x5EED0F1E55)).view(np.int64)
+
+
+def _dealt(batches, words: int, num: int, den: int, bits: int, width: int):
+    """Cells (p, g, n, value, node, slot, weight) of chunks of documents."""
+    bands = _bands(num, den)
+    part = TaskContext.get().partitionId()
+    held, size, made = [], 0, 0
+
+    def packed():
+        g = (part << 20) + made
+        name, value, slot = (np.concatenate(x) for x in zip(*held, strict=True))
+        # of equal sets in a chunk one is enough; slot 1 is told apart, as it counts against other spares
+        order = np.lexsort((slot, name, value))
+        name, value, slot = name[order], value[order], slot[order]
+        fresh = np.ones(len(name), bool)
+        fresh[1:] = (name[1:] != name[:-1]) | (value[1:] != value[:-1])
+        name, value, slot = name[fresh], value[fresh], slot[fresh]
+        heads = np.flatnonzero(np.diff(value, prepend=~value[:1]))
+        count = np.diff(np.append(heads, len(value)))
+        loud = np.repeat(count > FREQUENT, count)
+        first = np.zeros(len(value), bool)
+        first[heads] = True
+        weight = np.where(loud, np.repeat(count, count), 1).astype(np.uint32)
+        node = np.where(loud, 0, name)
+        keep = ~loud | first
+        yield from cells(value[keep], g, bits, {"node": node[keep].view(U), "slot": slot[keep].astype(np.uint8), "weight": weight[keep]}, width)
+        if loud.any():
+            yield from cells(value[loud], g, 0, {"node": name[loud].view(U), "slot": slot[loud].astype(np.uint8), "weight": weight[loud]}, width, LOCAL + g % LOCAL)
+
+    for batch in batches:
+        for a, b, h, ptr, name in _sets(batch.column("text"), words):
+            _, once = np.unique(name, return_index=True)
+            if len(once) < len(name):
+                once.sort()
+                at = np.concatenate([np.arange(ptr[i], ptr[i + 1]) for i in once]) if len(once) else np.zeros(0, np.int64)
+                h, ptr, name = h[at], np.concatenate([[0], np.cumsum(np.diff(ptr)[once])]), name[once]
+            sig, slot, sp, _, _ = _signatures(h, ptr, num, den, bands)
+            if len(sig):
+                held.append((np.repeat(name, np.diff(sp)), sig >> U(64 - width) << U(64 - width), slot))
+            size += int(batch.column("text").slice(a, b - a).nbytes)
+            if size >= CHUNK_BYTES and held:
+                yield from packed()
+                held, size, made = [], 0, made + 1
+    if held:
+        yield from packed()
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """(node, head, slot, loud) of one range's signatures that several classes have."""
+    if table.column("p")[0].as_py() >= LOCAL:
+        value, node, slot = unpack(table, "value"), unpack(table, "node"), unpack(table, "slot")
+        return pa.table({"u": node.view(np.int64), "v": _virtual(value), "slot": slot.astype(np.int32), "loud": np.ones(len(value), bool)})
+    value, node, slot, weight = (unpack(table, k) for k in ("value", "node", "slot", "weight"))
+    order = np.lexsort((node, value))
+    value, node, slot, weight = value[order], node[order], slot[order], weight[order].astype(np.int64)
+    again = np.zeros(len(value), bool)  # the same class in another chunk; counts of frequent ones add up
+    again[1:] = (value[1:] == value[:-1]) & (node[1:] == node[:-1]) & (node[1:] != 0)
+    value, node, slot, weight = value[~again], node[~again], slot[~again], weight[~again]
+    heads = np.flatnonzero(np.diff(value, prepend=~value[:1]))
+    count = np.diff(np.append(heads, len(value)))
+    total = np.repeat(np.add.reduceat(weight, heads), count) if len(heads) else weight
+    head = np.repeat(node[heads], count).view(np.int64)
+    loud = total > FREQUENT
+    tell = (total > 1) & (node != 0)
+    return pa.table({"u": node[tell].view(np.int64), "v": np.where(loud, _virtual(value), head)[tell], "slot": slot[tell].astype(np.int32), "loud": loud[tell]})
+
+
 FAN, WORDS64 = 8, 16
+DENSE_BYTES = 1 << 27
 
 
 class _Forest:
@@ -189,17 +277,38 @@ def _pairs(tree: _Tree, level: int, a: np.ndarray, b: np.ndarray, forest: _Fores
             yield from _pairs(tree, level - 1, p[there], q[there], forest, num, den)
 
 
-def _exact_bits(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """Bitmaps with a bit for each element that two rows or more have: they count overlaps exactly."""
-    values, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    shared = count[inverse] > 1
-    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[shared]
-    at = number[inverse[shared]]
-    width = (int(number[-1]) + 1 + 63) // 64 if len(number) else 0
-    out = np.zeros((len(ptr) - 1, max(1, width)), U)
-    np.bitwise_or.at(out, (row, at >> 6), U(1) << (at & 63).astype(U))
-    return out
+class _Overlaps:
+    """Sizes of intersections of rows: by bitmaps of the elements that two rows or more have, or by merging if these are large."""
+
+    def __init__(self, h: np.ndarray, ptr: np.ndarray, order: np.ndarray) -> None:
+        values, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        shared = count[inverse] > 1
+        row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[shared]
+        at = number[inverse[shared]]
+        lanes = max(1, (int(number[-1]) + 1 + 63) // 64 if len(number) else 0)
+        self.bits = None
+        if len(order) * lanes * 8 <= DENSE_BYTES:
+            bits = np.zeros((len(ptr) - 1, lanes), U)
+            np.bitwise_or.at(bits, (row, at >> 6), U(1) << (at & 63).astype(U))
+            self.bits = bits[order]
+            self.step = max(1, (1 << 22) // lanes)
+        else:
+            size = np.bincount(row, minlength=len(ptr) - 1)
+            start = np.concatenate([[0], np.cumsum(size)])
+            self.start, self.size, self.at = start[:-1][order], size[order], at
+            self.step = max(1, (1 << 21) // max(1, int(size.max())))
+
+    def _flat(self, x: np.ndarray) -> np.ndarray:
+        n = self.size[x]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return (np.repeat(np.arange(len(x)), n) << 32) | self.at[np.repeat(self.start[x], n) + step]
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[x] & self.bits[y]).sum(1).astype(np.int64)
+        both = np.intersect1d(self._flat(x), self._flat(y), assume_unique=True)
+        return np.bincount(both >> 32, minlength=len(x))
 
 
 def tree_links(h: np.ndarray, ptr: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -223,18 +332,17 @@ def tree_links(h: np.ndarray, ptr: np.ndarray, num: int, den: int, known: np.nda
     if known is not None:
         _, head, label = np.unique(known[order], return_index=True, return_inverse=True)
         forest.link(np.arange(len(order)), head[label], told=False)
-    exact = _exact_bits(h, ptr)[order]
+    overlaps = _Overlaps(h, ptr, order)
     size = size[order]
     tree = _Tree(bits[order], size)
     top = len(tree.levels) - 1
     root = np.zeros(1, np.int64)
-    step = max(1, (1 << 22) // exact.shape[1])
     for a, b in _pairs(tree, top, root, root, forest, num, den):
-        for i in range(0, len(a), step):
-            x, y = a[i : i + step], b[i : i + step]
+        for i in range(0, len(a), overlaps.step):
+            x, y = a[i : i + overlaps.step], b[i : i + overlaps.step]
             apart = forest.root[x] != forest.root[y]
             x, y = x[apart], y[apart]
-            common = np.bitwise_count(exact[x] & exact[y]).sum(1).astype(np.int64)
+            common = overlaps(x, y)
             linked = den * common >= num * (size[x] + size[y] - common)
             if linked.any():
                 forest.link(x[linked], y[linked])
@@ -242,92 +350,121 @@ def tree_links(h: np.ndarray, ptr: np.ndarray, num: int, den: int, known: np.nda
 
 
 def _search(table: pa.Table, words: int, num: int, den: int) -> pa.Table:
-    """A forest (u, v) that connects one unit's documents as their links do."""
-    reps, sets, wanted = [], [], []
-    known = table.column("known").to_numpy()
-    labels = []
-    for a, b, data, offsets in slices(table.column("text")):
-        h, ptr = distinct(*shingles(*word_hashes(data, offsets), words))
-        right = sums(mix64(h ^ U(1)), ptr).view(np.int64) == table.column("h1").slice(a, b - a).to_numpy()
-        for r in np.flatnonzero(right).tolist():
-            sets.append(h[ptr[r] : ptr[r + 1]])
-            wanted.append(len(sets[-1]))
-            labels.append(known[a + r])
-        reps.append(table.column("rep").slice(a, b - a).to_numpy()[right])
-    rep = np.concatenate(reps) if reps else np.zeros(0, np.int64)
-    ptr = np.concatenate([[0], np.cumsum(wanted)]).astype(np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, U)
-    edges = tree_links(flat, ptr, num, den, np.array(labels))
-    return pa.table({"u": pa.array([int(rep[a]) for a, _ in edges], pa.int64()), "v": pa.array([int(rep[b]) for _, b in edges], pa.int64())})
+    """A forest (u, v) that connects one unit's classes as their links do."""
+    nodes, sets, labels, seen = [], [], [], set()
+    node, known = table.column("node").to_numpy(), table.column("known").to_numpy()
+    for a, b, h, ptr, name in _sets(table.column("text"), words):
+        for r in range(b - a):
+            if name[r] == node[a + r] and name[r] not in seen:
+                seen.add(name[r])
+                nodes.append(node[a + r])
+                sets.append(h[ptr[r] : ptr[r + 1]])
+                labels.append(known[a + r])
+    ptr = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+    edges = tree_links(np.concatenate(sets) if sets else np.zeros(0, U), ptr, num, den, np.array(labels))
+    return pa.table({"u": pa.array([int(nodes[a]) for a, _ in edges], pa.int64()), "v": pa.array([int(nodes[b]) for _, b in edges], pa.int64())})
 
 
 def _links(docs: DataFrame, members: DataFrame, keys: list[str], words: int, num: int, den: int) -> DataFrame:
-    """members: rep, h1, known and the unit's keys. Only their texts are dealt out."""
-    few = members.count() <= BROADCAST_ROWS  # 32 bytes a row; beyond, both sides are dealt by doc_id
-    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(members) if few else members, "rep")
-    return rows.groupBy(*keys).applyInArrow(lambda unit: _search(unit, words, num, den), "u long, v long")
+    """members: node, known, the unit's keys, and doc_id, key and again of a row with the class's text. Only their texts are dealt out."""
+    side = members.withColumnRenamed("doc_id", "__d").withColumnRenamed("key", "__k")
+    rows = beside(docs, side, docs.doc_id.eqNullSafe(F.col("__d")) & (docs.key == F.col("__k"))).select("node", "known", "again", *keys, "text")
+    # rows of one doc_id and text are all met; where there are any, one is taken before they are dealt
+    if not members.where("again").isEmpty():
+        one = rows.where("again").groupBy("node", "known", "again", *keys).agg(F.min("text").alias("text"))
+        rows = rows.where("not again").unionByName(one)
+    return rows.drop("again").groupBy(*keys).applyInArrow(lambda unit: _search(unit, words, num, den), "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_size for every row of docs(doc_id, text).
+def _parts(members: DataFrame, unit_tokens: int) -> DataFrame:
+    """members with parts, the number of blocks of their family, and part."""
+    sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / unit_tokens).cast("long").alias("parts"))
+    return beside(members, cut(sizes), "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
 
-    class_size: how many rows have the very same set (1 for empty sets).
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: int) -> DataFrame:
+    """doc_id, key (hash of the text), n, class_size, keeper (null, doc_id, key: the component's first row, nulls last) of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     base = cut(docs.mapInArrow(partial(_summaries, words=words, num=num, den=den), SUMMARY))
     full = base.where("n > 0")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
-    # of equal sets the smallest id stands for all; only the others are told, so the signatures stay where they are
-    several = classes.where("class_size > 1").select("h1", "h2", "rep")
-    others = cut(full.select("doc_id", "h1", "h2").join(several, ["h1", "h2"]).where("doc_id != rep").select("doc_id").distinct())
-    reps = full.where("doc_id is not null").join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
-    facts = reps.select("rep", "h1", "n", "spare0", "spare1")
-    rows = reps.select("rep", F.explode("sigs").alias("sig"))
-    value = F.col("sig").bitwiseAND(F.lit(-2))  # a slot-1 signature meets the next band's slot-0 ones
-    shared = rows.groupBy(value.alias("value")).agg(F.count("*").alias("held")).where("held > 1")
-    held = cut(rows.join(shared, value == F.col("value")).select("rep", "sig", "held"))
-    facts = cut(facts.join(held.select("rep").distinct(), "rep").dropDuplicates(["rep"]))
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
+    classes = full.groupBy("name").agg(F.min(first).alias("first"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1"))
+    entries = full.agg(F.sum("m")).first()[0] or 0
+    bits, width = _scale(entries)
+    dealt = docs.select("text").mapInArrow(partial(_dealt, words=words, num=num, den=den, bits=bits[0], width=width), CELLS)
+    told = cut(deal(dealt, bits, ["node", "slot", "weight"], entries // CHUNK_ENTRIES, width, LOCAL).groupBy("p").applyInArrow(lambda t: _shared(t), TOLD).distinct())
+    facts = cut(classes.join(told.select(F.col("u").alias("name")).distinct(), "name").withColumnRenamed("name", "node"))
     # a document may leave as many very frequent signatures as it has spare ones
-    loud = held.where(F.col("held") > FREQUENT).groupBy("rep").agg(F.count_if(F.col("sig") % 2 == 0).alias("loud0"), F.count_if(F.col("sig") % 2 != 0).alias("loud1"))
-    loud = loud.join(facts, "rep").select("rep", (F.col("loud0") > F.col("spare0")).alias("keeps0"), (F.col("loud1") > F.col("spare1")).alias("keeps1"))
-    kept = held.join(loud, "rep", "left").where((F.col("held") <= FREQUENT) | F.when(F.col("sig") % 2 == 0, F.col("keeps0")).otherwise(F.col("keeps1")))
-    heads = kept.groupBy(value.alias("value")).agg(F.min("rep").alias("v"))
-    family = components(kept.join(heads, value == F.col("value")).select(F.col("rep").alias("u"), "v"))
-    members = facts.join(family, facts.rep == family.node).select("rep", "h1", "n", F.col("component").alias("family"))
-    parts = members.groupBy("family").agg(F.ceil(F.sum("n") / unit_tokens).alias("parts"))
-    members = cut(
-        members.join(parts, "family").select("rep", "h1", "family", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), F.col("rep").alias("known"))
-    )
+    loud = told.where("loud").groupBy("u").agg(F.count_if(F.col("slot") == 0).alias("loud0"), F.count_if(F.col("slot") == 1).alias("loud1"))
+    loud = loud.join(facts, F.col("u") == F.col("node")).select("u", (F.col("loud0") > F.col("spare0")).alias("keeps0"), (F.col("loud1") > F.col("spare1")).alias("keeps1"))
+    some = beside(told.where("loud"), cut(loud.where("keeps0 or keeps1")), "u").where(F.when(F.col("slot") == 0, F.col("keeps0")).otherwise(F.col("keeps1")))
+    edges = cut(told.where("not loud").select("u", "v").unionByName(some.select("u", "v")).where("u != v").distinct())
+    family = components(edges)
+    repeated = full.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.lit(True).alias("again"))
+    at = facts.join(family, "node").select("node", "n", F.col("component").alias("family"), F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
+    at = at.join(repeated, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left").drop("__d", "__k")
+    members = cut(_parts(at.withColumn("again", F.coalesce("again", F.lit(False))).withColumn("known", F.col("node")), unit_tokens))
     links = cut(_links(docs, members, ["family", "part"], words, num, den))
-    found = components(links)
-    large = members.where("parts > 1").drop("known").join(found, F.col("rep") == F.col("node"), "left").select(
-        "rep", "h1", "family", "parts", "part", F.coalesce("component", "rep").alias("known")
-    )
-    mixed = large.groupBy("family").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a < b").select("family")
-    large = cut(large.join(mixed, "family"))
+    large = members.where("parts > 1")
     if not large.isEmpty():
-        other = F.explode(F.expr("filter(sequence(0L, parts - 1), x -> x != part)")).alias("other")
-        across = large.select("rep", "h1", "family", "known", "part", other).select(
-            "rep", "h1", "known", "family", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two")
-        )
-        found = components(links.unionByName(_links(docs, across, ["family", "one", "two"], words, num, den)))
+        found = components(links)
+        large = cut(large.drop("known", "parts", "part").join(found, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component"))
+        # signatures whose holders aren't connected yet; a head is a holder, too, unless it stands for a frequent signature
+        held = beside(edges.unionByName(edges.select(F.col("v").alias("u"), "v")), large.select(F.col("node").alias("u"), "known"), "u")
+        open_ = held.groupBy("v").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a < b").select("v")
+        again = components(beside(edges, cut(open_), "v"))
+        rest = large.drop("family").join(again, "node").withColumnRenamed("component", "family")
+        rest = cut(_parts(rest, unit_tokens))
+        if not rest.isEmpty():
+            other = F.explode(F.expr("if(parts = 1, array(0L), filter(sequence(0L, parts - 1), x -> x != part))")).alias("other")
+            across = rest.select("*", other).withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+            links = links.unionByName(_links(docs, cut(across.select("node", "known", "again", "doc_id", "key", "family", "one", "two")), ["family", "one", "two"], words, num, den))
+    found = components(links)
     # only classes of several rows or with links need their component told
-    told = classes.join(found, F.col("rep") == F.col("node"), "left").where("class_size > 1 or component is not null")
-    told = told.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "rep").alias("component"), "class_size")
-    return base.join(told, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")
-    )
+    linked = classes.join(found.withColumnRenamed("node", "name"), "name", "left").where("class_size > 1 or component is not null")
+    linked = cut(linked.select("name", F.coalesce("component", "name").alias("component"), "class_size", "first"))
+    keepers = cut(linked.groupBy("component").agg(F.min("first").alias("keeper")))
+    told = cut(beside(linked, keepers, "component").select("name", "class_size", "keeper"))
+    nothing = base.where("n = 0").select("doc_id", "key", "n", F.lit(1).cast("long").alias("class_size"), first.alias("keeper"))
+    return beside(full, told, "name", "left").select("doc_id", "key", "n", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("keeper", first).alias("keeper")).unionByName(nothing)
+
+
+CELLS = "p int, g long, n int, value binary, node binary, slot binary, weight binary"
+
+
+def _scale(entries: int) -> tuple[list[int], int]:
+    """Bits of the ranges, level by level, and bits of a signature: at these, documents that share one by chance are rare."""
+    bits = max(0, int(np.ceil(np.log2(max(1, entries / RANGE_ENTRIES)))))
+    levels = []
+    while bits > 0 or not levels:
+        levels.append(min(bits, FAN_BITS))
+        bits -= FAN_BITS
+    return levels, min(64, 24 + max(8, int(np.ceil(np.log2(max(1, entries))))))
+
+
+FAN_BITS = 12  # ranges that one chunk's signatures are dealt to at once
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_size for every row of docs(doc_id, text).
+
+    class_size: how many rows have the very same set (1 for empty sets). Other columns of docs are ignored.
+    """
+    return _components(docs, words, num, den, unit_tokens).select("doc_id", F.col("n").alias("n_shingles"), F.col("keeper.doc_id").alias("component_id"), "class_size")
 
 
-def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest doc_id stays.
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 2_000_000) -> DataFrame:
+    """docs without near duplicates: of each component the row with the smallest doc_id (nulls last) stays.
 
-    Rows without a doc_id, or whose text has no words, stay. Rows with the same doc_id and text both stay.
+    Of rows with that doc_id and different texts the one with the smallest hash stays; rows whose text has no words stay.
+    Rows with the same doc_id and text can't be told apart and stay or go together.
     """
-    gone = jaccard_components(docs.select("doc_id", "text"), words, num, den).where("component_id != doc_id").select("doc_id")
-    gone = cut(gone)
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    all_ = _components(docs.select("doc_id", "text"), words, num, den, unit_tokens)
+    gone = all_.where(~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("key").eqNullSafe(F.col("keeper.key")))))
+    gone = cut(gone.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct())
+    rows = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    same = rows.doc_id.cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k"))
+    return beside(rows, gone, same, "left_anti").drop("__key")
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
