@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 _CODEC = "zstd"
 PACK_CELLS = 1024
-KINDS = {"value": U, "node": U, "slot": np.uint8, "weight": np.uint32}
+KINDS = {"value": U, "node": U, "slot": np.uint8, "weight": np.uint32, "core": U, "tune": U}
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -32,10 +32,11 @@ def unpack_one(data: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, n).T).view(kind).ravel()
 
 
-def cells(value: np.ndarray, g: int, bits: int, beside: dict[str, np.ndarray], width: int = 64, p: int = 0, skip: int = 0):
+def cells(value: np.ndarray, g: int, bits: int, beside: dict[str, np.ndarray], width: int = 64, p: int = 0, skip: int = 0, **constant: int):
     """A batch of cells of sorted values that are cut at the ``bits`` bits behind their first ``skip`` ones.
 
-    width: bits that values have (the low ones are 0). p: the range that the values lie in so far.
+    width: bits that values have (the low ones are 0). p: the range that the values lie in so far. constant: columns
+    of one int.
     """
     if not len(value):
         return
@@ -50,8 +51,12 @@ def cells(value: np.ndarray, g: int, bits: int, beside: dict[str, np.ndarray], w
         for k, x in beside.items():
             data[k].append(pack(x[a:b]))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(columns["p"].astype(np.int32)), pa.array(columns["g"]), pa.array(columns["n"].astype(np.int32)), *(pa.array(x, pa.binary()) for x in data.values())], ["p", "g", "n", *data]
-    )
+        [
+            pa.array(columns["p"].astype(np.int32)), pa.array(columns["g"]), pa.array(columns["n"].astype(np.int32)), *(pa.array(x, pa.binary()) for x in data.values()),
+            *(pa.array(np.full(len(heads), x, np.int32)) for x in constant.values()),
+        ],
+        ["p", "g", "n", *data, *constant],
+    )
 
 
 def unpack(table: pa.Table, name: str, width: int = 64) -> np.ndarray:
@@ -63,6 +68,14 @@ def unpack(table: pa.Table, name: str, width: int = 64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, KINDS[name])
 
 
+def levels_of(bits: int, fan: int) -> list[int]:
+    """Bits of the ranges, level by level."""
+    out = [min(bits, fan)]
+    while sum(out) < bits:
+        out.append(min(bits - sum(out), fan))
+    return out
+
+
 def deal(dealt: DataFrame, levels: list[int], beside: list[str], chunks: int, width: int = 64, most: int = 1 << 30) -> DataFrame:
     """Cells that are dealt by the first of ``levels`` bits, dealt again by the others; ranges from ``most`` on stay.
 

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dealing import cells, deal, unpack
+from .dealing import cells, deal, levels_of, unpack
 from .graph import beside, components, cut
 from .text import distinct, mix64, shingles, slices, sums, word_hashes
 
@@ -435,11 +435,7 @@ CELLS = "p int, g long, n int, value binary, node binary, slot binary, weight bi
 def _scale(entries: int) -> tuple[list[int], int]:
     """Bits of the ranges, level by level, and bits of a signature: at these, documents that share one by chance are rare."""
     bits = max(0, int(np.ceil(np.log2(max(1, entries / RANGE_ENTRIES)))))
-    levels = []
-    while bits > 0 or not levels:
-        levels.append(min(bits, FAN_BITS))
-        bits -= FAN_BITS
-    return levels, min(64, 24 + max(8, int(np.ceil(np.log2(max(1, entries))))))
+    return levels_of(bits, FAN_BITS), min(64, 24 + max(8, int(np.ceil(np.log2(max(1, entries))))))
 
 
 FAN_BITS = 12  # ranges that one chunk's signatures are dealt to at once
