@@ -76,6 +76,16 @@ def levels_of(bits: int, fan: int) -> list[int]:
     return out
 
 
+def _again(beside: list[str], bits: int, skip: int, width: int):
+    def run(t: pa.Table) -> pa.Table:
+        value = unpack(t, "value") << U(64 - width)
+        order = np.argsort(value, kind="stable")
+        columns = {k: unpack(t, k)[order] for k in beside}
+        return pa.Table.from_batches(list(cells(value[order], t.column("g")[0].as_py(), bits, columns, width, t.column("p")[0].as_py(), skip)))
+
+    return run
+
+
 def deal(dealt: DataFrame, levels: list[int], beside: list[str], chunks: int, width: int = 64, most: int = 1 << 30) -> DataFrame:
     """Cells that are dealt by the first of ``levels`` bits, dealt again by the others; ranges from ``most`` on stay.
 
@@ -83,17 +93,9 @@ def deal(dealt: DataFrame, levels: list[int], beside: list[str], chunks: int, wi
     """
     skip, packs = levels[0], -(-chunks // PACK_CELLS) + 1
     for bits in levels[1:]:
-
-        def again(t: pa.Table, bits=bits, skip=skip) -> pa.Table:
-            p = t.column("p")[0].as_py()
-            value = unpack(t, "value") << U(64 - width)
-            order = np.argsort(value, kind="stable")
-            batches = list(cells(value[order], t.column("g")[0].as_py(), bits, {k: unpack(t, k)[order] for k in beside}, width, p, skip))
-            return pa.Table.from_batches(batches)
-
         fixed = dealt.where(F.col("p") >= most)
         moved = dealt.where(F.col("p") < most)
-        moved = moved.groupBy("p", F.pmod(F.xxhash64("g"), F.lit(packs)).alias("pack")).applyInArrow(lambda t, again=again: again(t), dealt.schema)
+        moved = moved.groupBy("p", F.pmod(F.xxhash64("g"), F.lit(packs)).alias("pack")).applyInArrow(_again(beside, bits, skip, width), dealt.schema)
         dealt = moved.unionByName(fixed)
         skip += bits
     return dealt
