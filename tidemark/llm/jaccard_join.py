@@ -15,6 +15,9 @@ Sets are the distinct word n-grams of a text. Two documents link when
    Signatures are packed in sorted cells and dealt by hash range; a range tells only those that several classes
    share. One that is frequent within a chunk of documents is known to be frequent, so the chunk keeps it to
    itself and only sends its count: no range gets all rows of a hot signature.
+   Documents of one signature are then held against each other by the numbers of their elements in a few dozen
+   parts of the hash space: sets differ in at least as many elements as these numbers do, so most documents that only have
+   a passage in common part here, losslessly and without their texts.
 3. A family (a connected component of candidates) is searched by a signature tree: nodes hold the
    OR of their documents' token bitmaps and their range of sizes, and a dual traversal drops node
    pairs whose maximum possible overlap is too small. What is left is verified exactly. Pairs that
@@ -116,18 +119,65 @@ def _names(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix64(sums(mix64(h ^ U(1)), ptr) + np.diff(ptr).astype(U)).view(np.int64)
 
 
+def _profile_bits(n: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """log2 of the parts of the hash space for the profiles of sets of n elements: one for 4 to 8 elements of the band's smallest."""
+    low = bands[np.maximum(np.searchsorted(bands, n, "right") - 1, 0)]
+    return np.clip(np.ceil(np.log2(np.maximum(low, 1) / 8)), 4, 12).astype(np.int64)
+
+
+def _profiles(h: np.ndarray, ptr: np.ndarray, bands: np.ndarray) -> list[bytes]:
+    """How many elements each set has in each part of the hash space."""
+    n = np.diff(ptr)
+    bits = _profile_bits(n, bands)
+    start = np.concatenate([[0], np.cumsum(1 << bits)])
+    row = np.repeat(np.arange(len(n)), n)
+    m = mix64(h ^ U(0xC3C3C3C3))
+    at = start[row] + (m >> (U(64) - bits[row].astype(U))).astype(np.int64)
+    flat = np.minimum(np.bincount(at, minlength=start[-1]), 255).astype(np.uint8).tobytes()
+    return [flat[a:b] for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def _near(profiles: list[bytes], n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each of a star's sets the first that it is connected with by pairs whose profiles leave a link possible."""
+    parts = min(map(len, profiles))
+    v = np.stack([np.frombuffer(x, np.uint8).reshape(parts, -1).sum(1, dtype=np.int32) for x in profiles])
+    root = np.arange(len(n))
+    for i in range(1, len(n)):
+        apart = np.flatnonzero(root[:i] != root[i])
+        # a set that is connected with i needs no second look, but each group must be met
+        far = np.abs(v[apart] - v[i]).sum(1, dtype=np.int64) * (den + num) > (den - num) * (n[apart] + n[i])
+        met = np.unique(root[apart[~far]])
+        if len(met):
+            least = min(int(met[0]), int(root[i]))
+            root[np.isin(root, np.append(met, root[i]))] = least
+    return root
+
+
+def _parted(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Edges (u, v) from candidates of heads to the first candidate that they are near to."""
+    order = np.lexsort((table.column("u").to_numpy(), table.column("v").to_numpy()))
+    v, u, n = (table.column(k).to_numpy()[order] for k in ("v", "u", "n"))
+    profile = table.column("profile").to_pylist()
+    edges = np.append(np.flatnonzero(np.diff(v, prepend=~v[:1])), len(v)).tolist()
+    head = u.copy()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        head[a:b] = u[a + _near([profile[k] for k in order[a:b]], n[a:b], num, den)]
+    keep = head != u
+    return pa.table({"u": u[keep], "v": head[keep]})
+
+
 def _summaries(batches, words: int, num: int, den: int):
     bands = _bands(num, den)
     for batch in batches:
         for a, b, h, ptr, name in _sets(batch.column("text"), words):
             _, _, sp, spare0, spare1 = _signatures(h, ptr, num, den, bands)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(np.diff(ptr)), pa.array(name), pa.array(spare0), pa.array(spare1), pa.array(np.diff(sp))],
-                ["doc_id", "key", "n", "name", "spare0", "spare1", "m"],
+                [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(np.diff(ptr)), pa.array(name), pa.array(spare0), pa.array(spare1), pa.array(np.diff(sp)), pa.array(_profiles(h, ptr, bands), pa.binary())],
+                ["doc_id", "key", "n", "name", "spare0", "spare1", "m", "profile"],
             )
 
 
-SUMMARY = "doc_id long, key long, n long, name long, spare0 long, spare1 long, m long"
+SUMMARY = "doc_id long, key long, n long, name long, spare0 long, spare1 long, m long, profile binary"
 LOCAL = 1 << 30  # ranges from here on hold what a chunk found to be frequent
 TOLD = "u long, v long, slot int, loud boolean"
 
@@ -203,7 +253,9 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 FAN, WORDS64 = 8, 16
-DENSE_BYTES = 1 << 27
+DENSE_BYTES = 1 << 26
+STAR = 4096  # candidates of one head that are held against each other by their profiles
+PROFILE_ROWS = 20_000  # candidates in a task
 
 
 class _Forest:
@@ -333,6 +385,9 @@ def tree_links(h: np.ndarray, ptr: np.ndarray, num: int, den: int, known: np.nda
         _, head, label = np.unique(known[order], return_index=True, return_inverse=True)
         forest.link(np.arange(len(order)), head[label], told=False)
     overlaps = _Overlaps(h, ptr, order)
+    parts = np.zeros((len(order), 128), np.uint16)
+    np.add.at(parts, (row, (mix64(h ^ U(0xC3C3C3C3)) >> U(57)).astype(np.int64)), 1)
+    parts = parts[order].astype(np.int32)
     size = size[order]
     tree = _Tree(bits[order], size)
     top = len(tree.levels) - 1
@@ -342,6 +397,9 @@ def tree_links(h: np.ndarray, ptr: np.ndarray, num: int, den: int, known: np.nda
             x, y = a[i : i + overlaps.step], b[i : i + overlaps.step]
             apart = forest.root[x] != forest.root[y]
             x, y = x[apart], y[apart]
+            near = np.concatenate([np.abs(parts[x[k : k + 8192]] - parts[y[k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, len(x), 8192)] or [np.zeros(0, np.int64)])
+            near = near * (den + num) <= (den - num) * (size[x] + size[y])
+            x, y = x[near], y[near]
             common = overlaps(x, y)
             linked = den * common >= num * (size[x] + size[y] - common)
             if linked.any():
@@ -393,14 +451,23 @@ def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: in
     bits, width = _scale(entries)
     dealt = docs.select("text").mapInArrow(partial(_dealt, words=words, num=num, den=den, bits=bits[0], width=width), CELLS)
     told = cut(deal(dealt, bits, ["node", "slot", "weight"], entries // CHUNK_ENTRIES, width, LOCAL).groupBy("p").applyInArrow(lambda t: _shared(t), TOLD).distinct())
-    facts = cut(classes.join(told.select(F.col("u").alias("name")).distinct(), "name").withColumnRenamed("name", "node"))
+    wanted = told.select(F.col("u").alias("name")).distinct()
+    profiles = full.join(wanted, "name").groupBy(F.col("name").alias("node")).agg(F.min("profile").alias("profile"))
+    facts = cut(classes.join(wanted, "name").withColumnRenamed("name", "node").join(profiles, "node"))
     # a document may leave as many very frequent signatures as it has spare ones
     loud = told.where("loud").groupBy("u").agg(F.count_if(F.col("slot") == 0).alias("loud0"), F.count_if(F.col("slot") == 1).alias("loud1"))
     loud = loud.join(facts, F.col("u") == F.col("node")).select("u", (F.col("loud0") > F.col("spare0")).alias("keeps0"), (F.col("loud1") > F.col("spare1")).alias("keeps1"))
     some = beside(told.where("loud"), cut(loud.where("keeps0 or keeps1")), "u").where(F.when(F.col("slot") == 0, F.col("keeps0")).otherwise(F.col("keeps1")))
-    edges = cut(told.where("not loud").select("u", "v").unionByName(some.select("u", "v")).where("u != v").distinct())
+    # stars of candidates: the head is one of them, but where it stands for a frequent signature
+    stars = cut(told.where("not loud").select("u", "v").unionByName(some.select("u", "v")).distinct())
+    large = cut(stars.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > STAR).select("v"))
+    whole = beside(stars, large, "v").where("u != v").select("u", "v")
+    small = beside(stars, large, "v", "left_anti").join(facts.select(F.col("node").alias("u"), "n", "profile"), "u")
+    small = small.groupBy(F.pmod(F.xxhash64("v"), F.lit(stars.count() // PROFILE_ROWS + 1)).alias("unit"))
+    edges = cut(whole.unionByName(small.applyInArrow(lambda t: _parted(t, num, den), "u long, v long")).distinct())
     family = components(edges)
     repeated = full.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.lit(True).alias("again"))
+    facts = facts.drop("profile")
     at = facts.join(family, "node").select("node", "n", F.col("component").alias("family"), F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
     at = at.join(repeated, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left").drop("__d", "__k")
     members = cut(_parts(at.withColumn("again", F.coalesce("again", F.lit(False))).withColumn("known", F.col("node")), unit_tokens))
@@ -441,7 +508,7 @@ def _scale(entries: int) -> tuple[list[int], int]:
 FAN_BITS = 12  # ranges that one chunk's signatures are dealt to at once
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size for every row of docs(doc_id, text).
 
     class_size: how many rows have the very same set (1 for empty sets). Other columns of docs are ignored.
@@ -449,7 +516,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     return _components(docs, words, num, den, unit_tokens).select("doc_id", F.col("n").alias("n_shingles"), F.col("keeper.doc_id").alias("component_id"), "class_size")
 
 
-def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 2_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 1_000_000) -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest doc_id (nulls last) stays.
 
     Of rows with that doc_id and different texts the one with the smallest hash stays; rows whose text has no words stay.
