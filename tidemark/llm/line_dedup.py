@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import cut
+from .graph import beside, cut
 
 BROADCAST_ROWS = 1_000_000
 STEP, MODULUS = 1009, 1_000_003
@@ -59,6 +59,27 @@ def _pairs(wanted: str) -> Column:
     )
 
 
+def _with_keeper(texts: DataFrame, value: str) -> DataFrame:
+    """texts(doc_id, key, start, value, ...) whose value occurs more than once, with keeper, the first place of its bytes.
+
+    Values of equal hashes are compared by their bytes: where the least and the largest are the same, all are, and the
+    hash stands for them. Hashes of several values, if there are any, are grouped and joined with the bytes beside them.
+    Groups are added up before the shuffle, and the keepers are a written table, so a value of very many places
+    is never in one task.
+    """
+    hashed = texts.withColumn("h", F.xxhash64(value))
+    place = F.min(F.struct("doc_id", "key", "start")).alias("keeper")
+    groups = hashed.groupBy("h").agg((F.min(value) == F.max(value)).alias("same"), place, F.count("*").alias("n")).where("n > 1")
+    groups = cut(groups.select("h", "same", "keeper"))
+    found = beside(hashed, groups.where("same").select("h", "keeper"), "h")
+    mixed = groups.where("not same").select("h")
+    if not mixed.isEmpty():
+        several = beside(hashed, mixed, "h")
+        first = cut(several.groupBy("h", value).agg(place, F.count("*").alias("n")).where("n > 1").drop("n"))
+        found = found.unionByName(several.join(first, ["h", value]), allowMissingColumns=False)
+    return found
+
+
 def _passages(core: DataFrame, long_words: int) -> DataFrame:
     """(doc_id, key, start, stop) of runs of repeated pairs, but for each pair's first place."""
     lines = core.select("doc_id", F.xxhash64("text").alias("key"), F.split("text", "\n", -1).alias("lines")).where("size(lines) > 1")
@@ -69,10 +90,9 @@ def _passages(core: DataFrame, long_words: int) -> DataFrame:
     few = places.count() <= BROADCAST_ROWS and keys.count() <= 8 * BROADCAST_ROWS
     found = _beside(lines, places, "starts", few, "inner")
     texts = found.select("doc_id", "key", F.explode(_pairs("array_contains(__starts, i)")).alias("c")).select("doc_id", "key", "c.*")
-    first = texts.groupBy(F.xxhash64("pair").alias("h"), "pair").agg(F.min(F.struct("doc_id", "key", "start")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
     # a line that follows itself doesn't take a line from its pair's first place
     own = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("key") == F.col("keeper.key")) & (F.col("start") < F.col("keeper.start") + 2)
-    gone = texts.withColumn("h", F.xxhash64("pair")).join(first, ["h", "pair"]).where(~own).select("doc_id", "key", "start", "words", "last").distinct()
+    gone = _with_keeper(texts, "pair").where(~own).select("doc_id", "key", "start", "words", "last").distinct()
     runs = gone.withColumn("run", F.col("start") - F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("start"))).groupBy("doc_id", "key", "run")
     runs = runs.agg(F.min("start").alias("start"), (F.max("start") + 1).alias("stop"), (F.sum("words") + F.max_by("last", "start")).alias("words"))
     return runs.where(F.col("words") >= long_words).select("doc_id", "key", "start", "stop")
@@ -109,9 +129,7 @@ def line_dedup(docs: DataFrame, window: int = 2, long_words: int = 50, passages:
     texts = found.select("doc_id", "key", F.explode(_slices(f"{eligible} and array_contains(__starts, c.start)")).alias("c")).select(
         "doc_id", "key", "c.start", "c.stop", "c.chunk"
     )
-    # groups are of equal bytes, not of equal hashes
-    first = texts.groupBy(F.xxhash64("chunk").alias("h"), "chunk").agg(F.min(F.struct("doc_id", "key", "start")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    gone = texts.withColumn("h", F.xxhash64("chunk")).join(first, ["h", "chunk"]).where(~F.struct("doc_id", "key", "start").eqNullSafe(F.col("keeper")))
+    gone = _with_keeper(texts, "chunk").where(~F.struct("doc_id", "key", "start").eqNullSafe(F.col("keeper")))
     if passages:
         gone = _merged(gone.select("doc_id", "key", "start", "stop").unionByName(_passages(core, long_words)))
     gone = cut(gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed")))
