@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-SLOT_BUCKETS = 64
+from .graph import cut
+
+SLOT_BUCKETS, SLOT_ROWS = 64, 1_000_000
 
 
 def _winner(lanes: list[Column], weights: list[float]) -> Column:
@@ -21,8 +23,15 @@ def _winner(lanes: list[Column], weights: list[float]) -> Column:
     return F.array_min(F.array(*scores))["k"]
 
 
-def assign_shards(df: DataFrame, key: Column, weights: list[float], grown_weight: float = 1.0) -> DataFrame:
-    """df with shard, grown_shard (with one more shard) and slot_bucket.
+def slot_buckets(rows: int, shards: int) -> int:
+    """Buckets of a shard, a power of 2: at least 64, and so many that one has about SLOT_ROWS rows at most."""
+    return max(SLOT_BUCKETS, 1 << max(0, rows // (shards * SLOT_ROWS)).bit_length())
+
+
+def assign_shards(df: DataFrame, key: Column, weights: list[float], grown_weight: float = 1.0, buckets: int = SLOT_BUCKETS, spread: Column | None = None) -> DataFrame:
+    """df with shard, grown_shard (with one more shard) and slot_bucket (0 to buckets - 1).
+
+    spread: what deals the rows of one key to buckets, so that a key with very many rows isn't in one; null deals them by the key.
 
     A null key is the empty text. Four shards share one md5 of key and shard group. Columns of these names are replaced.
     """
@@ -32,12 +41,12 @@ def assign_shards(df: DataFrame, key: Column, weights: list[float], grown_weight
     df = df.drop("shard", "grown_shard", "slot_bucket")
     named = df.withColumn("__key", F.coalesce(key.cast("string"), F.lit("")))
     blocks = [F.md5(F.concat_ws(":", F.col("__key"), F.lit(str(b)))) for b in range((n + 3) // 4)]
-    drawn = named.select("*", *(b.alias(f"__m{k}") for k, b in enumerate(blocks)), F.md5(F.concat_ws(":", F.col("__key"), F.lit("slot"))).alias("__slot"))
+    drawn = named.select("*", *(b.alias(f"__m{k}") for k, b in enumerate(blocks)), F.md5(F.concat_ws(":", F.col("__key"), spread if spread is not None else F.lit("slot"))).alias("__slot"))
     lanes = [F.conv(F.substring(f"__m{s // 4}", 1 + 8 * (s % 4), 8), 16, 10).cast("double").alias(f"__u{s}") for s in range(n)]
     wide = drawn.select(*df.columns, *lanes, F.conv(F.substring("__slot", 1, 8), 16, 10).cast("long").alias("__slot"))
     u = [F.col(f"__u{s}") for s in range(n)]
     return wide.select(
-        *df.columns, _winner(u[:-1], weights).alias("shard"), _winner(u, [*weights, grown_weight]).alias("grown_shard"), (F.col("__slot") % SLOT_BUCKETS).cast("int").alias("slot_bucket")
+        *df.columns, _winner(u[:-1], weights).alias("shard"), _winner(u, [*weights, grown_weight]).alias("grown_shard"), (F.col("__slot") % buckets).cast("int").alias("slot_bucket")
     )
 
 
@@ -45,7 +54,7 @@ def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
     """A gapless position from 0 in each shard, by slot_bucket and then ``order``.
 
     Positions count within (shard, slot_bucket), so no task holds a whole shard; the
-    offsets of the buckets (shards x 64 rows, a fixed bound) are broadcast.
+    offsets of the buckets (a row for each, see ``slot_buckets``) are broadcast.
     """
     sizes = rows.groupBy("shard", "slot_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("slot_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +74,12 @@ def shard_documents(docs: DataFrame, weights: list[float], with_text: bool = Fal
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), *(["text"] if with_text else [])
     )
     rows = rows.withColumn("size", F.col("bytes") + 16).drop("bytes")
-    placed = with_slots(assign_shards(rows, F.col("doc_id"), weights), ["doc_id", "size", "text_crc32"])
+    buckets = slot_buckets(docs.count(), len(weights))
+    # rows of one doc_id are told apart by their texts; those of one id and text are alike, and may stand in any order
+    assigned = assign_shards(rows, F.col("doc_id"), weights, buckets=buckets, spread=F.concat_ws(":", F.lit("slot"), F.col("size"), F.col("text_crc32")))
+    if not with_text:
+        assigned = cut(assigned)  # narrow rows, read twice: for the buckets' sizes and for the slots
+    placed = with_slots(assigned, ["doc_id", "size", "text_crc32"])
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast(T.IntegerType()), "slot", F.col("grown_shard").cast(T.IntegerType()), *(["text"] if with_text else [])
     )
@@ -89,6 +103,6 @@ tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n,
 crc AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::BIGINT)),
   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, tab)
 SELECT doc_id, bytes + 16 AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown::INTEGER AS grown_shard,
-  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR || ':slot'), 1, 8))::BIGINT % 64, doc_id) - 1 AS slot
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR || ':slot:' || (bytes + 16)::VARCHAR || ':' || text_crc32::VARCHAR), 1, 8))::BIGINT % 64, doc_id) - 1 AS slot
 FROM crc JOIN best USING (doc_id)
 """
