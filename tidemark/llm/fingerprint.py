@@ -1,10 +1,10 @@
 """Threshold-scaled document fingerprints.
 
-A fingerprint keeps every word-shingle hash below a fixed fraction of the hash space, so its
-size follows the document's and two fingerprints of very unequal documents still estimate containment;
-the union of fingerprints is the fingerprint of the union. So that no text with words has an
-empty one, the smallest hash always stays. It is written as the sorted hashes, 12 hex digits
-each (the upper 48 bits).
+A fingerprint keeps every word-shingle hash below a fixed fraction of the hash space, and nothing else, so its
+size follows the document's, two fingerprints of very unequal documents still estimate containment, and
+the union of fingerprints is the fingerprint of the union. It is written as the sorted hashes, 12 hex digits
+each (the upper 48 bits). A text with words but no hash below the fraction has, in place of an empty one, a mark ``~`` and
+its least hash: it tells small texts apart, and merging leaves it out as soon as either side has a kept hash.
 """
 
 from __future__ import annotations
@@ -23,29 +23,43 @@ U = np.uint64
 WORDS, SCALE, WIDTH = 5, 4, 12
 
 
+MARK = U(1) << U(63)  # in front of the least hash of a text that keeps none
+
+
 def sketch(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 48-bit hashes of each text's fingerprint, with pointers."""
+    """Sorted 48-bit hashes of each text's fingerprint, with pointers; a marked one where a text with words keeps none."""
     h, ptr = shingles(*word_hashes(data, offsets), words)
     n = np.diff(ptr)
-    keep = h < U((1 << 64) // scale) if scale > 1 else np.ones(len(h), bool)
-    some = np.flatnonzero(n)
-    if len(some):
-        least = np.minimum.reduceat(h, ptr[some])
-        keep |= h == np.repeat(least, n[some])
+    h = h >> U(16)
+    keep = h < U((1 << 48) // scale)
     kept = np.zeros(len(h) + 1, np.int64)
     np.cumsum(keep, out=kept[1:])
-    return distinct(h[keep] >> U(16), kept[ptr])
+    bare = np.flatnonzero((n > 0) & (kept[ptr[1:]] == kept[ptr[:-1]]))
+    for row in bare.tolist():
+        at = ptr[row] + int(np.argmin(h[ptr[row] : ptr[row + 1]]))
+        h[at] |= MARK
+        keep[at] = True
+    np.cumsum(keep, out=kept[1:])
+    return distinct(h[keep], kept[ptr])
 
 
 def hex_strings(values: np.ndarray, ptr: np.ndarray) -> list[str]:
     text = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex()
-    return [text[WIDTH * a : WIDTH * b] for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
+    out = [text[WIDTH * a : WIDTH * b] for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
+    marked = np.flatnonzero(values >= MARK)
+    for row in (np.searchsorted(ptr, marked, "right") - 1).tolist():
+        out[row] = "~" + out[row]
+    return out
 
 
 def likeness(a: np.ndarray, ap: np.ndarray, b: np.ndarray, bp: np.ndarray) -> np.ndarray:
-    """Jaccard estimate of row i of a against row i of b; two empty ones are alike (1)."""
+    """Jaccard estimate of row i of a against row i of b; two empty ones are alike (1).
+
+    Two marked ones are alike if they are the same (the odds of that are the Jaccard similarity), a marked and a kept one aren't.
+    """
     n = len(ap) - 1
     na, nb = np.diff(ap), np.diff(bp)
+    a, b = (np.where(x >= MARK, x ^ MARK, x) for x in (a, b))  # a marked hash is above the fraction, a kept one below
     common = np.zeros(n, np.int64)
     for i in range(0, n, 60_000):  # a row number of 16 bits goes in front of each hash
         j = min(n, i + 60_000)
@@ -58,18 +72,20 @@ def likeness(a: np.ndarray, ap: np.ndarray, b: np.ndarray, bp: np.ndarray) -> np
 
 
 def hashes(fingerprint: Column) -> Column:
-    """A fingerprint as an array of its hashes."""
-    return F.regexp_extract_all(fingerprint, F.lit("(.{12})"), F.lit(1))
+    """A fingerprint's kept hashes as an array; a marked one isn't kept."""
+    return F.when(fingerprint.startswith("~"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(fingerprint, F.lit("(.{12})"), F.lit(1)))
 
 
 def containment(part: Column, whole: Column) -> Column:
-    """The estimated share of ``part``'s shingles that ``whole`` has; null for an empty part."""
+    """The estimated share of ``part``'s shingles that ``whole`` has; null if ``part`` keeps no hash."""
     return F.try_divide(F.size(F.array_intersect(hashes(part), hashes(whole))), F.size(hashes(part)))
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The fingerprint of both documents together."""
-    return F.array_join(F.array_sort(F.array_union(hashes(a), hashes(b))), "")
+    """The fingerprint of both documents' shingles together."""
+    kept = F.array_join(F.array_sort(F.array_union(hashes(a), hashes(b))), "")
+    bare = F.least(F.when(a != "", a), F.when(b != "", b))
+    return F.when(kept != "", kept).otherwise(F.coalesce(bare, F.lit("")))
 
 
 def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS, scale: int = SCALE) -> DataFrame:
@@ -115,22 +131,32 @@ def _rows(ids: pa.Array, text: pa.Array, words: int, scale: int) -> pa.RecordBat
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 PIECE = 1 << 20
+RANGE_BYTES, MOST_RANGES = 1 << 28, 10_000
 
 
-def neighbour_fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE, ranges: int = 512) -> DataFrame:
+def neighbour_fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness to each other and the next document.
 
     The edited text has its last floor(n_chars/2) code points replaced by as many first ones of the
     next document, in descending doc_id (ties by text, null ids last; after the last comes the first).
     Rows are dealt to ranges of doc_id whose ends are ids of the data; the row at an end is also sent to
-    the range that follows, so each range is read once, in order, and texts are shuffled once.
+    the range that follows, so each range is read once, in order, and texts are shuffled once. ranges: by default one
+    for RANGE_BYTES of text, MOST_RANGES at most; a range is streamed in pieces of PIECE bytes, so it may be larger. Rows of
+    one repeated doc_id, and those without any, are a range of their own, which is sorted on disk if need be.
+    Other columns of docs are ignored; an empty table has no rows, and a single row is its own next document.
     """
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = int(min(MOST_RANGES, max(64, size // RANGE_BYTES)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shares = [k / ranges for k in range(1, ranges)]
-    bounds = docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges).alias("b"), F.max("doc_id").alias("m")).first()
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * ranges)).alias("b"), F.max("doc_id").alias("m")).first()
     ends = sorted({*(bounds["b"] or []), bounds["m"]}) if bounds["m"] is not None else []
     held = F.lit(ends).cast("array<bigint>") if ends else F.expr("cast(array() as array<bigint>)")
-    place = F.coalesce(F.size(F.filter(held, lambda e: e < F.col("doc_id"))), F.lit(0))
+    # how many ends lie below: among every step-th one, then among those between
+    step = max(1, int(len(ends) ** 0.5))
+    above = F.size(F.filter(F.lit(ends[step - 1 :: step]).cast("array<bigint>"), lambda e: e < F.col("doc_id"))) * step if ends else F.lit(0)
+    place = F.coalesce(above + F.size(F.filter(F.slice(held, above + 1, F.lit(step)), lambda e: e < F.col("doc_id"))), F.lit(0))
     follows = F.when(F.col("doc_id") == F.lit(ends[-1] if ends else 0), F.lit(0)).otherwise(F.col("place") + 1)
     copies = F.when(F.array_contains(held, F.col("doc_id")), F.array(F.struct(F.col("place").alias("place"), F.lit(0).alias("tail")), F.struct(follows.alias("place"), F.lit(1).alias("tail"))))
     dealt = docs.withColumn("place", place).select("doc_id", "text", F.explode(F.coalesce(copies, F.array(F.struct(F.col("place").alias("place"), F.lit(0).alias("tail"))))).alias("c"))
