@@ -237,6 +237,16 @@ def test_clashing_columns(spark):
     assert decontaminate.decontaminate(df, bench).count() == 0 and decontaminate.find_leaks(df, bench).count() == 2
 
 
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """Chunks of one hash but different bytes are no repeats: here all hashes of chunks and pairs are the same."""
+    monkeypatch.setattr(line_dedup, "_hash", lambda value: F.lit(1).cast("long"))
+    long = [" ".join(f"{k}w{i}" for i in range(60)) for k in range(3)]
+    rows = [(1, f"a\n{long[0]}\nb"), (2, f"c\n{long[1]}"), (3, f"{long[0]}\nd"), (4, f"{long[1]}\ne\n{long[2]}"), (5, "x " * 200_000)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "d", 4: f"e\n{long[2]}", 5: rows[4][1]}
+    assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_line_dedup_boundaries_shift_with_the_lines(spark):
     shared = [f"shared line number {i}" for i in range(30)]
     rows = [(1, "\n".join(shared)), (2, "\n".join(["own a", "own b", *shared, "own c"]))]
@@ -263,6 +273,70 @@ def test_fingerprints(spark, corpus):
     assert all(bool(f) == bool(words(dict(corpus)[i])) for i, f in alone.items())
 
 
+def kept_hashes_brute(text, words_=fingerprint.WORDS, scale=fingerprint.SCALE):
+    """What the fingerprint should keep, from the shingles one by one."""
+    from tidemark.llm.text import arrow_bytes, shingles, word_hashes
+
+    w, out = words(text), set()
+    for k in range(max(1, len(w) - words_ + 1) if w else 0):
+        h, _ = shingles(*word_hashes(*arrow_bytes(pa.array([" ".join(w[k : k + words_])]))), words_)
+        out.add(int(h[0]) >> 16)
+    low = {h for h in out if h < (1 << 48) // scale}
+    return "".join(f"{h:012x}" for h in sorted(low)) if low or not out else f"~{min(out):012x}"
+
+
+def test_fingerprints_keep_what_is_below_the_threshold_and_merge(spark):
+    rng = random.Random(13)
+    vocab = vocabulary(rng, 400)
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.choice([0, 1, 3, 6, 7, 12, 40, 400]))) for _ in range(120)]
+    df = fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    f = {r.doc_id: r.fingerprint for r in df.collect()}
+    assert all(f[i] == kept_hashes_brute(t) for i, t in enumerate(texts))
+    assert sum(x.startswith("~") for x in f.values()) > 5
+    # a text with the shingles of both, and no others: the two, apart from each other by line ends that shingles can't cross
+    pairs = [(a, b) for a in range(0, 60) for b in (a + 60,)]
+    union = lambda a, b: {f[x][k : k + 12] for x in (a, b) if not f[x].startswith("~") for k in range(0, len(f[x]), 12)}
+    rows = spark.createDataFrame([(a, b, f[a], f[b]) for a, b in pairs], "a int, b int, fa string, fb string").select("a", "b", fingerprint.merged(F.col("fa"), F.col("fb")).alias("m")).collect()
+    for r in rows:
+        low = union(r.a, r.b)
+        bare = [f[x] for x in (r.a, r.b) if f[x]]
+        assert r.m == ("".join(sorted(low)) if low else min(bare, default=""))
+
+
+def test_fingerprint_estimates_follow_the_exact_jaccard(spark):
+    rng = random.Random(14)
+    vocab = vocabulary(rng, 900)
+    rows = []
+    for i in range(60):
+        base = [rng.choice(vocab) for _ in range(500)]
+        k = rng.randint(0, 500)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:k] + [rng.choice(vocab) for _ in range(500 - k)]))]
+    f = {r.doc_id: set(re.findall(".{12}", r.fingerprint)) for r in fingerprint.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+    t = dict(rows)
+    error = []
+    for i in range(60):
+        a, b = shingle_set(t[2 * i], 5), shingle_set(t[2 * i + 1], 5)
+        error.append(len(f[2 * i] & f[2 * i + 1]) / len(f[2 * i] | f[2 * i + 1]) - len(a & b) / len(a | b))
+    assert abs(np.mean(error)) < 0.02 and np.std(error) < 0.06
+
+
+def test_fingerprint_neighbours_of_odd_tables(spark):
+    """Repeated and null ids, one row, no rows, a very long text."""
+    long = "word " * 300_000
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "zz"), (None, "q"), (None, None), (7, long), (-3, "")]
+    got = fingerprint.neighbour_fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(3), ranges=5).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        want.append((i or 0, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
+    assert sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    one = fingerprint.neighbour_fingerprints(spark.createDataFrame([(1, "a b")], SCHEMA)).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+    assert fingerprint.neighbour_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_fingerprint_containment_and_merge(spark):
     rng = random.Random(3)
     vocab = vocabulary(rng, 900)
@@ -306,6 +380,39 @@ def test_url_patterns_with_suffixed_hosts_equal_all_regexes(spark):
     assert some
 
 
+def test_thousands_of_rules_from_a_table_equal_all_regexes(spark):
+    """Rules with read tokens, given ones and none; null, empty, repeated and very long urls; clashing columns; empty tables."""
+    rng = random.Random(8)
+    names = vocabulary(rng, 60)
+    host = lambda: ".".join(rng.choice(names) for _ in range(rng.randint(1, 3)))
+    rows = []
+    for i in range(2500):
+        pattern = rng.choice([
+            rf"(?:.*\.)?{re.escape(host())}/", rf"{rng.choice(names)}-{rng.choice(names)}", rf"[^/]*\b{rng.choice(names)}\b", rf"[^/]*/{rng.choice(names)}/.*\.(gif|png)$", rf"{rng.choice(names)[:3]}s?{rng.choice(names)}", r"[^/]*[0-9]{5}",
+        ])
+        rows.append((f"r{i}", rng.choice(["allow", "block"]), pattern, None, i % 2))
+    table = spark.createDataFrame([*rows, (None, "block", "x", None, 0), ("x", None, "x", None, 0)], "name string, action string, pattern string, tokens array<string>, tier int")
+    rules = url_filter.rules_from(table)
+    assert len(rules) == 2500 and 0 < sum(not r.tokens for r in rules) < 1000
+    urls = [None, "", "x", "http://" + "a." * 5000 + "com/" + "b/" * 5000]
+    urls += [f"http://{host()}/{rng.choice(names)}/{rng.choice(names)}.gif?x" for _ in range(150)] + [f"http://{rng.choice(names)}-{rng.choice(names)}.{host()}{rng.randint(0, 10**6)}/" for _ in range(150)]
+    df = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate([*urls, urls[9], urls[9]])], "page_id long, url string, host string, rule string")
+    tried = 0
+    compiled = [(r, re.compile(r.pattern, re.S)) for r in rules]
+    for r in url_filter.filter_urls(df, rules).collect():
+        fits = [x for x, c in compiled if c.match(r.host + r.path)]
+        best = min(fits, key=lambda x: (x.tier, -len(x.name), x.name), default=None)
+        assert ((r.rule or r.pattern), r.verdict) == (best.name if best else None, best.action if best else "allow"), r
+        tried += r.tried
+    assert tried < 0.5 * len(rules) * len(urls)
+    assert url_filter.filter_urls(df.limit(0), rules).count() == 0 and url_filter.filter_urls(df, ()).where("verdict = 'block'").count() == 0
+
+
+def test_literal_tokens_are_whole_in_every_match():
+    for pattern, want in {r"^ads-track\.": ("ads", "track"), r"[^/]*\bads?-track": (), r"(?:.*\.)?a\.com/": ("com",), r"x[0-9]+y-z/": ("z",), "(?i)ad-x/": (), r"a_b-c/": ("c",), r"(a-|b-)c/": (), "": (), r"\Aqq$": ("qq",)}.items():
+        assert url_filter.literal_tokens(pattern) == want, pattern
+
+
 def test_rarest_token_is_the_index_key():
     rules = (url_filter.host_rule("common.rare.org", "/", "block"),)
     assert list(url_filter.rule_index(rules, {"common": 9, "rare": 1, "org": 50})) == ["rare"]
@@ -327,6 +434,17 @@ def test_sharding_laws(spark):
     assert sharding.shard_documents(df.limit(0), [1.0]).count() == 0
 
 
+def test_slot_buckets_follow_the_rows(spark):
+    assert sharding.slot_buckets(0, 40) == sharding.slot_buckets(10**6, 40) == 64
+    assert sharding.slot_buckets(10**11, 40) >= 10**11 / 40 / sharding.SLOT_ROWS
+    df = spark.createDataFrame([(1, "x" * 1_000_000), *((7, f"t{i}") for i in range(300)), *((None, None) for _ in range(20))], SCHEMA)
+    rows = sharding.assign_shards(df, F.col("doc_id"), [1.0] * 3, spread=F.col("text")).where("doc_id = 7").select("shard", "slot_bucket").distinct().collect()
+    assert len({r.shard for r in rows}) == 1 and len(rows) > 40
+    got = sharding.shard_documents(df, [1.0] * 3).collect()
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_write_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, str(i)) for i in range(50)], SCHEMA)
     sharding.write_shards(df, [1.0] * 3, str(tmp_path / "s"))
@@ -350,6 +468,15 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece.encode(df.limit(0)).count() == 0
 
 
+def test_sentencepiece_refuses_other_models():
+    def field(number, value):
+        return bytes([number << 3 | (0 if isinstance(value, int) else 2)]) + (bytes([value]) if isinstance(value, int) else bytes([len(value)]) + value)
+
+    for trainer, normal in ((b"", b""), (field(3, 1), b""), (field(3, 2), field(2, b"x")), (field(3, 2), b"")):
+        with pytest.raises(ValueError):
+            sentencepiece.Pieces(field(1, field(1, b"a")) + field(2, trainer) + field(3, normal))
+
+
 def test_sentencepiece_round_trip_of_documents(spark):
     import sentencepiece as library
 
@@ -501,6 +628,63 @@ def test_toxicity_without_labels_and_edge_texts(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(df, toxicity.fit_toxicity(df, one)).collect())
 
 
+def test_no_model_calls_nothing_toxic(spark):
+    df = spark.createDataFrame([(i, "x y z") for i in range(6)], SCHEMA)
+    for labels in ([(1, 0), (3, 1)], [(1, 1), (2, 1)], [(1, 0)], []):
+        model = toxicity.fit_toxicity(df, spark.createDataFrame(labels, "doc_id long, label int"))
+        assert model is None and [r.score for r in toxicity.score_toxicity(df, model).collect()] == [0.0] * 6
+    assert toxicity.score_toxicity(df.limit(0), None).count() == 0
+
+
+def test_toxicity_equals_plain_newton_logistic(spark):
+    """Features by sets of character n-grams, their ratios by counting, and weights by Newton's method: nearly the same scores."""
+    rng = random.Random(19)
+    vocab = [*vocabulary(rng, 200), "é漢字ü", "ñandú"]
+    rows = []
+    for i in range(400):
+        w = [rng.choice(vocab) for _ in range(rng.randint(10, 60))]
+        if i % 4 == 0:
+            for bad in rng.sample(["idiöt", "moron", "scum", "loser"], 2):
+                w.insert(rng.randrange(len(w)), bad)
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df.select("doc_id", "text"), toxicity.fit_toxicity(df, df.where("doc_id < 300").select("doc_id", "label"))).collect()}
+    g = toxicity.GRAM
+    sets = {i: {t[k : k + g] for k in range(len(t) - g + 1)} for i, t, _ in rows}
+    train = [(i, y) for i, _, y in rows if i < 300]
+    n1 = sum(y for _, y in train)
+    n0 = len(train) - n1
+    p, q = Counter(), Counter()
+    for i, y in train:
+        (p if y else q).update(sets[i])
+    ratio = {}
+    for f in p.keys() | q.keys():
+        r = math.log((p[f] + 1) / (n1 + 2)) - math.log((q[f] + 1) / (n0 + 2))
+        rate = (p[f] + q[f] + 1) / (n1 + n0 + 2)
+        z = (p[f] / n1 - q[f] / n0) / math.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
+        if p[f] + q[f] >= 3 and abs(z) > 3.5 and abs(r) > 0.5:
+            ratio[f] = r
+    names = sorted(ratio)
+    x = lambda i: [ratio[f] if f in sets[i] else 0.0 for f in names] + [1.0]
+    X, y = np.array([x(i) for i, _ in train]), np.array([y for _, y in train])
+    w, penalty = np.zeros(X.shape[1]), np.diag([1e-4] * len(names) + [1e-9]) * len(train)
+    for _ in range(30):
+        h = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
+        w += np.linalg.solve((X * (h * (1 - h) + 1e-9)[:, None]).T @ X + penalty, X.T @ (y - h) - penalty @ w)
+    margin = np.array([np.array(x(i)) @ w for i, _, _ in rows])
+    assert all((got[i] >= 0.5) == (m > 0) == bool(t) for (i, _, t), m in zip(rows, margin, strict=True))
+    order = lambda v: np.argsort(np.argsort(v))
+    assert np.corrcoef(order(margin), order([got[i] for i, _, _ in rows]))[0, 1] > 0.8
+
+
+def test_characters_of_several_bytes():
+    from tidemark.llm.text import arrow_bytes
+
+    points, ptr = toxicity.code_points(*arrow_bytes(pa.array(["aé漢🙂", "", "B\n", None, "ü"])))
+    assert ptr.tolist() == [0, 4, 4, 6, 6, 7]
+    assert [int(x).to_bytes(4, "big").lstrip(b"\0").decode() for x in points.tolist()] == list("aé漢🙂b ü")
+
+
 def test_toxicity_sample_counts_an_id_once(spark):
     rng = random.Random(10)
     rows = [(i, ("scum " if i % 3 == 0 else "kind ") + " ".join(rng.choices(["house", "river", "stone"], k=9))) for i in range(60)]
@@ -522,6 +706,38 @@ def test_held_out_accuracy(spark):
     assert held_out_accuracy(spark, registry.queries()["op8_toxicity"], "toxic") > 0.9
 
 
+def test_quality_equals_a_plain_discriminant(spark):
+    """Means, shrunk covariances and log-densities by loops over single rows; repeated documents and labels count once."""
+    rng = random.Random(23)
+    vocab = vocabulary(rng, 300)
+    rows = []
+    for i in range(300):
+        good = i % 3 != 0
+        w = [rng.choice(vocab if good or rng.random() < 0.7 else ["$$", "BUY", "!!", "zz"]) for _ in range(rng.randint(5, 120))]
+        rows.append((i, ". ".join(" ".join(w[k : k + 9]).capitalize() for k in range(0, len(w), 9))))
+    rows += [rows[4]] * 30 + [(None, "x"), (900, None)]
+    labels = [(i, int(i % 3 != 0)) for i in range(200)] + [(7, 1)] * 50
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r.doc_id: r.score for r in quality.quality_scores(df, spark.createDataFrame(labels, "doc_id long, label int")).collect()}
+    x = {r.doc_id: np.array(r.x) for r in quality.document_statistics(df).collect()}
+    ids = sorted({i for i, _ in labels})
+    X, y = np.stack([x[i] for i in ids]), np.array([dict(labels)[i] for i in ids])
+    mean, scale = X.mean(0), np.sqrt(np.maximum(X.var(0), 1e-9))
+    Z = (X - mean) / scale
+    mu = {k: Z[y == k].mean(0) for k in (0, 1)}
+    cov = {k: sum(np.outer(z - mu[k], z - mu[k]) for z in Z[y == k]) / (y == k).sum() for k in (0, 1)}
+    common = sum(cov[k] * (y == k).mean() for k in cov)
+
+    def density(z, k):
+        c = 0.8 * cov[k] + 0.2 * common
+        c = 0.95 * c + 0.05 * np.diag(np.diag(common) + 0.05)
+        return math.log((y == k).mean()) - 0.5 * math.log(np.linalg.det(c)) - 0.5 * (z - mu[k]) @ np.linalg.inv(c) @ (z - mu[k])
+
+    for i, score in got.items():
+        z = np.clip((x[i] - mean) / scale, -4, 4)
+        assert score == pytest.approx(1 / (1 + math.exp(-np.clip(density(z, 1) - density(z, 0), -40, 40))), abs=1e-4)
+
+
 def test_quality_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "x " * 50_000), (3, "\n\n")], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, label int")

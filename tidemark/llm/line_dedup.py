@@ -59,6 +59,10 @@ def _pairs(wanted: str) -> Column:
     )
 
 
+def _hash(value: str) -> Column:
+    return F.xxhash64(value)
+
+
 def _with_keeper(texts: DataFrame, value: str) -> DataFrame:
     """texts(doc_id, key, start, value, ...) whose value occurs more than once, with keeper, the first place of its bytes.
 
@@ -67,7 +71,7 @@ def _with_keeper(texts: DataFrame, value: str) -> DataFrame:
     Groups are added up before the shuffle, and the keepers are a written table, so a value of very many places
     is never in one task.
     """
-    hashed = texts.withColumn("h", F.xxhash64(value))
+    hashed = texts.withColumn("h", _hash(value))
     place = F.min(F.struct("doc_id", "key", "start")).alias("keeper")
     groups = hashed.groupBy("h").agg((F.min(value) == F.max(value)).alias("same"), place, F.count("*").alias("n")).where("n > 1")
     groups = cut(groups.select("h", "same", "keeper"))

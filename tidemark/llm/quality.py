@@ -1,8 +1,8 @@
 """Quality: regularised quadratic discriminant analysis of document statistics.
 
-Each text gives a few statistics of its bytes, words and lines, transformed to be roughly normal
-and clipped at four deviations. Class means and covariances are sums over all labelled rows; the
-covariances are shrunk towards the pooled one and its diagonal. A score is the
+Each text gives a few statistics of its bytes, words and lines, transformed to be roughly normal.
+Class means and covariances are sums over all labelled rows; the covariances are shrunk towards the pooled one and
+its diagonal. Scoring clips the statistics at four deviations. A score is the
 logistic of the difference of the Mahalanobis log-densities, with cached Cholesky factors.
 """
 
@@ -118,9 +118,13 @@ def _moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, pooled: float = 0.2, diagonal: float = 0.05) -> dict | None:
-    """The discriminant from stats(doc_id, x) and labels(doc_id, label 0/1); null if a class has under two rows."""
-    known = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
-    sums_ = _moments(stats.join(known, "doc_id").select("x", "label"))
+    """The discriminant from stats(doc_id, x) and labels(doc_id, label 0/1); None if a class has under two rows.
+
+    An id counts once, however often docs or labels repeat it: with its least statistics, and its larger label.
+    """
+    known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    once = stats.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r"))
+    sums_ = _moments(once.select("r.x", "r.label"))
     if len(sums_) < 2:
         return None
     total = sum(n for n, _, _ in sums_.values())

@@ -62,12 +62,19 @@ class Pieces:
 
     def __init__(self, model: bytes) -> None:
         texts, scores, kinds = [], [], []
+        kind, charsmap = 1, b""
         for number, value in _fields(model):
+            if number == 2:
+                kind = dict(_fields(value)).get(3, 1)
+            if number == 3:
+                charsmap = dict(_fields(value)).get(2, b"")
             if number == 1:
                 piece = dict(_fields(value))
                 texts.append(piece[1].decode())
                 scores.append(float(np.frombuffer(piece.get(2, b"\0\0\0\0"), "<f4")[0]))
                 kinds.append(piece.get(3, 1))
+        if kind != 2 or charsmap or sum(k == 6 for k in kinds) != 256:
+            raise ValueError("only BPE models with byte fallback and without a character map are supported")
         self.n = len(texts)
         normal = [i for i in range(self.n) if kinds[i] == 1]
         self.bytes_ = [b""] * self.n
@@ -223,7 +230,7 @@ def encode_words(p: Pieces, text: np.ndarray, starts: np.ndarray, ends: np.ndarr
     long = np.flatnonzero(p.length[piece] > 8)
     if len(long):  # the rest of long pieces is compared byte by byte
         keep = np.ones(len(piece), bool)
-        far = np.concatenate([joined, np.zeros(64, np.uint8)])
+        far = np.concatenate([joined, np.zeros(int(p.length.max()), np.uint8)])
         for k in range(8, int(p.length.max())):
             on = long[p.length[piece[long]] > k]
             keep[on] &= far[start[on] + k] == p.pool[p.at[piece[on]] + k]

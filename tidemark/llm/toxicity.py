@@ -1,9 +1,10 @@
-"""Toxicity: a linear classifier over byte n-grams scaled by naive Bayes log-count ratios.
+"""Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features say whether a hashed n-gram of the lower-cased bytes occurs. Each is scaled by the
+Features say whether a hashed n-gram of the code points (A-Z lower-cased, white space all one) occurs. Each is scaled by the
 log ratio of its smoothed rates in toxic and other texts; a logistic regression with an L2 penalty is
 fitted over the scaled features. Fitting reads at most ``sample`` labelled rows of each class, those
 with the smallest hash of doc_id; class shares are counted over all labelled rows. Scoring reads whole texts.
+Without labelled rows of both classes, or without any n-gram that tells them apart, there is no model, and every score is 0.
 """
 
 from __future__ import annotations
@@ -21,25 +22,43 @@ BITS = 20
 GRAM = 5
 SAMPLE = 3000
 THRESHOLD = 0.5
+LANES = mix64(np.arange(1, GRAM + 1, dtype=U)) | U(1)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed n-gram that starts at each byte, and whether it ends within its text. White space is one kind."""
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of texts, each as its UTF-8 bytes in one number, with pointers."""
     low = np.where(SPACE[data], np.uint8(32), LOWER[data])
-    n = len(low)
+    lead = (low & 0xC0) != 0x80
+    if lead.all():
+        return low.astype(U), offsets
+    at = np.flatnonzero(lead)
+    out = low[at].astype(U)
+    width = np.diff(np.append(at, len(low)))
+    for k in range(1, 4):
+        more = np.flatnonzero(width > k)
+        out[more] = (out[more] << U(8)) | low[at[more] + k].astype(U)
+    count = np.zeros(len(low) + 1, np.int64)
+    np.cumsum(lead, out=count[1:])
+    return out, count[offsets]
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed n-gram that starts at each character, whether it ends within its text, and pointers from texts to characters."""
+    points, ptr = code_points(data, offsets)
+    n = len(points)
     packed = np.zeros(n, U)
-    for k in range(gram):
-        packed[: n - k] |= low[k:].astype(U) << U(8 * k)
-    end = np.repeat(offsets[1:], np.diff(offsets))
-    return (mix64(packed) >> U(64 - BITS)).astype(np.int32), np.arange(n) + gram <= end
+    for k in range(min(gram, n)):
+        packed[: n - k] += (points[k:] + U(1)) * LANES[k]
+    end = np.repeat(ptr[1:], np.diff(ptr))
+    return (mix64(packed) >> U(64 - BITS)).astype(np.int32), np.arange(n) + gram <= end, ptr
 
 
 def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of each distinct n-gram, by text; wanted: features to keep."""
-    feature, whole = grams(data, offsets)
+    feature, whole, ptr = grams(data, offsets)
     keep = whole if wanted is None else whole & wanted[feature]
     at = np.flatnonzero(keep)
-    text = np.searchsorted(offsets, at, "right") - 1
+    text = np.searchsorted(ptr, at, "right") - 1
     key = np.unique((text.astype(np.int64) << BITS) | feature[at])
     return key >> BITS, (key & ((1 << BITS) - 1)).astype(np.int32)
 
@@ -59,14 +78,17 @@ def _fit(table: pa.Table, share: float) -> pa.Table:
         cols.append(c)
     row, col = np.concatenate(rows), np.concatenate(cols)
     n1, n0 = label.sum(), (1 - label).sum()
+    nothing = pa.table({"feature": pa.array([], pa.int32()), "weight": pa.array([], pa.float64())})
     if not n1 or not n0:
-        return pa.table({"feature": pa.array([-1], pa.int32()), "weight": [float(np.log((share + 1e-3) / (1 - share + 1e-3)))]})
+        return nothing
     p = np.bincount(col, label[row], 1 << BITS)
     q = np.bincount(col, 1 - label[row], 1 << BITS)
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     rate = (p + q + 1) / (n1 + n0 + 2)
     z = (p / n1 - q / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
     use = (p + q >= 3) & (np.abs(z) > 3.5) & (np.abs(ratio) > 0.5)
+    if not use.any():
+        return nothing
     number = np.cumsum(use) - 1
     keep = use[col]
     row, col = row[keep], number[col[keep]]
@@ -103,9 +125,13 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % k
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """labels(doc_id, label 0/1) choose the rows to learn from; null labels or ids are left out."""
-    known = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
+    """The model of docs(doc_id, text), or None if there is none.
+
+    labels(doc_id, label 0/1) choose the rows to learn from; null labels or ids are left out, and an id that is
+    labelled both ways counts as toxic.
+    """
+    known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     some = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
@@ -113,14 +139,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> di
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     rows = chosen.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: _fit(t, share), "feature int, weight double").collect()
     if not rows:
-        return {"feature": np.zeros(0, np.int32), "weight": np.zeros(0), "bias": 0.0}
+        return None
     bias = next(r["weight"] for r in rows if r["feature"] < 0)
     rows = [r for r in rows if r["feature"] >= 0]
     return {"feature": np.array([r["feature"] for r in rows], np.int32), "weight": np.array([r["weight"] for r in rows]), "bias": float(bias)}
 
 
-def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with score (0 to 1, higher: more likely toxic). Null texts count as empty and get the intercept's score."""
+def score_toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
+    """docs with score (0 to 1, higher: more likely toxic), 0 for all without a model.
+
+    Null texts count as empty and get the intercept's score. A column score of docs is replaced; repeated rows
+    are scored each; an empty table stays empty.
+    """
+    if model is None:
+        return docs.drop("score").withColumn("score", F.lit(0.0))
     weight = np.zeros(1 << BITS, np.float32)
     weight[model["feature"]] = model["weight"]
     bias = model["bias"]

@@ -1,24 +1,26 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
-A rule is a regular expression over ``host + path`` (host lower-cased) and the literal tokens
-that every match must hold as whole tokens; a token may be several alternatives with ``|`` between them, of which
-every match holds one. Each rule is indexed under one of its tokens (under all alternatives of it), the
-one that the fewest URLs have (counted over all rows). The tokens of a URL fetch the candidate
-rules, and only those run their regular expressions. Rows are judged where they lie: no
-shuffle but for the counts of the rules' own tokens, so a hot host costs nothing extra.
+A rule is a regular expression over ``host + path`` (host lower-cased) and the literal tokens that every match must hold as
+whole tokens; a token may be several alternatives with ``|`` between them, of which every match holds one. Tokens
+that aren't given are read off the pattern (``literal_tokens``). Each rule is indexed under one of its tokens (under
+all alternatives of it), the one that the fewest URLs have (counted over all rows). The tokens of a URL fetch the candidate
+rules, and only those run their regular expressions; rules whose patterns hold no whole token run on every URL.
+Rows are judged where they lie: no shuffle but for the counts of the rules' own tokens, so a hot host costs nothing extra.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants as kinds
+from re import _parser as patterns
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[a-z0-9]+"
-MAX_RULES = 100_000  # rules are configuration and go to every task
+MAX_RULES = 1_000_000  # rules are configuration; they are broadcast, about 300 bytes each
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,47 @@ class Rule:
     tier: int = 0
 
 
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """Tokens that every match of a pattern that is matched from the start holds whole.
+
+    Runs of letters and digits count if the pattern has other literals, an end of the text or a word boundary on
+    both sides; what repeats, branches or stands for several characters ends a run without one.
+    """
+    found, run, open_ = [], "", False
+
+    def sequence(items) -> None:
+        nonlocal run, open_
+        for kind, value in items:
+            if kind is kinds.LITERAL and re.fullmatch("[A-Za-z0-9]", chr(value)):
+                run += chr(value).lower()
+            elif kind is kinds.SUBPATTERN and not value[1] and not value[2]:
+                sequence(value[3])
+            else:
+                edge = (kind is kinds.LITERAL and value < 128 and chr(value) != "_") or (kind is kinds.AT and value is not kinds.AT_NON_BOUNDARY)
+                if run and open_ and edge:
+                    found.append(run)
+                run, open_ = "", edge
+
+    parsed = patterns.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE:
+        return ()
+    sequence(parsed)
+    return tuple(dict.fromkeys(found))
+
+
+def rules_from(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules of a table(name, action, pattern, and where it has them tokens: array<string>, tier), in the order of name and pattern.
+
+    Rows without a name, action or pattern are left out. Null tokens are read off the pattern.
+    """
+    has = table.columns
+    rows = table.where("name is not null and action is not null and pattern is not null").select(
+        "name", "action", "pattern", F.col("tokens") if "tokens" in has else F.lit(None).cast("array<string>").alias("tokens"), F.coalesce("tier", F.lit(0)).alias("tier") if "tier" in has else F.lit(0).alias("tier")
+    )
+    found = [(r.name, r.action, r.pattern, r.tokens, r.tier) for r in rows.orderBy("name", "pattern").limit(MAX_RULES + 1).toLocalIterator()]
+    return tuple(Rule(n, a, p, tuple(t) if t is not None else literal_tokens(p), int(k)) for n, a, p, t, k in found)
+
+
 def host_rule(host: str, path: str, action: str) -> Rule:
     """Fits the host and all its subdomains, if the path starts with ``path``."""
     tokens = re.findall(TOKEN, host)
@@ -72,19 +115,21 @@ def path_column(url):
 
 def token_counts(parts: DataFrame, tokens: list[str]) -> dict[str, int]:
     """How many rows have each of the rules' tokens; at most one row a token comes back."""
+    if not tokens:
+        return {}
     own = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit(f"({TOKEN})"), F.lit(1)))
-    found = parts.select(F.explode(F.array_intersect(own, F.lit(tokens))).alias("token")).groupBy("token").count()
+    wanted = parts.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+    found = parts.select(F.explode(own).alias("token")).join(F.broadcast(wanted), "token").groupBy("token").count()
     return {r["token"]: r["count"] for r in found.collect()}
 
 
-def rule_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, list[tuple[Rule, re.Pattern]]]:
+def rule_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, list[int]]:
+    """Places of the rules by the token that fetches them; rules without any are under the empty text."""
     index: dict[str, list] = {}
-    for rule in rules:
-        if not rule.tokens:
-            raise ValueError(f"rule {rule.name} has no literal token")
-        rarest = min(rule.tokens, key=lambda t: (sum(counts.get(x, 0) for x in t.split("|")), -len(t), t))
+    for place, rule in enumerate(rules):
+        rarest = min(rule.tokens, key=lambda t: (sum(counts.get(x, 0) for x in t.split("|")), -len(t), t)) if rule.tokens else ""
         for t in rarest.split("|"):
-            index.setdefault(t, []).append((rule, re.compile(rule.pattern, re.S)))
+            index.setdefault(t, []).append(place)
     return index
 
 
@@ -94,30 +139,38 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url", key: s
     rule: the fitting tier-0 rule's name, else null; pattern: the fitting tier-1 rule's, where no
     tier-0 rule fits; verdict: the action of either, else ``default``; tried: how many
     regular expressions ran. Null, empty and malformed URLs have an empty host and path and get
-    the default. Repeated rows are judged each; other columns of df are ignored.
+    the default. Repeated rows and null keys are judged each; other columns of df are ignored; an empty table stays empty.
     """
     if len(rules) > MAX_RULES:
-        raise ValueError("too many rules for an index in every task")
+        raise ValueError("too many rules to broadcast")
     parts = df.select(F.col(key).alias(key), host_column(F.col(url)).alias("host"), path_column(F.col(url)).alias("path"))
-    index = rule_index(tuple(rules), token_counts(parts, sorted({x for r in rules for t in r.tokens for x in t.split("|")})))
+    tokens = sorted({x for r in rules for t in r.tokens for x in t.split("|")})
+    index = rule_index(tuple(rules), token_counts(parts, tokens))
+    held = df.sparkSession.sparkContext.broadcast((tuple(rules), index))
     token = re.compile(TOKEN)
 
     def judge(batches):
+        rules, index = held.value
+        always = index.get("", [])
+        compiled: dict[int, re.Pattern] = {}
         for batch in batches:
             named, verdicts, patterns, tried = [], [], [], []
             for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 subject = host + path
-                fits, n = [], 0
-                for t in set(token.findall(subject.lower())):
-                    for rule, regex in index.get(t, ()):
-                        n += 1
-                        if regex.match(subject):
-                            fits.append(rule)  # twice if it is found by two alternatives
-                best = min(fits, key=lambda r: (r.tier, -len(r.name), r.name), default=None)
-                named.append(best.name if best and best.tier == 0 else None)
-                patterns.append(best.name if best and best.tier else None)
-                verdicts.append(best.action if best else default)
-                tried.append(n)
+                places = {p for t in token.findall(subject.lower()) for p in index.get(t, ())}
+                places.update(always)
+                best = None
+                for p in places:
+                    if p not in compiled:
+                        compiled[p] = re.compile(rules[p].pattern, re.S)
+                    if compiled[p].match(subject):
+                        order = rules[p].tier, -len(rules[p].name), rules[p].name, p
+                        best = order if best is None else min(best, order)
+                rule = rules[best[3]] if best else None
+                named.append(rule.name if rule and rule.tier == 0 else None)
+                patterns.append(rule.name if rule and rule.tier else None)
+                verdicts.append(rule.action if rule else default)
+                tried.append(len(places))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), batch.column("host"), batch.column("path"), pa.array(named, pa.string()), pa.array(verdicts, pa.string()), pa.array(patterns, pa.string()), pa.array(tried, pa.int32())],
                 [key, "host", "path", "rule", "verdict", "pattern", "tried"],
