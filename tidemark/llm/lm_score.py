@@ -28,8 +28,8 @@ from .text import mix64, slices, sums, word_hashes
 
 U = np.uint64
 END, BEGIN = U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47)
-CHUNK_BYTES = 6 << 20
-RANGE_IDS = 2_000_000
+CHUNK_BYTES = 5 << 20
+RANGE_IDS = 1_000_000
 BUCKETS = 24
 GRID = 2  # steps an octave of the held-out histogram
 FAN_BITS = 12
@@ -113,15 +113,21 @@ class _Chunk:
         before[self.ptr[:-1]] = BEGIN
         self.first = self.ptr[:-1]
         pair = mix64(before * U(0xD6E8FEB86659FD93) + mix64(self.token))
-        history = np.empty_like(pair)
-        history[1:] = pair[:-1]
-        history[self.first] = BEGIN
-        triple = mix64(history * U(0xA0761D6478BD642F) + mix64(self.token) + U(1))
+        self.ids, self.at = {}, {}
+        self._number(1, self.token)
+        self._number(2, _kept(pair, width))
+        before[1:] = pair[:-1]  # now the pair in front
+        before[self.first] = BEGIN
+        pair = mix64(before * U(0xA0761D6478BD642F) + mix64(self.token) + U(1))
+        del before, self.token
+        self._number(3, _kept(pair, width))
         fold = np.repeat(self.fold, np.diff(self.ptr))
         self.core, self.tune = (fold != 2) & (fold != 6), fold == 6
-        self.ids, self.at = {}, {}
-        for k, h in ((1, self.token), (2, _kept(pair, width)), (3, _kept(triple, width))):
-            self.ids[k], self.at[k] = np.unique(h, return_inverse=True)
+
+    def _number(self, kind: int, h: np.ndarray) -> None:
+        """The distinct n-grams of a kind, and which one ends at each token."""
+        self.ids[kind], at = np.unique(h, return_inverse=True)
+        self.at[kind] = at.astype(np.int32)
 
     def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, at = self.ids[kind], self.at[kind]
@@ -321,8 +327,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         chunk = _Chunk(left.column("blob")[0].as_py(), width)
         word, one, pair, two, triple = _counted(chunk, right, tuning=False)
         base = np.log10((word + 1) / (n_all + v_all + 1))
-        mix = weights[buckets(one, two)]
-        p = mix[:, 0] * triple / np.maximum(two, 1) + mix[:, 1] * pair / np.maximum(one, 1) + mix[:, 2] * word / max(n_all, 1) + mix[:, 3] / (v_all + 1)
+        at = buckets(one, two)
+        p = weights[at, 3] / (v_all + 1) + weights[at, 2] * word / max(n_all, 1)
+        p += weights[at, 1] * pair / np.maximum(one, 1)
+        p += weights[at, 0] * triple / np.maximum(two, 1)
         rows = len(chunk.fold)
         return pa.table(
             {
