@@ -92,8 +92,14 @@ def interval_overlaps(df: DataFrame, place: Cols, ident: str, start: str, end: s
 
 
 def band_join(left: DataFrame, right: DataFrame, on: Cols, left_at: str, right_at: str, low: int, high: int) -> DataFrame:
-    """Equi-join with right_at between left_at+low and left_at+high (integer positions)."""
-    return left.join(right, list(on)).where((F.col(right_at) >= F.col(left_at) + low) & (F.col(right_at) <= F.col(left_at) + high))
+    """Equi-join with right_at between left_at+low and left_at+high (integer positions).
+
+    Each left row is told once for each of the few positions, so that a key with very many rows doesn't meet itself whole.
+    """
+    kind = dict(right.dtypes)[right_at]
+    near = left.withColumn("__near", F.explode(F.sequence((F.col(left_at) + low).cast(kind), (F.col(left_at) + high).cast(kind))))
+    there = right.withColumn("__near", F.col(right_at))
+    return near.join(there, [*on, "__near"]).drop("__near")
 
 
 def ordered_match(left: DataFrame, right: DataFrame, key: Cols, on: Cols, left_order: str, right_order: str, left_id: str, right_id: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparisons, extras, forecasts, series, sessions, texts
+from . import calls, comparisons, extras, forecasts, lineage, series, sessions, texts
 
-MODULES = (sessions, comparisons, series, forecasts, texts, extras)
+MODULES = (sessions, comparisons, series, forecasts, texts, extras, calls, lineage)
 
 
 def queries() -> dict:

@@ -39,7 +39,7 @@ def q_stream_only_union(spark, d):
 def q_surface_conflicts(spark, d):
     o, l = _surfaces(spark, d)
     j = o.select("o_orderkey", F.col("cents").alias("stated"), F.col("status").alias("stated_status")).join(l, "o_orderkey")
-    return j.where((F.col("stated") != F.col("cents")) & (F.abs(F.col("stated") - F.col("cents")) < 200_000)).select("o_orderkey", "stated", "cents", (F.col("stated_status") != F.col("status")).alias("status_differs"))
+    return j.where(F.col("stated") != F.col("cents")).select("o_orderkey", "stated", "cents", (F.col("stated_status") != F.col("status")).alias("status_differs"))
 
 
 def q_unique_match(spark, d):
@@ -101,7 +101,7 @@ def q_ordered_match(spark, d):
 
 def q_single_group_fallback(spark, d):
     """Rows without a model join the session's model if it has just one."""
-    a = activities(spark, d).where("k < 6")
+    a = activities(spark, d)
     one = a.groupBy("capture_id").agg(F.countDistinct("model").alias("n"), F.min("model").alias("only"))
     return a.join(one, "capture_id").select("capture_id", "activity_id", F.coalesce("model", F.when(F.col("n") == 1, F.col("only"))).alias("model_group"))
 
@@ -340,7 +340,7 @@ QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 SQL = {
     "surface_coalesce": f"WITH {SURFACES} SELECT o_orderkey, coalesce(o.cents, s.cents) AS cents, s.lines AS lines, coalesce(o.status, s.status) AS status, CASE WHEN o.cents IS NOT NULL THEN 'stated' WHEN s.cents IS NOT NULL THEN 'lines' END AS cents_from FROM o FULL JOIN s USING (o_orderkey)",
     "stream_only_union": "WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 3) SELECT o_orderkey, 'primary' AS origin FROM o UNION ALL SELECT DISTINCT l_orderkey, 'lines' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)",
-    "surface_conflicts": f"WITH {SURFACES} SELECT o_orderkey, o.cents AS stated, s.cents AS cents, o.status <> s.status AS status_differs FROM o JOIN s USING (o_orderkey) WHERE o.cents <> s.cents AND abs(o.cents - s.cents) < 200000",
+    "surface_conflicts": f"WITH {SURFACES} SELECT o_orderkey, o.cents AS stated, s.cents AS cents, o.status <> s.status AS status_differs FROM o JOIN s USING (o_orderkey) WHERE o.cents <> s.cents",
     "unique_match": "SELECT p_partkey, p_brand, p_size, only_part FROM part LEFT JOIN (SELECT p_brand, p_size, min(p_partkey) AS only_part FROM part WHERE p_partkey % 9 = 0 GROUP BY ALL HAVING count(*) = 1) USING (p_brand, p_size)",
     "value_match_one_to_one": ACT + """, a AS (SELECT capture_id, post_tokens, activity_id AS left_id, row_number() OVER (PARTITION BY capture_id, post_tokens ORDER BY activity_id) AS n FROM act WHERE kind = 'compaction'),
       b AS (SELECT *, row_number() OVER (PARTITION BY capture_id, post_tokens ORDER BY right_id) AS n FROM (SELECT capture_id, CASE WHEN k % 3 <> 0 THEN ((k - 2) * 10)::BIGINT END AS post_tokens, activity_id AS right_id FROM act WHERE kind = 'compaction' AND k % 2 = 1))
@@ -352,7 +352,7 @@ SQL = {
     "zip_join": ACT + """, a AS (SELECT capture_id, ts::DATE AS day, activity_id AS request_id, row_number() OVER (PARTITION BY capture_id, ts::DATE ORDER BY ts, activity_id) AS position, count(*) OVER (PARTITION BY capture_id, ts::DATE) AS n FROM act WHERE kind = 'model_request'),
       b AS (SELECT capture_id, ts::DATE AS day, activity_id AS run_id, row_number() OVER (PARTITION BY capture_id, ts::DATE ORDER BY ts, activity_id) AS position, count(*) OVER (PARTITION BY capture_id, ts::DATE) AS n FROM act WHERE category = 'lint')
       SELECT capture_id, position::INTEGER AS position, request_id, run_id FROM a JOIN b USING (capture_id, day, position, n)""",
-    "single_group_fallback": ACT + ", a AS (SELECT * FROM act WHERE k < 6), o AS (SELECT capture_id, count(DISTINCT model) AS n, min(model) AS only_one FROM a GROUP BY 1) SELECT capture_id, activity_id, coalesce(model, CASE WHEN n = 1 THEN only_one END) AS model_group FROM a JOIN o USING (capture_id)",
+    "single_group_fallback": ACT + ", a AS (SELECT * FROM act), o AS (SELECT capture_id, count(DISTINCT model) AS n, min(model) AS only_one FROM a GROUP BY 1) SELECT capture_id, activity_id, coalesce(model, CASE WHEN n = 1 THEN only_one END) AS model_group FROM a JOIN o USING (capture_id)",
     "tree_match": """WITH p AS (SELECT p_partkey, p_partkey % 150 AS want, p_size % 25 AS nation FROM part), f AS (SELECT p_partkey, want AS s_suppkey, 'key' AS rung FROM p WHERE want IN (SELECT s_suppkey FROM supplier)),
       b AS (SELECT * FROM f UNION ALL SELECT p_partkey, s, 'nation' FROM p JOIN (SELECT s_nationkey AS nation, min(s_suppkey) AS s FROM supplier GROUP BY 1 HAVING count(*) = 1) USING (nation) WHERE p_partkey NOT IN (SELECT p_partkey FROM f)),
       c AS (SELECT *, count(*) OVER (PARTITION BY s_suppkey) AS claims FROM b) SELECT p_partkey, rung, CASE WHEN claims = 1 THEN s_suppkey END AS s_suppkey, claims FROM c""",

@@ -147,7 +147,7 @@ def q_todo_set(spark, d):
 
 def q_probe_scoring(spark, d):
     """Words of each answer that name a wanted nation (by number), with precision and recall."""
-    c = table(spark, d, "customer").where("c_custkey < 500")
+    c = table(spark, d, "customer")
     answer = F.concat(F.lit("NATION_"), F.col("c_nationkey"), F.lit(", NATION_"), (F.col("c_nationkey") + F.col("c_custkey") % 3) % 25, F.lit(" and nation"))
     named = c.select("c_custkey", (F.col("c_nationkey")).alias("want"), F.explode(F.array_distinct(F.regexp_extract_all(answer, F.lit(r"(\w+)"), F.lit(1)))).alias("n_name"))
     hit = named.join(table(spark, d, "nation").select("n_name", "n_nationkey"), "n_name")
@@ -173,7 +173,7 @@ def q_scenario_compare(spark, d):
 
 def q_or_join(spark, d):
     """OR-joined pairs of parts and suppliers by number or by size and nation."""
-    p = table(spark, d, "part").where("p_partkey < 300").select("p_partkey", F.col("p_partkey").alias("num"), F.col("p_size").cast("long").alias("size"))
+    p = table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("num"), F.col("p_size").cast("long").alias("size"))
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("num2"), F.col("s_nationkey").cast("long").alias("size2"))
     return J.any_key_match(p, s, [("num", "num2"), ("size", "size2")], ["p_partkey"], ["s_suppkey"])
 
@@ -200,8 +200,8 @@ SQL = {
     "stale_versions": "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS version FROM part WHERE CASE WHEN p_partkey % 4 <> 0 THEN p_brand END NOT IN ('Brand#1', 'Brand#2')",
     "retention_purge": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-21 00:00:00'",
     "todo_set": f"WITH {LINEAGE} SELECT o_custkey, o_orderkey FROM l WHERE o_orderkey % 9 = 0 UNION ALL SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY idx DESC) AS n FROM l WHERE o_orderkey % 9 <> 0) WHERE n <= 3",
-    "probe_scoring": "SELECT c_custkey, round(CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.5 END, 6)::DOUBLE AS precision, 1.0::DOUBLE AS recall FROM customer WHERE c_custkey < 500",
+    "probe_scoring": "SELECT c_custkey, round(CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.5 END, 6)::DOUBLE AS precision, 1.0::DOUBLE AS recall FROM customer",
     "one_step_forecast": "WITH " + REGIMES + ", n AS (SELECT *, max(row_index) OVER (PARTITION BY series_id) - row_index AS back FROM r) SELECT series_id, max(row_index) + 1 AS origin, round(max(y) FILTER (back = 0) + (max(y) FILTER (back = 0) - max(y) FILTER (back = 8)) / 8, 6) AS local_drift, round(max(y) FILTER (back = 0), 6) AS persistence, round(avg(y) FILTER (back < 8), 6) AS rolling_mean, round(median(y) FILTER (back < 8), 6) AS rolling_median FROM n GROUP BY 1",
     "scenario_compare": "WITH " + REGIMES + ", l AS (SELECT series_id, arg_max(y, row_index) FILTER (y IS NOT NULL) AS y FROM r GROUP BY 1) SELECT series_id, step, round((b - 1) * y, 4) AS difference FROM l CROSS JOIN (VALUES (0, 1.0::DOUBLE), (1, 1.1::DOUBLE), (2, 1.2::DOUBLE), (3, 1.3::DOUBLE)) p(step, b)",
-    "or_join": "SELECT DISTINCT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey = s_suppkey OR p_size = s_nationkey WHERE p_partkey < 300",
+    "or_join": "SELECT DISTINCT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey = s_suppkey OR p_size = s_nationkey",
 }

@@ -15,6 +15,26 @@ def numstat(commits: DataFrame, text: str, *keep: str) -> DataFrame:
     return line.where(F.size(parts) == 3).select(*keep, parts[2].alias("path"), parts[0].try_cast("int").alias("added"), parts[1].try_cast("int").alias("removed"))
 
 
+def numstat_z(commits: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(path, old_path, added, removed) of a numstat text with NUL separators: a rename's record has an empty path and two more fields.
+
+    An ended record is three tab-separated fields; ``added TAB removed TAB NUL old NUL new NUL`` is a rename. Pieces
+    are folded in order within one commit's text; what is cut off at the end is left out.
+    """
+    record = "named_struct('path', {path}, 'old_path', {old}, 'added', try_cast({a} as int), 'removed', try_cast({r} as int))"
+    plain = record.format(path="split(x, '\\t', 3)[2]", old="cast(null as string)", a="split(x, '\\t', 3)[0]", r="split(x, '\\t', 3)[1]")
+    renamed = record.format(path="x", old="s.old", a="split(s.head, '\\t', 3)[0]", r="split(s.head, '\\t', 3)[1]")
+    state = "named_struct('head', {head}, 'old', {old}, 'out', {out})"
+    none = "cast(null as string)"
+    fold = f"""aggregate(split(`{text}`, char(0)), {state.format(head=none, old=none, out="cast(array() as array<struct<path:string,old_path:string,added:int,removed:int>>)")}, (s, x) ->
+      case when s.head is not null and s.old is null then {state.format(head="s.head", old="x", out="s.out")}
+           when s.head is not null then {state.format(head=none, old=none, out=f"array_append(s.out, {renamed})")}
+           when size(split(x, '\\t', 3)) = 3 and split(x, '\\t', 3)[2] = '' then {state.format(head="x", old=none, out="s.out")}
+           when size(split(x, '\\t', 3)) = 3 then {state.format(head=none, old=none, out=f"array_append(s.out, {plain})")}
+           else s end, s -> s.out)"""
+    return commits.select(*keep, F.explode(F.expr(fold)).alias("x")).select(*keep, "x.*")
+
+
 def totals(changes: DataFrame, *key: str) -> DataFrame:
     """Sums that are null if any file of a commit has no counts."""
     known = F.bool_and(F.col("added").isNotNull() & F.col("removed").isNotNull())
@@ -24,20 +44,37 @@ def totals(changes: DataFrame, *key: str) -> DataFrame:
 def diff_lines(commits: DataFrame, text: str, *keep: str) -> DataFrame:
     """(path, side, line) of a unified diff's added and removed lines.
 
-    The path of a line is that of the last header above it, carried through the diff's lines in order.
+    Lines are folded in order within one commit's diff. A hunk's header says how many old and new lines follow, so
+    lines that look like file headers are only taken for them between hunks.
     """
-    fold = """aggregate(split({t}, '\\n'), named_struct('old', cast(null as string), 'new', cast(null as string), 'out', cast(array() as array<struct<path:string,side:string,line:string>>)), (s, x) ->
-      case when startswith(x, '--- ') then named_struct('old', regexp_replace(substr(x, 5), '^a/', ''), 'new', s.new, 'out', s.out)
-           when startswith(x, '+++ ') then named_struct('old', s.old, 'new', regexp_replace(substr(x, 5), '^b/', ''), 'out', s.out)
-           when startswith(x, '+') then named_struct('old', s.old, 'new', s.new, 'out', array_append(s.out, named_struct('path', s.new, 'side', 'added', 'line', substr(x, 2))))
-           when startswith(x, '-') then named_struct('old', s.old, 'new', s.new, 'out', array_append(s.out, named_struct('path', s.old, 'side', 'removed', 'line', substr(x, 2))))
+    state = "named_struct('old', {old}, 'new', {new}, 'a', {a}, 'b', {b}, 'out', {out})"
+    keep_ = {"old": "s.old", "new": "s.new", "a": "s.a", "b": "s.b", "out": "s.out"}
+    to = lambda **change: state.format(**(keep_ | change))
+    added = "array_append(s.out, named_struct('path', s.new, 'side', 'added', 'line', substr(x, 2)))"
+    removed = "array_append(s.out, named_struct('path', s.old, 'side', 'removed', 'line', substr(x, 2)))"
+    count = lambda sign: f"cast(coalesce(nullif(regexp_extract(x, '^@@ .*[{sign}][0-9]+,([0-9]+)', 1), ''), '1') as int)"
+    minus = "cast(coalesce(nullif(regexp_extract(x, '^@@ -[0-9]+,([0-9]+) ', 1), ''), '1') as int)"
+    empty = "cast(array() as array<struct<path:string,side:string,line:string>>)"
+    fold = f"""aggregate(split(`{text}`, '\\n'), {state.format(old="cast(null as string)", new="cast(null as string)", a="0", b="0", out=empty)}, (s, x) ->
+      case when s.b > 0 and startswith(x, '+') then {to(b="s.b - 1", out=added)}
+           when s.a > 0 and startswith(x, '-') then {to(a="s.a - 1", out=removed)}
+           when startswith(x, '\\\\') then s
+           when s.a > 0 or s.b > 0 then {to(a="greatest(s.a - 1, 0)", b="greatest(s.b - 1, 0)")}
+           when startswith(x, '@@ ') then {to(a=minus, b=count("+"))}
+           when startswith(x, '--- ') then {to(old="regexp_replace(substr(x, 5), '^a/', '')")}
+           when startswith(x, '+++ ') then {to(new="regexp_replace(substr(x, 5), '^b/', '')")}
            else s end, s -> s.out)"""
-    return commits.select(*keep, F.explode(F.expr(fold.replace("{t}", f"`{text}`"))).alias("x")).select(*keep, "x.path", "x.side", "x.line").where((F.length(F.trim("line")) > MIN_LINE) & (F.col("path") != "/dev/null"))
+    rows = commits.select(*keep, F.explode(F.expr(fold)).alias("x")).select(*keep, "x.path", "x.side", "x.line")
+    return rows.where((F.length(F.trim("line")) > MIN_LINE) & (F.col("path") != "/dev/null"))
 
 
 def reworked(lines: DataFrame, repo: str, position: str, ahead: int = 3) -> DataFrame:
-    """Commits whose added lines one of the next ``ahead`` commits removes, and the first that does."""
-    a = lines.where("side = 'added'").select(repo, "path", "line", position).distinct()
+    """Commits whose added lines one of the next ``ahead`` commits removes, and the first that does.
+
+    Positions are whole numbers: an added line is looked for at each of the next ones by an equi-join, so a line that is
+    common in a repository doesn't meet all its other places.
+    """
+    near = F.explode(F.sequence(F.col(position) + 1, F.col(position) + ahead)).alias("later")
+    a = lines.where("side = 'added'").select(repo, "path", "line", position).distinct().select("*", near)
     b = lines.where("side = 'removed'").select(repo, "path", "line", F.col(position).alias("later")).distinct()
-    hit = a.join(b, [repo, "path", "line"]).where((F.col("later") > F.col(position)) & (F.col("later") <= F.col(position) + ahead))
-    return hit.groupBy(repo, position).agg(F.min("later").alias("by"))
+    return a.join(b, [repo, "path", "line", "later"]).groupBy(repo, position).agg(F.min("later").alias("by"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,44 @@ def any_value(v: Column) -> Column:
     return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
 
 
+def value_json(text: Column) -> Column:
+    """A value's JSON text as canonical JSON of what it stands for: lists and key lists nested to any depth.
+
+    Whole numbers may be text; what doesn't convert stays text. Null, unreadable and unknown variants are null. Any depth
+    needs recursion, which Column functions don't have: a small Arrow-batched function.
+    """
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def of(v):
+            if not isinstance(v, dict):
+                return None
+            if "intValue" in v:
+                try:
+                    return int(v["intValue"])
+                except (TypeError, ValueError):
+                    return v["intValue"]
+            for k in ("stringValue", "doubleValue", "boolValue"):
+                if k in v:
+                    return v[k]
+            if "arrayValue" in v:
+                return [of(x) for x in (v["arrayValue"] or {}).get("values") or []]
+            if "kvlistValue" in v:
+                return {x["key"]: of(x.get("value")) for x in (v["kvlistValue"] or {}).get("values") or [] if isinstance(x, dict) and "key" in x}
+            return None
+
+        def one(t):
+            try:
+                v = of(json.loads(t))
+            except (TypeError, ValueError):
+                return None
+            return None if v is None else json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+        return texts.map(one)
+
+    return run(text)
+
+
 def attributes(attrs: Column) -> Column:
     """An attribute list as a map; of a repeated key the last one stays."""
     keys = F.array_distinct(F.transform(attrs, lambda a: a["key"]))

@@ -15,6 +15,7 @@ BUCKETS = 64
 DETAIL = 2048  # fixed value: the longest detail of a diagnostic
 #: fixed value: what is shed first when too much comes in
 DROPPABLE = ("otel.metric", "otel.trace")
+RUN_COLUMNS = ("series_id", "target", "horizon", "model", "label")
 
 
 class Store:
@@ -85,6 +86,36 @@ class Store:
         """Insert or replace one series by its content hash."""
         rows.withColumn("series_id", F.lit(series_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series_id").parquet(self.path("series"))
 
+    def series(self, series_id: str) -> DataFrame:
+        """One series' snapshot; only its folder is read."""
+        return self.table("series").where(F.col("series_id") == series_id)
+
+    def series_list(self, clock: str | None = None) -> DataFrame:
+        """series_id, clock and rows of every series, of one clock if named."""
+        rows = self.table("series")
+        rows = rows.where(F.col("clock") == clock) if clock else rows
+        return rows.groupBy("series_id", "clock").agg(F.count("*").alias("rows"))
+
+    def put_run(self, run: DataFrame) -> None:
+        """Append forecast runs of exactly RUN_COLUMNS; the id, the claim and the time are filled in here."""
+        made = assert_columns(run, RUN_COLUMNS)
+        ident = F.concat(F.lit("run_"), F.substring(F.sha2(F.to_json(F.struct(*RUN_COLUMNS)), 256), 1, 24))
+        made = made.withColumns({"run_id": ident, "claim": F.lit("predictive"), "made_at": F.current_timestamp()})
+        made.write.mode("append").parquet(self.path("runs"))
+
+    def runs_of(self, series_id: str) -> DataFrame:
+        """A series' runs in the order of their making."""
+        return self.table("runs").where(F.col("series_id") == series_id).orderBy("made_at", "run_id")
+
+    def diagnostics(self, capture_id=None) -> DataFrame:
+        """All diagnostics, or those of one capture."""
+        rows = self.table("diagnostics")
+        return rows if capture_id is None else rows.where(F.col("capture_id") == capture_id)
+
+    def append_checked(self, table: str, rows: DataFrame, columns: Sequence[str]) -> None:
+        """Append outcomes or interventions of exactly these columns."""
+        assert_columns(rows, columns).write.mode("append").parquet(self.path(table))
+
     def diagnose(self, rows: DataFrame) -> None:
         """Append diagnostics(kind, detail, at, capture_id)."""
         rows.withColumn("detail", F.substring("detail", 1, DETAIL)).write.mode("append").parquet(self.path("diagnostics"))
