@@ -47,9 +47,9 @@ from .text import distinct, mix64, shingles, slices, sums, word_hashes
 U = np.uint64
 FREQUENT = 32
 BAND = 1.6
-CHUNK_BYTES = 8 << 20
-RANGE_ENTRIES = 2_000_000
-CHUNK_ENTRIES = 500_000  # about so many signatures a chunk has
+CHUNK_BYTES = 4 << 20
+RANGE_ENTRIES = 1_000_000
+CHUNK_ENTRIES = 250_000  # about so many signatures a chunk has
 
 
 def _bands(num: int, den: int, top: int = 1 << 34) -> np.ndarray:
@@ -253,7 +253,7 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 FAN, WORDS64 = 8, 16
-DENSE_BYTES = 1 << 26
+DENSE_BYTES = 1 << 25
 STAR = 4096  # candidates of one head that are held against each other by their profiles
 PROFILE_ROWS = 20_000  # candidates in a task
 
@@ -310,8 +310,8 @@ def _possible(tree: _Tree, level: int, a: np.ndarray, b: np.ndarray, num: int, d
 
 def _pairs(tree: _Tree, level: int, a: np.ndarray, b: np.ndarray, forest: _Forest, num: int, den: int):
     """Document pairs that the traversal can't rule out, in pieces of bounded size."""
-    for i in range(0, len(a), 1 << 17):
-        x, y = a[i : i + (1 << 17)], b[i : i + (1 << 17)]
+    for i in range(0, len(a), 1 << 15):
+        x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
         if level == 0:
             apart = (x < y) & (forest.root[x] != forest.root[y])
             x, y = x[apart], y[apart]
@@ -344,12 +344,12 @@ class _Overlaps:
             bits = np.zeros((len(ptr) - 1, lanes), U)
             np.bitwise_or.at(bits, (row, at >> 6), U(1) << (at & 63).astype(U))
             self.bits = bits[order]
-            self.step = max(1, (1 << 22) // lanes)
+            self.step = max(1, (1 << 20) // lanes)
         else:
             size = np.bincount(row, minlength=len(ptr) - 1)
             start = np.concatenate([[0], np.cumsum(size)])
             self.start, self.size, self.at = start[:-1][order], size[order], at
-            self.step = max(1, (1 << 21) // max(1, int(size.max())))
+            self.step = max(1, (1 << 19) // max(1, int(size.max())))
 
     def _flat(self, x: np.ndarray) -> np.ndarray:
         n = self.size[x]
@@ -508,7 +508,7 @@ def _scale(entries: int) -> tuple[list[int], int]:
 FAN_BITS = 12  # ranges that one chunk's signatures are dealt to at once
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size for every row of docs(doc_id, text).
 
     class_size: how many rows have the very same set (1 for empty sets). Other columns of docs are ignored.
@@ -516,7 +516,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     return _components(docs, words, num, den, unit_tokens).select("doc_id", F.col("n").alias("n_shingles"), F.col("keeper.doc_id").alias("component_id"), "class_size")
 
 
-def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 1_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, unit_tokens: int = 500_000) -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest doc_id (nulls last) stays.
 
     Of rows with that doc_id and different texts the one with the smallest hash stays; rows whose text has no words stay.
