@@ -141,6 +141,29 @@ def test_frequent_signatures_are_counted_across_chunks(spark, monkeypatch):
     assert got == components_brute(rows, 4, 85, 100)
 
 
+def test_profiles_part_no_link():
+    """Sets in one star: both ways of parting agree, and linked sets are never parted."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(100, 201)], rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(120)]
+    bands = jaccard_join._bands(80, 100)
+
+    def parted(some):
+        ptr = np.concatenate([[0], np.cumsum([len(s) for s in some])])
+        return jaccard_join._near(jaccard_join._profiles(np.concatenate(some), ptr, bands), np.diff(ptr), 80, 100)
+
+    large, small = parted(sets), [parted(sets[k : k + 30]) for k in range(0, 120, 30)]
+    assert len(set(large.tolist())) > 5
+    for i, j in itertools.combinations(range(120), 2):
+        c = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c):
+            assert large[i] == large[j]
+            assert i // 30 != j // 30 or small[i // 30][i % 30] == small[j // 30][j % 30]
+    for k, found in enumerate(small):  # fewer sets, fewer bridges
+        for i, j in itertools.combinations(range(30), 2):
+            assert found[i] != found[j] or large[30 * k + i] == large[30 * k + j]
+
+
 def test_overlaps_by_bitmaps_equal_merging(monkeypatch):
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 300, rng.integers(0, 90)).astype(np.uint64)) for _ in range(40)]

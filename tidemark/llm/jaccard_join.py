@@ -139,17 +139,28 @@ def _profiles(h: np.ndarray, ptr: np.ndarray, bands: np.ndarray) -> list[bytes]:
 
 def _near(profiles: list[bytes], n: np.ndarray, num: int, den: int) -> np.ndarray:
     """For each of a star's sets the first that it is connected with by pairs whose profiles leave a link possible."""
-    parts = min(map(len, profiles))
+    parts, m = min(map(len, profiles)), len(n)
     v = np.stack([np.frombuffer(x, np.uint8).reshape(parts, -1).sum(1, dtype=np.int32) for x in profiles])
-    root = np.arange(len(n))
-    for i in range(1, len(n)):
-        apart = np.flatnonzero(root[:i] != root[i])
+    root = np.arange(m)
+    if m * m * parts <= 1 << 19:  # all at once; labels spread until they stay
+        near = np.abs(v[:, None] - v).sum(2, dtype=np.int64) * (den + num) <= (den - num) * (n[:, None] + n)
+        while True:
+            least = np.where(near, root, m).min(1)
+            if (least == root).all():
+                return root
+            root = least
+    step = max(1, (1 << 20) // parts)
+    for i in range(1, m):
         # a set that is connected with i needs no second look, but each group must be met
-        far = np.abs(v[apart] - v[i]).sum(1, dtype=np.int64) * (den + num) > (den - num) * (n[apart] + n[i])
-        met = np.unique(root[apart[~far]])
+        apart = np.flatnonzero(root[:i] != root[i])
+        met = [np.zeros(0, np.int64)]
+        for k in range(0, len(apart), step):
+            some = apart[k : k + step]
+            far = np.abs(v[some] - v[i]).sum(1, dtype=np.int64) * (den + num) > (den - num) * (n[some] + n[i])
+            met.append(root[some[~far]])
+        met = np.unique(np.concatenate(met))
         if len(met):
-            least = min(int(met[0]), int(root[i]))
-            root[np.isin(root, np.append(met, root[i]))] = least
+            root[np.isin(root, np.append(met, root[i]))] = min(int(met[0]), int(root[i]))
     return root
 
 
@@ -255,7 +266,7 @@ def _shared(table: pa.Table) -> pa.Table:
 FAN, WORDS64 = 8, 16
 DENSE_BYTES = 1 << 25
 STAR = 4096  # candidates of one head that are held against each other by their profiles
-PROFILE_ROWS = 20_000  # candidates in a task
+PROFILE_ROWS = 10_000  # candidates in a task
 
 
 class _Forest:
