@@ -338,6 +338,13 @@ ARMS = "v AS (SELECT c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'a' E
 DIST = "SELECT {g}, count({v}) AS n, count(*) FILTER ({v} IS NULL) AS unknown, median({v}) AS median, quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25) AS iqr, min({v}) AS min, max({v}) AS max FROM {t} GROUP BY {g}"
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 SQL = {
+    "ordered_match": ACT.replace("WITH ", "WITH RECURSIVE ", 1) + """, lf AS (SELECT capture_id, activity_id, k % 4 AS a, k % 3 AS b, row_number() OVER (PARTITION BY capture_id ORDER BY activity_id) AS n FROM act WHERE kind = 'model_request'),
+  rt AS (SELECT capture_id, activity_id AS other_id, k % 4 AS a, k % 3 AS b, row_number() OVER (PARTITION BY capture_id ORDER BY activity_id) AS pos FROM act WHERE kind = 'file_edit'),
+  w AS (SELECT DISTINCT capture_id, 0::BIGINT AS n, 0::BIGINT AS place, NULL::BIGINT AS activity_id, false AS hit FROM lf
+    UNION ALL SELECT capture_id, n, coalesce(found, place), activity_id, found IS NOT NULL
+    FROM (SELECT l.capture_id, l.n, w.place, l.activity_id, (SELECT min(pos) FROM rt WHERE rt.capture_id = l.capture_id AND rt.a = l.a AND rt.b = l.b AND rt.pos > w.place) AS found
+      FROM w JOIN lf l ON l.capture_id = w.capture_id AND l.n = w.n + 1))
+  SELECT w.capture_id, w.activity_id, other_id FROM w JOIN rt ON rt.capture_id = w.capture_id AND rt.pos = w.place WHERE hit""",
     "surface_coalesce": f"WITH {SURFACES} SELECT o_orderkey, coalesce(o.cents, s.cents) AS cents, s.lines AS lines, coalesce(o.status, s.status) AS status, CASE WHEN o.cents IS NOT NULL THEN 'stated' WHEN s.cents IS NOT NULL THEN 'lines' END AS cents_from FROM o FULL JOIN s USING (o_orderkey)",
     "stream_only_union": "WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 3) SELECT o_orderkey, 'primary' AS origin FROM o UNION ALL SELECT DISTINCT l_orderkey, 'lines' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)",
     "surface_conflicts": f"WITH {SURFACES} SELECT o_orderkey, o.cents AS stated, s.cents AS cents, o.status <> s.status AS status_differs FROM o JOIN s USING (o_orderkey) WHERE o.cents <> s.cents",

@@ -162,6 +162,11 @@ def q_regimes(spark, d):
 W = "WINDOW o AS (PARTITION BY capture_id ORDER BY ts, activity_id)"
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 SQL = {
+    "compaction_episodes": "WITH RECURSIVE " + ACTIVITIES_SQL + """, r AS (SELECT capture_id, activity_id, kind || (k % 2) AS role, row_number() OVER (PARTITION BY capture_id ORDER BY ts, activity_id) AS n
+  FROM act WHERE kind IN ('compaction', 'tool_call')),
+  w AS (SELECT capture_id, n, activity_id, 1 AS episode, [role] AS open FROM r WHERE n = 1
+    UNION ALL SELECT r.capture_id, r.n, r.activity_id, w.episode + list_contains(w.open, r.role)::INTEGER, CASE WHEN list_contains(w.open, r.role) THEN [r.role] ELSE list_append(w.open, r.role) END
+    FROM w JOIN r ON r.capture_id = w.capture_id AND r.n = w.n + 1) SELECT capture_id, activity_id, episode FROM w""",
     "request_clock": ACT + """, s AS (SELECT *, coalesce(sum((kind = 'model_request')::INT) OVER p, 0)::BIGINT AS segment,
       coalesce(max((kind = 'verification_run')::INT) OVER p, 0) AS seen, coalesce(last_value((NOT success)::INT IGNORE NULLS) OVER p, 0) AS failed FROM act
       WINDOW p AS (PARTITION BY capture_id ORDER BY ts, activity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
