@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import calls, comparisons, extras, forecasts, lineage, series, sessions, texts
+from . import calls, comparisons, extras, forecasts, lineage, series, sessions, summaries, texts
 
-MODULES = (sessions, comparisons, series, forecasts, texts, extras, calls, lineage)
+MODULES = (sessions, comparisons, series, forecasts, texts, extras, calls, lineage, summaries)
 
 
 def queries() -> dict:
