@@ -28,7 +28,7 @@ RULES = {
     "git": "git", "kill": "process_mgmt", "pkill": "process_mgmt", "ps": "process_mgmt", "sleep": "process_mgmt", "wait": "process_mgmt",
     "ls": "shell", "cat": "shell", "sed": "shell", "grep": "shell", "rg": "shell", "find": "shell", "head": "shell", "tail": "shell", "echo": "shell", "wc": "shell", "which": "shell",
 }
-RUNNERS = ("uv run", "uvx", "npx", "poetry run", "pdm run", "hatch run", "python -m", "python3 -m", "python", "python3")
+RUNNERS = ("uv run", "uvx", "npx", "poetry run", "pdm run", "hatch run", "python", "python3")
 VERIFICATION = ("test", "benchmark", "typecheck", "lint", "format", "build", "security_scan")
 SEPARATORS = ("&&", "||", ";", "|")
 

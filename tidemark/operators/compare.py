@@ -200,7 +200,7 @@ def hash_fold(ident: Column, folds: int = 5) -> Column:
 
 
 def markov(df: DataFrame, key: Cols, order: Cols, state: str, fold: str, held: int, floor: int = 20) -> DataFrame:
-    """Log-loss and accuracy of add-one smoothed next-state models with 0, 1 and 2 states of memory.
+    """Log-loss of add-one smoothed next-state models with 0, 1 and 2 states of memory.
 
     Fitted on sessions outside the held fold. A context seen under ``floor`` times backs off to the shorter one.
     The transitions are counted first; scoring joins held-out transition counts with them.
