@@ -432,7 +432,7 @@ def test_thousands_of_rules_from_a_table_equal_all_regexes(spark):
 
 
 def test_literal_tokens_are_whole_in_every_match():
-    for pattern, want in {r"^ads-track\.": ("ads", "track"), r"[^/]*\bads?-track": (), r"(?:.*\.)?a\.com/": ("com",), r"x[0-9]+y-z/": ("z",), "(?i)ad-x/": (), r"a_b-c/": ("c",), r"(a-|b-)c/": (), "": (), r"\Aqq$": ("qq",)}.items():
+    for pattern, want in {r"^ads-track\.": ("ads", "track"), r"[^/]*\bads?-track": (), r"(?:.*\.)?a\.com/": ("a", "com"), "bff-x": ("bff",), r"(?:.*\.)?abc/": ("abc",), r"(?:x\.|y)?abc/": (), r"a(?:-)?b/": (), r"(?:-)+b/": ("b",), "x*b/": (), r"x[0-9]+y-z/": ("z",), "(?i)ad-x/": (), r"a_b-c/": ("c",), r"(a-|b-)c/": (), "": (), r"\Aqq$": ("qq",)}.items():
         assert url_filter.literal_tokens(pattern) == want, pattern
 
 

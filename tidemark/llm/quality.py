@@ -90,22 +90,21 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
 
 
-def _moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, sum and sum of outer products of each label's statistics; one small row a task and label is added up."""
+def _added(rows: DataFrame, centre: dict[int, np.ndarray] | None = None) -> dict[int, tuple[float, np.ndarray]]:
+    """Count of each label, and its statistics' sum or, given its centre, its sum of outer products about that; one small row a task and label is added up."""
     d = len(NAMES)
 
     def run(batches):
-        held = {k: [0, np.zeros(d), np.zeros((d, d))] for k in (0, 1)}
+        held = {k: [0, np.zeros(d if centre is None else (d, d))] for k in (0, 1)}
         for batch in batches:
             x = np.array(batch.column("x").to_pylist(), float).reshape(-1, d)
             y = batch.column("label").to_numpy()
             for k, h in held.items():
                 z = x[y == k]
                 h[0] += len(z)
-                h[1] += z.sum(0)
-                h[2] += z.T @ z
-        for k, (n, s, q) in held.items():
-            values = np.concatenate([[n], s, q.ravel()])
+                h[1] += z.sum(0) if centre is None else (z - centre[k]).T @ (z - centre[k])
+        for k, (n, s) in held.items():
+            values = np.concatenate([[n], s.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k), pa.int32()), pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["label", "i", "v"])
 
     added = rows.mapInArrow(run, "label int, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).orderBy("label", "i").collect()
@@ -113,36 +112,42 @@ def _moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]
     for k in (0, 1):
         v = np.array([r["v"] for r in added if r["label"] == k])
         if len(v) and v[0] > 1:
-            out[k] = v[0], v[1 : 1 + d], v[1 + d :].reshape(d, d)
+            out[k] = v[0], v[1:]
     return out
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, pooled: float = 0.2, diagonal: float = 0.05) -> dict | None:
     """The discriminant from stats(doc_id, x) and labels(doc_id, label 0/1); None if a class has under two rows.
 
-    An id counts once, however often docs or labels repeat it: with its least statistics, and its larger label.
+    An id counts once, however often docs or labels repeat it: with its least statistics, and its larger label. Means come first,
+    and the moments are about them, so a statistic that is the same in all labelled rows has no variance but for rounding;
+    it gets no weight.
     """
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     once = stats.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r"))
-    sums_ = _moments(once.select("r.x", "r.label"))
+    once = cut(once.select("r.x", "r.label"))  # read twice
+    sums_ = _added(once)
     if len(sums_) < 2:
         return None
-    total = sum(n for n, _, _ in sums_.values())
-    mean = sum(s for _, s, _ in sums_.values()) / total
-    scale = np.sqrt(np.maximum(np.diag(sum(q for _, _, q in sums_.values())) / total - mean * mean, 1e-9))
-    means, covs = {}, {}
-    for k, (n, s, q) in sums_.items():
-        means[k] = (s / n - mean) / scale
-        covs[k] = (q / n - np.outer(s / n, s / n)) / np.outer(scale, scale)
-    common = sum(sums_[k][0] * covs[k] for k in covs) / total
+    count = {k: n for k, (n, _) in sums_.items()}
+    own = {k: s / n for k, (n, s) in sums_.items()}
+    outer = {k: q.reshape(len(NAMES), -1) for k, (_, q) in _added(once, own).items()}
+    total = sum(count.values())
+    mean = sum(count[k] * own[k] for k in own) / total
+    variance = np.diag(sum(outer[k] + count[k] * np.outer(own[k] - mean, own[k] - mean) for k in own)) / total
+    varies = variance > 1e-12 * (1 + mean * mean)
+    scale = np.sqrt(np.maximum(variance, 1e-9))
+    means = {k: np.where(varies, (own[k] - mean) / scale, 0.0) for k in own}
+    covs = {k: np.where(np.outer(varies, varies), outer[k] / count[k] / np.outer(scale, scale), 0.0) for k in own}
+    common = sum(count[k] * covs[k] for k in covs) / total
     factors, logs = {}, {}
     for k in covs:
         c = (1 - pooled) * covs[k] + pooled * common
         c = (1 - diagonal) * c + diagonal * np.diag(np.diag(common) + 0.05)
         factor = np.linalg.cholesky(c)
         factors[k] = np.linalg.inv(factor)  # whitening: |factors (x - mean)|^2 is the Mahalanobis distance
-        logs[k] = np.log(sums_[k][0] / total) - np.log(np.diag(factor)).sum()
-    return {"mean": mean, "scale": scale, "means": means, "factors": factors, "logs": logs}
+        logs[k] = np.log(count[k] / total) - np.log(np.diag(factor)).sum()
+    return {"mean": mean, "scale": scale, "varies": varies, "means": means, "factors": factors, "logs": logs}
 
 
 def score_quality(stats: DataFrame, model: dict | None) -> DataFrame:
@@ -154,7 +159,7 @@ def score_quality(stats: DataFrame, model: dict | None) -> DataFrame:
             if model is None:
                 margin = np.zeros(len(x))
             else:
-                z = np.clip((x - model["mean"]) / model["scale"], -4, 4)
+                z = np.where(model["varies"], np.clip((x - model["mean"]) / model["scale"], -4, 4), 0.0)
                 dense = {k: model["logs"][k] - 0.5 * (((z - model["means"][k]) @ model["factors"][k].T) ** 2).sum(1) for k in (0, 1)}
                 margin = dense[1] - dense[0]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], ["doc_id", "score"])

@@ -34,13 +34,27 @@ class Rule:
     tier: int = 0
 
 
+def _is_edge(kind, value) -> bool:
+    """Whether a parsed item is a literal that is no part of a token, or an end or boundary."""
+    return (kind is kinds.LITERAL and value < 128 and re.fullmatch("[A-Za-z0-9_]", chr(value)) is None) or (kind is kinds.AT and value is not kinds.AT_NON_BOUNDARY)
+
+
+def _ends_in_edge(items) -> bool:
+    """Whether what a sequence matches, if anything, always ends in an edge."""
+    if not len(items):
+        return False
+    kind, value = items[-1]
+    return _ends_in_edge(value[3]) if kind is kinds.SUBPATTERN and not value[1] and not value[2] else _is_edge(kind, value)
+
+
 def literal_tokens(pattern: str) -> tuple[str, ...]:
     """Tokens that every match of a pattern that is matched from the start holds whole.
 
     Runs of letters and digits count if the pattern has other literals, an end of the text or a word boundary on
-    both sides; what repeats, branches or stands for several characters ends a run without one.
+    both sides; the start of the pattern is such an end. What repeats, branches or stands for several characters ends a run
+    without one, unless it is left out or ends in one: a token that an optional group of that kind precedes still begins there.
     """
-    found, run, open_ = [], "", False
+    found, run, open_ = [], "", True
 
     def sequence(items) -> None:
         nonlocal run, open_
@@ -49,8 +63,12 @@ def literal_tokens(pattern: str) -> tuple[str, ...]:
                 run += chr(value).lower()
             elif kind is kinds.SUBPATTERN and not value[1] and not value[2]:
                 sequence(value[3])
+            elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT):
+                least, _, items_ = value
+                after = _ends_in_edge(items_) and (least > 0 or (open_ and not run))
+                run, open_ = "", after
             else:
-                edge = (kind is kinds.LITERAL and value < 128 and chr(value) != "_") or (kind is kinds.AT and value is not kinds.AT_NON_BOUNDARY)
+                edge = _is_edge(kind, value)
                 if run and open_ and edge:
                     found.append(run)
                 run, open_ = "", edge
