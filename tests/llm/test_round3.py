@@ -7,10 +7,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import resampling
+from conftest import SF
+from tidemark.llm import language_id, resampling
 
 SCHEMA = "doc_id long, text string"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -83,3 +86,100 @@ def test_a_word_of_every_document_is_a_row_for_each_chunk(spark):
     chunks = resampling.chunked(docs)
     assert chunks.where("feature = 'common'").agg(F.sum("n")).first()[0] == 6000
     assert chunks.where("feature is not null").count() == 2 * chunks.where("ids is not null").count()
+
+
+# language identification
+
+
+def symbols_brute(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.sub(rb"[^a-z\x80-\xff]+", b" ", low.encode()).lstrip(b" ")
+
+
+def phrases_brute(text, sample):
+    n, i = 0, 0
+    while i < len(text):
+        k = 1
+        while i + k <= len(text) and text[i : i + k] in sample:
+            k += 1
+        i += max(1, k - 1)
+        n += 1
+    return n
+
+
+def test_phrases_equal_a_search_for_the_longest_match(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(language_id, "PIECE", 37)
+    parsers, samples = [], []
+    for letters, n in (("abcd", 900), ("abcé", 700), ("x", 3), ("ab ", 0)):
+        sample = "".join(rng.choice(letters + " ") for _ in range(n))
+        table = pa.table({"lang": ["l"], "docs": [1], "h": [1], "piece": [sample]})
+        row = {k: v[0] for k, v in language_id._fit(table, 1 << 20).to_pydict().items()}
+        samples.append(symbols_brute(sample))
+        assert row["n"] == len(samples[-1])
+        parsers.append(language_id.Parser(row))
+    texts = ["".join(rng.choice("abcdé x.7Q ") for _ in range(rng.randint(0, 150))) for _ in range(60)] + ["", None, "  ", "a", "é", ". a", "zzzz", "a" * 5000]
+    data, offsets = next((d, o) for _, _, d, o in language_id.slices(pa.array(texts), 1 << 30))
+    flat, ptr = language_id.symbols(data, offsets)
+    want = [symbols_brute(t) for t in texts]
+    assert [flat[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)] == want
+    for keep in (9, 0):
+        got = language_id.parse(data, offsets, parsers, keep)
+        assert got.tolist() == [[sum(phrases_brute(t[a : a + 37], s) for a in range(0, len(t), 37)) for s in samples] for t in want]
+
+
+@pytest.fixture(scope="module")
+def tongues():
+    rng = random.Random(1)
+    stems = {k: vocabulary(rng, 60, letters) for k, letters in {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklabñé", "dd": "добрый"}.items()}
+    make = lambda k, n: " ".join(rng.choice(stems[k]) for _ in range(n))
+    rows = [(i, make(k, rng.randint(3, 60)), k) for i in range(240) for k in [rng.choice(list(stems))]]
+    odd = [(1000, None, "aa"), (1001, "", "bb"), (1002, "12 .. !?", "cc"), (1003, make("bb", 30_000), "bb"), (None, make("dd", 20), "dd"), (1004, make("aa", 20), None), (3, rows[3][1], rows[3][2]), (3, rows[3][1], rows[3][2])]
+    return rows + odd
+
+
+def test_languages_of_held_out_texts(spark, tongues, monkeypatch):
+    docs = spark.createDataFrame([(*r, "clash", 1.5) for r in tongues], SCHEMA + ", lang string, lang_pred string, odds double").repartition(4)
+    model = language_id.fit_languages(docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 != 2))
+    assert sorted(r["lang"] for r in model.collect()) == ["aa", "bb", "cc", "dd"]
+    got = language_id.identify(docs, model)
+    assert got.columns == ["doc_id", "lang_pred", "score"] and got.count() == len(tongues)
+    rows = got.collect()
+    by = defaultdict(set)
+    for r in rows:
+        by[r.doc_id].add((r.lang_pred, r.score))
+        assert 0 <= r.score <= 1
+    assert all(by[i] == {("und", 0.0)} for i in (1000, 1001, 1002)) and len(by[3]) == 1
+    true = [(i, k) for i, t, k in tongues if t and k and re.search("[^\\W\\d]", t)]
+    assert sum(any(p == k for p, _ in by[i]) for i, k in true) >= 0.97 * len(true)
+    # languages in blocks of one give the same
+    monkeypatch.setattr(language_id, "BLOCK", 1)
+    again = language_id.identify(docs, model).collect()
+    key = lambda r: (str(r.doc_id), r.lang_pred, round(r.score, 9))
+    assert sorted(map(key, again)) == sorted(map(key, rows))
+
+
+def test_no_labels_and_no_rows(spark, tongues):
+    docs = spark.createDataFrame(tongues, SCHEMA + ", lang string")
+    none = language_id.fit_languages(docs.where("lang is null"))
+    assert none.count() == 0 and {tuple(r) for r in language_id.identify(docs, none).select("lang_pred", "score").collect()} == {("und", 0.0)}
+    assert language_id.identify(docs.limit(0), language_id.fit_languages(docs)).count() == 0
+
+
+def test_sample_of_a_language_is_bounded_and_counts_copies_once(spark, tongues):
+    docs = spark.createDataFrame(tongues * 3, SCHEMA + ", lang string")
+    small = {r["lang"]: r for r in language_id.fit_languages(docs, rows=10, chars=50, most=300).collect()}
+    assert all(0 < r["n"] <= 300 for r in small.values())
+    assert sum(r["docs"] for r in small.values()) == 3 * sum(t is not None and k is not None for _, t, k in tongues)
+    once = spark.createDataFrame(tongues, SCHEMA + ", lang string")
+    assert {r["lang"]: r["n"] for r in language_id.fit_languages(once).collect()} == {r["lang"]: r["n"] for r in language_id.fit_languages(docs).collect()}
+
+
+def test_language_query_on_held_out_documents(spark):
+    from tidemark.llm import registry
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = registry.queries()["op13_language_id"](spark, SF)
+    assert got.count() == docs.count()
+    rows = got.join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert rows[0] >= 0.95 and rows[1] > 20

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op1_benchmark_decontamination
 from .fingerprint import op3_scaled_fingerprint
 from .jaccard_join import OP7_SQL, op7_ngram_jaccard_join
+from .language_id import op13_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .lm_score import op4_lm_score
 from .quality import op5_quality
@@ -19,7 +20,7 @@ def queries() -> dict:
     found = [
         op1_benchmark_decontamination, op2_url_filter, op3_scaled_fingerprint, op4_lm_score, op5_quality,
         op6_sentencepiece, op7_ngram_jaccard_join, op8_toxicity, op9_line_dedup, op10_rendezvous_sharding,
-        op11_importance_resampling,
+        op11_importance_resampling, op13_language_id,
     ]
     return {f.__name__: f for f in found}
 
