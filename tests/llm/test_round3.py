@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from tidemark.llm import language_id, resampling
+from tidemark.llm import language_id, resampling, variants
 
 SCHEMA = "doc_id long, text string"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -183,3 +183,114 @@ def test_language_query_on_held_out_documents(spark):
     assert got.count() == docs.count()
     rows = got.join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
     assert rows[0] >= 0.95 and rows[1] > 20
+
+
+# spelling variants
+
+
+def edits(w, letters):
+    for i in range(len(w) + 1):
+        for c in letters:
+            yield w[:i] + c + w[i:]
+            if i < len(w):
+                yield w[:i] + c + w[i + 1 :]
+        if i < len(w):
+            yield w[:i] + w[i + 1 :]
+
+
+def variants_brute(rows, least_letters=5, least_count=3):
+    n = Counter()
+    for i, t in rows:
+        for r in re.findall("[a-z\u00c0-\u00ff]+", (t or "").translate(LOWER)):
+            h = zlib.crc32(f"{'' if i is None else i}:{r}".encode())
+            n[r[: h % len(r)] + r[h % len(r) + 1 :] if h % 97 == 0 else r] += 1
+    n = {w: k for w, k in n.items() if len(w) >= least_letters and k >= least_count}
+    letters = sorted({c for w in n for c in w})
+    near = {w: {v for v in edits(w, letters) if v in n and v != w} for w in n}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return sorted((w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n)
+
+
+def test_wavelet_tree_reports_all_points_of_rectangles():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 8, 100, 257):
+        values = rng.permutation(n)
+        tree = variants.WaveletTree(values)
+        left, low = rng.integers(0, n, 60), rng.integers(0, n, 60)
+        right, high = np.minimum(n, left + rng.integers(0, n + 1, 60)), np.minimum(n, low + rng.integers(0, n + 1, 60))
+        query, value = tree.report(left, right, low, high)
+        got = sorted(zip(query.tolist(), value.tolist(), strict=True))
+        assert got == sorted((q, int(v)) for q in range(60) for v in values[left[q] : right[q]] if low[q] <= v < high[q])
+
+
+def test_near_pairs_of_one_range_of_places():
+    rng = random.Random(4)
+    for n in (1, 5, 6):
+        words = sorted({bytes(rng.choice(b"ab\xff") for _ in range(rng.choice([n, n - 1]))) for _ in range(150)} - {b""})
+        for a, b in ((0, n), (0, n // 2), (n // 2, n)):
+            u, v = variants.near_pairs(words, n, a, b)
+            got = sorted(zip(u.tolist(), v.tolist(), strict=True))
+            want = []
+            for i, x in enumerate(words):
+                for j, y in enumerate(words):
+                    x_, y_ = (x, y) if len(x) >= len(y) else (y, x)
+                    if i == j or len(x_) != n:
+                        continue
+                    k = next((k for k in range(len(y_)) if x_[k] != y_[k]), len(y_))
+                    same = x_[k + 1 :] == y_[k + (len(x_) == len(y_)) :]
+                    if same and len(x_) != len(y_):  # the first place where the letter may stand
+                        while k and x_[k - 1] == x_[k]:
+                            k -= 1
+                    if same and a <= k < b:
+                        want.append((i, j))
+            assert got == want and len(set(got)) == len(got)
+
+
+@pytest.fixture(scope="module")
+def spelt():
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("abé\u00ffz") for _ in range(rng.randint(4, 9))) for _ in range(60)] + ["aaaaa", "aaaaaa", "aaaaaaa", "baaaa", "aaaab"]
+    stems += ["x" * 3000, "x" * 2999, "x" * 1500 + "y" + "x" * 1499, "Prefixedword" + "é" * 5]
+
+    def word():
+        w = rng.choice(stems)
+        if rng.random() < 0.4 and len(w) < 100:
+            w = rng.choice(list(edits(w, "abz")))
+        return w.upper().replace("É", "é") if rng.random() < 0.2 and w.isascii() else w
+
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    return rows + [(500, None), (501, ""), (502, "12 - _ 日本語 ."), (None, "aaaaab aaaaab"), (3, rows[3][1]), (3, rows[3][1]), (600, "commonword " * 20_000 + "commonwords " * 300 + "comonword " * 7)]
+
+
+@pytest.mark.parametrize(("task_words", "group_words"), [(20_000, 5_000), (7, 3), (50, 1)])
+def test_variants_equal_brute_force(spark, spelt, task_words, group_words):
+    docs = spark.createDataFrame([(*r, "clash", 3) for r in spelt], SCHEMA + ", word string, n int").repartition(4)
+    got = variants.variants(docs, task_words=task_words, group_words=group_words)
+    assert sorted(tuple(r) for r in got.select("word", "form", "root", "n", "n_near", "form_n").collect()) == variants_brute(spelt)
+
+
+def test_variants_of_nothing_and_of_words_that_share_all_letters_but_one(spark):
+    none = spark.createDataFrame([(1, None), (2, "short wrds one")], SCHEMA)
+    assert variants.variants(none).count() == 0 and variants.variants(none.limit(0)).count() == 0
+    # every word in one group by its first half: dealt again until a place is left
+    words = [f"{'a' * 12}{x}{y}{z}" for x in "bcdefghijk" for y in "bcdefghij" for z in "bcdef"]
+    rows = [(i, " ".join([w] * (3 + i % 7))) for i, w in enumerate(words)]
+    got = variants.variants(spark.createDataFrame(rows, SCHEMA), group_words=20)
+    assert sorted(tuple(r) for r in got.collect()) == variants_brute(rows)
+
+
+def test_chain_of_forms_is_followed_to_its_end(spark):
+    chain = [(f"w{i:03}", f"w{i + 1:03}") for i in range(37)] + [(f"v{i}", "w000") for i in range(500)]
+    from tidemark.llm.graph import cut
+
+    got = variants.roots(cut(spark.createDataFrame(chain, "word string, form string")))
+    assert got.count() == len(chain) and {r.root for r in got.collect()} == {"w037"}
