@@ -294,3 +294,32 @@ def test_chain_of_forms_is_followed_to_its_end(spark):
 
     got = variants.roots(cut(spark.createDataFrame(chain, "word string, form string")))
     assert got.count() == len(chain) and {r.root for r in got.collect()} == {"w037"}
+
+
+# hot keys
+
+
+def test_one_chunk_and_one_text_in_most_rows(spark):
+    """A text with thousands of copies and a chunk that most documents have, with joins that are shuffled and split."""
+    from tidemark.llm import jaccard_join, line_dedup
+
+    lines = "first shared line of all\nsecond shared line of all"
+    rows = [(i, "one text of very many exact copies in this table") for i in range(3000)] + [(10_000 + i, lines if i % 2 else f"{' '.join(f'w{i}x{k}' for k in range(50))}\n{lines}") for i in range(1500)]
+    rows += [(20_000 + i, f"an unlike text number {i} about {i * 7} and {i * 11} things") for i in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r.doc_id: r for r in jaccard_join.jaccard_components(docs).collect()}
+        out = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert all(found[i].component_id == 0 and found[i].class_size == 3000 for i in range(3000))
+    assert all(found[20_000 + i].component_id == 20_000 + i for i in range(50))
+    assert out == {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()} and len(out) == len(rows)
+    assert sum(lines in r.text for r in out.values()) == 1

@@ -462,9 +462,13 @@ def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: in
     bits, width = _scale(entries)
     dealt = docs.select("text").mapInArrow(partial(_dealt, words=words, num=num, den=den, bits=bits[0], width=width), CELLS)
     told = cut(deal(dealt, bits, ["node", "slot", "weight"], entries // CHUNK_ENTRIES, width, LOCAL).groupBy("p").applyInArrow(lambda t: _shared(t), TOLD).distinct())
-    wanted = told.select(F.col("u").alias("name")).distinct()
-    profiles = full.join(wanted, "name").groupBy(F.col("name").alias("node")).agg(F.min("profile").alias("profile"))
-    facts = cut(classes.join(wanted, "name").withColumnRenamed("name", "node").join(profiles, "node"))
+    wanted = cut(told.select(F.col("u").alias("name")).distinct())
+    # one row of each class gives its profile, found by its id and text, so that a text of very many exact copies is no hot key
+    chosen = cut(classes.join(wanted, "name").withColumnRenamed("name", "node"))
+    side = chosen.select("node", F.col("first.doc_id").alias("__d"), F.col("first.key").alias("__k"))
+    own = full.select("doc_id", "key", "profile")
+    profiles = beside(own, side, own.doc_id.eqNullSafe(F.col("__d")) & (own.key == F.col("__k"))).groupBy("node").agg(F.min("profile").alias("profile"))
+    facts = cut(chosen.join(profiles, "node"))
     # a document may leave as many very frequent signatures as it has spare ones
     loud = told.where("loud").groupBy("u").agg(F.count_if(F.col("slot") == 0).alias("loud0"), F.count_if(F.col("slot") == 1).alias("loud1"))
     loud = loud.join(facts, F.col("u") == F.col("node")).select("u", (F.col("loud0") > F.col("spare0")).alias("keeps0"), (F.col("loud1") > F.col("spare1")).alias("keeps1"))

@@ -89,8 +89,8 @@ def _passages(core: DataFrame, long_words: int) -> DataFrame:
     lines = core.select("doc_id", F.xxhash64("text").alias("key"), F.split("text", "\n", -1).alias("lines")).where("size(lines) > 1")
     hashes = F.expr("transform(sequence(0, size(lines) - 2), i -> xxhash64(lines[i], lines[i + 1]))")
     keys = cut(lines.select("doc_id", "key", F.posexplode(hashes).alias("start", "h")))
-    repeated = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = cut(keys.join(repeated, "h").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")))
+    repeated = cut(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    places = cut(beside(keys, repeated, "h").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")))
     few = places.count() <= BROADCAST_ROWS and keys.count() <= 8 * BROADCAST_ROWS
     found = _beside(lines, places, "starts", few, "inner")
     texts = found.select("doc_id", "key", F.explode(_pairs("array_contains(__starts, i)")).alias("c")).select("doc_id", "key", "c.*")
@@ -125,9 +125,8 @@ def line_dedup(docs: DataFrame, window: int = 2, long_words: int = 50, passages:
         "doc_id", "key", F.col("c.start").alias("start"), F.xxhash64("c.chunk").alias("h"), (F.length("c.chunk") > F.col("c.stop") - F.col("c.start")).alias("said")
     )
     keys = cut(keys.where("said").drop("said"))
-    repeated = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = keys.join(repeated, "h").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
-    places = cut(places)
+    repeated = cut(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    places = cut(beside(keys, repeated, "h").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")))
     few = places.count() <= BROADCAST_ROWS and keys.count() <= 8 * BROADCAST_ROWS  # 8 bytes a start, 40 a document
     found = _beside(chunked, places, "starts", few, "inner")
     texts = found.select("doc_id", "key", F.explode(_slices(f"{eligible} and array_contains(__starts, c.start)")).alias("c")).select(
