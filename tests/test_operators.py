@@ -123,18 +123,3 @@ def test_bad_lines_cost_themselves_only(spark):
     rows = spark.createDataFrame([('{"type":"user","message":{"content":[{"type":"text"}]}}',), ('{"type":',), ("",)], "value string")
     good, bad = R.parse_lines(rows)
     assert good.count() + bad.count() == 3 and bad.count() >= 1
-
-
-def test_export_round_trip(spark, tmp_path):
-    from tidemark.sources import exports as X
-
-    t = {"observations": spark.createDataFrame([("c1", 1), ("c2", 2)], "capture_id string, v int"), "series": spark.createDataFrame([(5,)], "s int")}
-    out = str(tmp_path / "x")
-    for fmt in ("parquet", "json"):
-        X.export(t, out, fmt, capture_id="c1")
-        back = X.read_export(spark, out, {k: v.schema for k, v in t.items()}, fmt)
-        assert back["observations"].collect() == [("c1", 1)] and back["series"].collect() == [(5,)]
-    back["series"].limit(0).write.mode("overwrite").json(f"{out}/series2")
-    spark.createDataFrame([("series", 9)], "name string, rows long").write.mode("overwrite").json(f"{out}/manifest")
-    with pytest.raises(ValueError):
-        X.read_export(spark, out, {"series": t["series"].schema}, "json")

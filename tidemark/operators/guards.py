@@ -30,7 +30,7 @@ def refuse_words(reports: DataFrame, text: str) -> DataFrame:
 
 def emit(store, table: str, reports: DataFrame, text: str) -> None:
     """Append reports after the word check; nothing is written if one is refused."""
-    refuse_words(reports, text).write.mode("append").parquet(store.path(table))
+    store.change(lambda t: t.append(table, refuse_words(reports, text)))
 
 
 def row_faults(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import calls, comparisons, extras, forecasts, lineage, series, sessions, summaries, texts
+from . import calls, comparisons, extras, forecasts, lineage, series, sessions, stored, summaries, texts
 
-MODULES = (sessions, comparisons, series, forecasts, texts, extras, calls, lineage, summaries)
+MODULES = (sessions, comparisons, series, forecasts, texts, extras, calls, lineage, summaries, stored)
 
 
 def queries() -> dict:
