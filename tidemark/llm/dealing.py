@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import tidied
+
 U = np.uint64
 _CODEC = "zstd"
 PACK_CELLS = 1024
@@ -81,7 +83,7 @@ def _again(beside: list[str], bits: int, skip: int, width: int):
         value = unpack(t, "value") << U(64 - width)
         order = np.argsort(value, kind="stable")
         columns = {k: unpack(t, k)[order] for k in beside}
-        return pa.Table.from_batches(list(cells(value[order], t.column("g")[0].as_py(), bits, columns, width, t.column("p")[0].as_py(), skip)))
+        return tidied(pa.Table.from_batches(list(cells(value[order], t.column("g")[0].as_py(), bits, columns, width, t.column("p")[0].as_py(), skip))))
 
     return run
 

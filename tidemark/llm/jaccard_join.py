@@ -32,7 +32,6 @@ repeated doc_ids and null ids may have any texts; a null doc_id never is a compo
 
 from __future__ import annotations
 
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .dealing import cells, deal, levels_of, unpack
 from .graph import beside, components, cut
-from .text import distinct, mix64, shingles, slices, sums, word_hashes
+from .text import distinct, mix64, shingles, slices, sums, tidied, word_hashes
 
 U = np.uint64
 FREQUENT = 32
@@ -442,7 +441,7 @@ def _links(docs: DataFrame, members: DataFrame, keys: list[str], words: int, num
     if not members.where("again").isEmpty():
         one = rows.where("again").groupBy("node", "known", "again", *keys).agg(F.min("text").alias("text"))
         rows = rows.where("not again").unionByName(one)
-    return rows.drop("again").groupBy(*keys).applyInArrow(lambda unit: _search(unit, words, num, den), "u long, v long")
+    return rows.drop("again").groupBy(*keys).applyInArrow(lambda unit: tidied(_search(unit, words, num, den)), "u long, v long")
 
 
 def _parts(members: DataFrame, unit_tokens: int) -> DataFrame:
@@ -454,14 +453,14 @@ def _parts(members: DataFrame, unit_tokens: int) -> DataFrame:
 def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: int) -> DataFrame:
     """doc_id, key (hash of the text), n, class_size, keeper (null, doc_id, key: the component's first row, nulls last) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    base = cut(docs.mapInArrow(partial(_summaries, words=words, num=num, den=den), SUMMARY))
+    base = cut(docs.mapInArrow(lambda it: tidied(_summaries(it, words=words, num=num, den=den)), SUMMARY))
     full = base.where("n > 0")
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
     classes = full.groupBy("name").agg(F.min(first).alias("first"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1"))
     entries = full.agg(F.sum("m")).first()[0] or 0
     bits, width = _scale(entries)
-    dealt = docs.select("text").mapInArrow(partial(_dealt, words=words, num=num, den=den, bits=bits[0], width=width), CELLS)
-    told = cut(deal(dealt, bits, ["node", "slot", "weight"], entries // CHUNK_ENTRIES, width, LOCAL).groupBy("p").applyInArrow(lambda t: _shared(t), TOLD).distinct())
+    dealt = docs.select("text").mapInArrow(lambda it: tidied(_dealt(it, words=words, num=num, den=den, bits=bits[0], width=width)), CELLS)
+    told = cut(deal(dealt, bits, ["node", "slot", "weight"], entries // CHUNK_ENTRIES, width, LOCAL).groupBy("p").applyInArrow(lambda t: tidied(_shared(t)), TOLD).distinct())
     wanted = cut(told.select(F.col("u").alias("name")).distinct())
     # one row of each class gives its profile, found by its id and text, so that a text of very many exact copies is no hot key
     chosen = cut(classes.join(wanted, "name").withColumnRenamed("name", "node"))
@@ -479,7 +478,7 @@ def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: in
     whole = beside(stars, large, "v").where("u != v").select("u", "v")
     small = beside(stars, large, "v", "left_anti").join(facts.select(F.col("node").alias("u"), "n", "profile"), "u")
     small = small.groupBy(F.pmod(F.xxhash64("v"), F.lit(stars.count() // PROFILE_ROWS + 1)).alias("unit"))
-    edges = cut(whole.unionByName(small.applyInArrow(lambda t: _parted(t, num, den), "u long, v long")).distinct())
+    edges = cut(whole.unionByName(small.applyInArrow(lambda t: tidied(_parted(t, num, den)), "u long, v long")).distinct())
     family = components(edges)
     repeated = full.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.lit(True).alias("again"))
     facts = facts.drop("profile")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .text import slices, span_hashes
+from .text import slices, span_hashes, tidied
 
 U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -400,7 +400,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", check: bool
                     arrays.append(pa.array(same, mask=null))
                 yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *(f.name for f in fields)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(lambda it: tidied(run(it)), T.StructType([*docs.schema.fields, *fields]))
 
 
 def decode(df: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:

@@ -7,6 +7,8 @@ Letters A-Z are lower-cased, words are runs of bytes other than 0x20 and 0x09-0x
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,3 +151,25 @@ def sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 def lists(values: pa.Array, ptr: np.ndarray) -> pa.ListArray:
     """One list for each text."""
     return pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), values)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(c := ctypes.CDLL(libc), "malloc_trim"):
+        c.malloc_trim(0)
+
+
+def tidied(made):
+    """A task's table or batches; freed memory goes back to the system behind it, as workers live on beside their executor's other memory."""
+    if isinstance(made, pa.Table):
+        _release()
+        return made
+    return _tidied(made)
+
+
+def _tidied(batches: Iterator) -> Iterator:
+    try:
+        yield from batches
+    finally:
+        _release()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import LOWER, SPACE, mix64, slices
+from .text import LOWER, SPACE, mix64, slices, tidied
 
 U = np.uint64
 BITS = 20
@@ -137,7 +137,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> di
     chosen = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
     chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))  # rows that repeat an id don't add to the sample
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    rows = chosen.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: _fit(t, share), "feature int, weight double").collect()
+    rows = chosen.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: tidied(_fit(t, share)), "feature int, weight double").collect()
     if not rows:
         return None
     bias = next(r["weight"] for r in rows if r["feature"] < 0)
@@ -169,7 +169,7 @@ def score_toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
                 score = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score)], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lambda it: tidied(run(it)), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def toxicity_scores(spark, sf_dir: str, docs: DataFrame) -> DataFrame:
