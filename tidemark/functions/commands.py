@@ -1,17 +1,13 @@
 """Shell commands in normal form: categories, scope and whether an exit status is masked.
 
 A normal form is words joined by spaces with && || ; | between segments. Everything here is Column
-expressions over it; ``normalise`` makes it from a raw line in an Arrow-batched function, since quoting
-needs a lexer.
+expressions: ``normal_form`` makes it from a raw line by a lexer that is a fold over tokens.
 """
 
 from __future__ import annotations
 
-import os
 import re
-import shlex
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,44 +74,151 @@ def scope(command: Column) -> Column:
     return F.when(F.size(tests) > 0, F.when(narrow, "targeted").otherwise("full"))
 
 
-def _normal(line: str | None) -> str | None:
-    """One raw line in normal form: values of assignments and quoted arguments don't stay."""
-    if line is None:
-        return None
-    try:
-        lexer = shlex.shlex(line.replace("\n", " ; "), posix=True, punctuation_chars=True)
-        lexer.whitespace_split = True
-        tokens = list(lexer)
-    except ValueError:  # an open quote: only the command's name is sure
-        head = line.split()
-        return f"{os.path.basename(head[0])} _" if head else ""
-    out, words = [], 0
-    for t in tokens:
-        if t in SEPARATORS or set(t) <= set("&|;()<>"):
-            out.append(t)
-            words = 0
-        elif re.match(r"^[A-Za-z_]\w*=", t):
-            out.append(t.split("=", 1)[0] + "=")
-        elif t.startswith("-"):
-            out.append(t.split("=", 1)[0] if re.match(r"^--?[A-Za-z0-9][\w-]*(=|$)", t) else "_")
-        elif words == 0:
-            out.append(os.path.basename(t) or t)
-            words = 1
-        elif " " in t or "\t" in t:
-            out.append("_")
-        elif "/" in t or t in (".", ".."):
-            out.append(t)
-        elif words <= 3 and re.match(r"^[a-z][a-z0-9_-]{0,31}$", t):
-            out.append(t)
-            words += 1
-        else:
-            out.append("_")
-    return " ".join(out)
+# the lexer: a comment, a run of operator signs, a line end, or a word of quoted and bare parts; loops are possessive, so long texts need no deep stack
+COMMENT = r"(?<![^\s;|&()])#[^\n]*+"
+QUOTED = r"'[^']*+'|\"(?:[^\"\\]++|\\[\s\S])*+\""
+WORD = rf"(?:{QUOTED}|\\[\s\S]|[^\s\"'\\|&;<>()]++)++"
+TOKEN = rf"{COMMENT}|[|&;<>()]++|\n|{WORD}"
+HEREDOC = r"(?<!<)<<(?!<)-?[ \t]*(?:'[^'\n]*'|\"[^\"\n]*\"|[A-Za-z_][A-Za-z0-9_]*)"
+UNCLOSED = r"^(?:'[^']*+|\"(?:[^\"\\]++|\\[\s\S])*+)$"
+# fixed values: shapes of words that stay, how many of them, and the bound of a normal form
+ASSIGNMENT, BARE, FLAG = r"^[A-Za-z_][A-Za-z0-9_]*=", r"^[a-z][a-z0-9_.-]{0,31}$", r"^--?[A-Za-z0-9][A-Za-z0-9_.:+-]{0,31}$"
+BARE_WORDS, MAX_COMMAND = 2, 512
+PARTS = ("|", "||", "&&", ";", "&")
+OPEN = ("|", "||", "&&", ";", "&", "(")  # the line end behind these ends nothing
+
+
+def without_bodies(line: Column) -> Column:
+    """A command's lines without the bodies of its heredocs, each of which is one ``_`` behind its tag.
+
+    A fold over the lines with a queue of open heredocs and the quote that is open, if any: a tag in quotes or in a
+    comment opens none, and a body's quotes open nothing.
+    """
+    spans = rf"{COMMENT}|{HEREDOC}|{QUOTED}|\\.|'[^']*+$|\"(?:[^\"\\]++|\\[\s\S])*+$"
+
+    def step(s: Column, x: Column) -> Column:
+        found = F.regexp_extract_all(F.concat(s["quote"], x), F.lit(f"({spans})"), F.lit(1))
+        tags = F.filter(found, lambda m: m.startswith("<<"))
+        last = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
+        quote = F.when(last.rlike(UNCLOSED), F.substring(last, 1, 1)).otherwise("")
+        told = F.regexp_replace(x, rf"({HEREDOC})", "$1 _")
+        kept = F.struct(F.transform(tags, lambda t: F.regexp_replace(t, r"^<<|[ \t'\"]", "")).alias("queue"), quote.alias("quote"), F.array_append(s["out"], F.when(F.size(tags) > 0, told).otherwise(x)).alias("out"))
+        tag = F.coalesce(F.try_element_at(s["queue"], F.lit(1)), F.lit(""))
+        ends = F.when(tag.startswith("-"), F.regexp_replace(x, r"^\t+", "") == F.substring(tag, 2, 1 << 30)).otherwise(x == tag)
+        body = F.struct(F.when(ends, F.slice(s["queue"], F.lit(2), F.size(s["queue"]))).otherwise(s["queue"]).alias("queue"), s["quote"].alias("quote"), s["out"].alias("out"))
+        return F.when(F.size(s["queue"]) > 0, body).otherwise(kept)
+
+    none = F.expr("cast(array() as array<string>)")
+    folded = F.aggregate(F.split(line, "\n", -1), F.struct(none.alias("queue"), F.lit("").alias("quote"), none.alias("out")), step, lambda s: F.array_join(s["out"], "\n"))
+    return F.when(line.rlike("<<"), folded).otherwise(line)
+
+
+def _assigned(word: Column) -> Column:
+    return F.concat(F.substring_index(word, "=", 1), F.lit("="))
+
+
+def _base(word: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(word, "([^/]+)/*$", 1), F.lit("")), word)
+
+
+def _fallback(text: Column, level: int) -> Column:
+    """What is sure of a line with an open quote: its command, bare words behind it, and ``_`` for the rest."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    ahead = F.size(words) - F.size(F.regexp_extract_all(F.regexp_replace(F.array_join(words, " "), r"^(?:[A-Za-z_][A-Za-z0-9_]*=\S* ?)++", ""), F.lit(r"(\S+)"), F.lit(1)))
+    head = _base(F.coalesce(F.try_element_at(words, ahead + 1), F.lit("")))
+    rest = F.slice(words, ahead + 2, F.size(words))
+    bare = F.when(~F.coalesce(F.try_element_at(rest, F.lit(1)), F.lit("")).rlike(BARE), 0).when(~F.coalesce(F.try_element_at(rest, F.lit(2)), F.lit("")).rlike(BARE), 1).otherwise(2)
+    if level <= 0:
+        return head
+    parts = F.concat(F.transform(F.slice(words, F.lit(1), ahead), _assigned), F.array(head), F.slice(rest, F.lit(1), bare), F.when(F.size(rest) > bare, F.array(F.lit("_"))).otherwise(F.array().cast("array<string>")))
+    return F.array_join(F.filter(parts, lambda x: x != ""), " ")
+
+
+def normal_form(line: Column, repo: Column | None = None, home: Column | None = None, level: int = 1) -> Column:
+    """A struct of ``text``, a raw line's normal form, ``redacted``, whether a secret was taken from it, and ``cut``, whether it reached the bound.
+
+    A command's name stays without its folder, assignments without their values, flags without theirs; of bare words the first two, not
+    counting those of a runner; paths stay relative to ``repo`` (see ``paths.relativize``), all else is ``_``. Line ends part
+    commands but in quotes and behind an operator; heredoc bodies are left out. At level 0 only names of commands stay.
+    """
+    from .paths import relativize
+    from .scalars import MARK, scrub
+
+    unknown = F.lit(None).cast("string")
+    repo, home = repo if repo is not None else unknown, home if home is not None else unknown
+    runner = "|".join(re.escape(r) for r in RUNNERS)
+    none = F.expr("cast(array() as array<string>)")
+
+    def state(out: Column, started: Column, chain: Column, left: Column) -> Column:
+        return F.struct(out.alias("out"), started.alias("started"), chain.alias("chain"), left.alias("left"))
+
+    def step(s: Column, t: Column) -> Column:
+        add = lambda x: F.array_append(s["out"], x)
+        last = F.coalesce(F.try_element_at(s["out"], F.lit(-1)), F.lit(";"))
+        fresh = lambda out: state(out, F.lit(False), F.lit(""), F.lit(BARE_WORDS))
+        word = F.regexp_replace(t, rf"'([^']*+)'|\"((?:[^\"\\]++|\\[\s\S])*+)\"|\\([\s\S])", "$1$2$3")
+        chain = F.concat_ws(" ", s["chain"], word)
+        free = (s["chain"] != "") & chain.rlike(rf"^(?:(?:{runner}) )*(?:{runner})$")
+        same = lambda x: state(add(x), s["started"], F.lit(""), s["left"])
+        flag = F.substring_index(word, "=", 1)
+        way = relativize(word, repo, home, level)
+        way = F.when(way.isNull() | way.rlike(r"\s"), "_").otherwise(F.when(word.endswith("/") & ~way.endswith("/"), F.concat(way, F.lit("/"))).otherwise(way))
+        assigned = word.rlike(ASSIGNMENT)
+        head = F.when(assigned, state(add(_assigned(word)) if level > 0 else s["out"], F.lit(False), F.lit(""), s["left"])).otherwise(state(add(_base(word)), F.lit(True), _base(word), s["left"]))
+        rest = (
+            F.when(free, state(add(word), s["started"], chain, s["left"]))
+            .when(word.startswith("-"), same(F.when(flag.rlike(FLAG), flag).otherwise("_")))
+            .when(assigned, same(_assigned(word)))
+            .when(word.contains("/") | word.startswith("~") | word.isin(".", ".."), same(way))
+            .when((s["left"] > 0) & word.rlike(BARE), state(add(word), s["started"], F.lit(""), s["left"] - 1))
+            .otherwise(same(F.lit("_")))
+        )
+        return (
+            F.when(t == "\n", F.when(last.isin(*OPEN), s).otherwise(fresh(add(F.lit(";")))))
+            .when(t.isin(*PARTS), fresh(add(t)))
+            .when(t.rlike("^[|&;<>()]"), state(add(t), s["started"], s["chain"], s["left"]) if level > 0 else s)
+            .when(~s["started"], head)
+            .otherwise(rest if level > 0 else s)
+        )
+
+    def of(text: Column) -> Column:
+        lone = F.regexp_replace(text, rf"{TOKEN}|\s", "") != ""  # a quote that never closes
+        tokens = F.filter(F.slice(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), F.lit(1), F.lit(MAX_COMMAND)), lambda t: ~t.startswith("#"))
+        told = F.aggregate(tokens, state(none, F.lit(False), F.lit(""), F.lit(BARE_WORDS)), step, lambda s: F.array_join(s["out"], " "))
+        return F.when(lone, _fallback(F.trim(line), level)).otherwise(told)
+
+    # each stage is bound once, so that no later one repeats what is before it
+    bare = F.transform(F.array(F.regexp_replace(line, r"^\s+|\s+$", "")), lambda x: F.regexp_replace(without_bodies(x), r"\\\n", " "))
+    stages = F.transform(F.transform(bare, of), lambda w: F.struct(w.alias("raw"), scrub(w).alias("clean")))
+    out = F.transform(stages, lambda x: F.struct(F.substring(x["clean"], 1, MAX_COMMAND).alias("text"), (x["clean"] != x["raw"]).alias("redacted"), (F.length(x["clean"]) >= MAX_COMMAND).alias("cut")))
+    return F.when(line.isNotNull(), out[0])
 
 
 def normalise(line: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(lines: pd.Series) -> pd.Series:
-        return lines.map(_normal, na_action="ignore")
+    """The text of ``normal_form``; an empty line is empty."""
+    return normal_form(line)["text"]
+
+
+def argument_of(argv: Column, flags: tuple[str, ...]) -> Column:
+    """The value of the last of these flags in a list of arguments, stated as the next argument or behind ``=``; null without one."""
+    named = F.lit(list(flags))
+
+    def value(a: Column, i: Column) -> Column:
+        nxt = F.try_element_at(argv, i + 2)
+        stated = F.filter(named, lambda f: a.startswith(F.concat(f, F.lit("="))))
+        return F.when(F.array_contains(named, a), nxt).when(F.size(stated) > 0, F.substring(a, F.length(stated[0]) + 2, F.lit(1 << 30)))
+
+    return F.try_element_at(F.filter(F.transform(argv, value), lambda v: v.isNotNull()), F.lit(-1))
+
+
+def setting_of(argv: Column, key: str, flags: tuple[str, ...] = ("-c", "--config")) -> Column:
+    """The value of the last ``key=value`` behind one of the flags, without a pair of quotes around it."""
+    behind = F.transform(argv, lambda a, i: F.when((i > 0) & F.coalesce(F.try_element_at(argv, i), F.lit("")).isin(*flags) & a.startswith(f"{key}="), F.substring(a, len(key) + 2, 1 << 30)))
+    value = F.try_element_at(F.filter(behind, lambda v: v.isNotNull()), F.lit(-1))
+    return F.regexp_replace(value, r"^(['\"])(.*)\1$", "$2")
+
 
-    return run(line)
+def posture_of(argv: Column, switches: tuple[str, ...], flags: tuple[str, ...], key: str) -> Column:
+    """The first of the switches that is there, else the value of the last of the flags, else of the setting."""
+    switch = F.try_element_at(F.filter(F.lit(list(switches)), lambda s: F.array_contains(argv, s)), F.lit(1))
+    return F.coalesce(switch, argument_of(argv, flags), setting_of(argv, key))

@@ -29,11 +29,17 @@ def relativize(path: Column, repo: Column, home: Column, level: int = 1) -> Colu
     text = F.trim(path)
     full = F.when(text == "~", home).when(text.startswith("~/"), F.concat(home, F.substring(text, 2, 1 << 30))).otherwise(text)
     absolute = full.startswith("/")
-    resolved = normal(F.when(absolute, full).otherwise(F.concat(repo, F.lit("/"), full)))
-    root = normal(repo)
-    below = F.when(root == "/", F.substring(resolved, 2, 1 << 30)).when(resolved.startswith(F.concat(root, F.lit("/"))), F.substring(resolved, F.length(root) + 2, F.lit(1 << 30)))
-    outside = F.concat(F.lit("<outside>/"), F.substring(F.sha2(resolved, 256), 1, 8))
-    named = F.when(resolved == root, F.lit(".")).otherwise(F.coalesce(below, outside))
+    both = F.struct(normal(F.when(absolute, full).otherwise(F.concat(repo, F.lit("/"), full))).alias("path"), normal(repo).alias("root"))
+
+    def named_of(x: Column) -> Column:
+        path, root = x["path"], x["root"]
+        below = F.when(root == "/", F.substring(path, 2, 1 << 30)).when(path.startswith(F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.lit(1 << 30)))
+        far = F.concat(F.lit("<outside>/"), F.substring(F.sha2(path, 256), 1, 8))
+        return F.struct(F.when(path == root, F.lit(".")).otherwise(F.coalesce(below, far)).alias("named"), far.alias("outside"))
+
+    # the normal forms are bound once, so that they don't repeat in what is made of them
+    made = F.transform(F.array(both), named_of)[0]
+    named, outside = made["named"], made["outside"]
     return F.when(text == "", None).when(~absolute & repo.isNull(), full).when(repo.isNull(), outside).otherwise(named)
 
 
