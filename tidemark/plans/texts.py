@@ -204,6 +204,16 @@ def q_diff_rework(spark, d):
     return G.reworked(lines, "o_custkey", "idx")
 
 
+def q_diff_lines(spark, d):
+    """Two files in one diff, with section titles that look like counts, lines that look like headers, and hunks without counts."""
+    k = F.col("o_orderkey").cast("string")
+    diff = F.concat(
+        F.lit("diff --git a/one.py b/one.py\n--- a/one.py\n+++ b/one.py\n@@ -1,2 +1,3 @@ x = y +10,20 @@ -5,6 +7,8 @@\n context\n+added one "), k, F.lit("\n--- a header? "), k, F.lit("\n+++ b header? "), k,
+        F.lit("\n\\ No newline at end of file\ndiff --git a/two.py b/two.py\n--- a/two.py\n+++ b/two.py\n@@ -7 +7 @@ def f(a, +1,2):\n-old "), k, F.lit("\n+new "), k, F.lit("\n@@ -20,0 +21,1 @@\n+more "), k, F.lit("\n--- a/gone.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-last "), k,
+    )
+    return G.diff_lines(table(spark, d, "orders").select("o_orderkey", diff.alias("diff")), "diff", "o_orderkey")
+
+
 def _stored(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
     incoming = o.where("o_orderkey % 4 = 0").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 8 == 0, 10_000_000).otherwise(0)).alias("o_orderkey"), F.when(F.col("o_orderkey") % 12 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_custkey")
@@ -283,6 +293,9 @@ SQL = {
     "otlp_metric_kinds": "SELECT event_id, ['sum', 'gauge', 'histogram', 'exponentialHistogram', 'summary'][event_id % 5 + 1] AS kind, value FROM events",
     "otlp_values": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '"s' || event_id || '"' WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN 'true' WHEN 3 THEN '[' || event_id || ',"x",[]]'
   WHEN 4 THEN '{"a":{"b":1.5},"n":' || event_id || '}' END AS value FROM events""",
+    "diff_lines": """SELECT o_orderkey, u.p AS path, u.s AS side, replace(u.l, '{k}', o_orderkey::VARCHAR) AS line FROM (SELECT o_orderkey, unnest([
+    {'p': 'one.py', 's': 'added', 'l': 'added one {k}'}, {'p': 'one.py', 's': 'removed', 'l': '-- a header? {k}'}, {'p': 'one.py', 's': 'added', 'l': '++ b header? {k}'},
+    {'p': 'two.py', 's': 'removed', 'l': 'old {k}'}, {'p': 'two.py', 's': 'added', 'l': 'new {k}'}, {'p': 'two.py', 's': 'added', 'l': 'more {k}'}, {'p': 'gone.py', 's': 'removed', 'l': 'last {k}'}]) AS u FROM orders)""",
     "numstat_z": """SELECT l_orderkey, 'src/p' || l_partkey AS path, CASE WHEN l_partkey % 4 = 0 THEN 'old/p' || l_partkey END AS old_path, CASE WHEN l_partkey % 50 <> 0 THEN trunc(l_quantity)::INTEGER END AS added,
   CASE WHEN l_partkey % 50 <> 0 THEN l_linenumber::INTEGER END AS removed FROM lineitem""",
     "content_counts": "SELECT conv_id, turn, 1 AS text_blocks, (role = 'assistant')::INTEGER AS tool_use_blocks, (role <> 'assistant')::INTEGER AS tool_result_blocks FROM conversations WHERE conv_id % 7 <> 0",

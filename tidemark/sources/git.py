@@ -15,24 +15,23 @@ def numstat(commits: DataFrame, text: str, *keep: str) -> DataFrame:
     return line.where(F.size(parts) == 3).select(*keep, parts[2].alias("path"), parts[0].try_cast("int").alias("added"), parts[1].try_cast("int").alias("removed"))
 
 
+#: a record of a numstat text with NULs: counts and a path, or counts, an old and a new path
+RECORD = r"(?:^|(?<=\x00))[0-9-]+\t[0-9-]+\t(?:[^\x00]++(?:\x00|$)|\x00[^\x00]++\x00[^\x00]++(?:\x00|$))"
+
+
 def numstat_z(commits: DataFrame, text: str, *keep: str) -> DataFrame:
     """(path, old_path, added, removed) of a numstat text with NUL separators: a rename's record has an empty path and two more fields.
 
-    An ended record is three tab-separated fields; ``added TAB removed TAB NUL old NUL new NUL`` is a rename. Pieces
-    are folded in order within one commit's text; what is cut off at the end is left out.
+    An ended record is three tab-separated fields; ``added TAB removed TAB NUL old NUL new NUL`` is a rename. Records are
+    taken from left to right, in time that grows with the text; a rename that is cut off at the end is left out.
     """
-    record = "named_struct('path', {path}, 'old_path', {old}, 'added', try_cast({a} as int), 'removed', try_cast({r} as int))"
-    plain = record.format(path="split(x, '\\t', 3)[2]", old="cast(null as string)", a="split(x, '\\t', 3)[0]", r="split(x, '\\t', 3)[1]")
-    renamed = record.format(path="x", old="s.old", a="split(s.head, '\\t', 3)[0]", r="split(s.head, '\\t', 3)[1]")
-    state = "named_struct('head', {head}, 'old', {old}, 'out', {out})"
-    none = "cast(null as string)"
-    fold = f"""aggregate(split(`{text}`, char(0)), {state.format(head=none, old=none, out="cast(array() as array<struct<path:string,old_path:string,added:int,removed:int>>)")}, (s, x) ->
-      case when s.head is not null and s.old is null then {state.format(head="s.head", old="x", out="s.out")}
-           when s.head is not null then {state.format(head=none, old=none, out=f"array_append(s.out, {renamed})")}
-           when size(split(x, '\\t', 3)) = 3 and split(x, '\\t', 3)[2] = '' then {state.format(head="x", old=none, out="s.out")}
-           when size(split(x, '\\t', 3)) = 3 then {state.format(head=none, old=none, out=f"array_append(s.out, {plain})")}
-           else s end, s -> s.out)"""
-    return commits.select(*keep, F.explode(F.expr(fold)).alias("x")).select(*keep, "x.*")
+    record = F.explode(F.regexp_extract_all(text, F.lit(RECORD), F.lit(0))).alias("record")
+    parts = F.split("record", "\x00")
+    counts = F.split(parts[0], "\t", 3)
+    renamed = counts[2] == ""
+    return commits.select(*keep, record).select(
+        *keep, F.when(renamed, parts[2]).otherwise(counts[2]).alias("path"), F.when(renamed, parts[1]).alias("old_path"), counts[0].try_cast("int").alias("added"), counts[1].try_cast("int").alias("removed")
+    )
 
 
 def totals(changes: DataFrame, *key: str) -> DataFrame:
@@ -44,27 +43,45 @@ def totals(changes: DataFrame, *key: str) -> DataFrame:
 def diff_lines(commits: DataFrame, text: str, *keep: str) -> DataFrame:
     """(path, side, line) of a unified diff's added and removed lines.
 
-    Lines are folded in order within one commit's diff. A hunk's header says how many old and new lines follow, so
-    lines that look like file headers are only taken for them between hunks.
+    A diff is cut at its hunks' headers, which no line inside a hunk looks like. A header says how many old and new lines
+    follow; what is behind them may be headers of the next file, so lines that look like file headers are only taken for them
+    there. A fold over a hunk's lines counts, and one over the hunks carries the files' names.
     """
-    state = "named_struct('old', {old}, 'new', {new}, 'a', {a}, 'b', {b}, 'out', {out})"
-    keep_ = {"old": "s.old", "new": "s.new", "a": "s.a", "b": "s.b", "out": "s.out"}
-    to = lambda **change: state.format(**(keep_ | change))
-    added = "array_append(s.out, named_struct('path', s.new, 'side', 'added', 'line', substr(x, 2)))"
-    removed = "array_append(s.out, named_struct('path', s.old, 'side', 'removed', 'line', substr(x, 2)))"
-    count = lambda sign: f"cast(coalesce(nullif(regexp_extract(x, '^@@ .*[{sign}][0-9]+,([0-9]+)', 1), ''), '1') as int)"
-    minus = "cast(coalesce(nullif(regexp_extract(x, '^@@ -[0-9]+,([0-9]+) ', 1), ''), '1') as int)"
-    empty = "cast(array() as array<struct<path:string,side:string,line:string>>)"
-    fold = f"""aggregate(split(`{text}`, '\\n'), {state.format(old="cast(null as string)", new="cast(null as string)", a="0", b="0", out=empty)}, (s, x) ->
-      case when s.b > 0 and startswith(x, '+') then {to(b="s.b - 1", out=added)}
-           when s.a > 0 and startswith(x, '-') then {to(a="s.a - 1", out=removed)}
-           when startswith(x, '\\\\') then s
-           when s.a > 0 or s.b > 0 then {to(a="greatest(s.a - 1, 0)", b="greatest(s.b - 1, 0)")}
-           when startswith(x, '@@ ') then {to(a=minus, b=count("+"))}
-           when startswith(x, '--- ') then {to(old="regexp_replace(substr(x, 5), '^a/', '')")}
-           when startswith(x, '+++ ') then {to(new="regexp_replace(substr(x, 5), '^b/', '')")}
-           else s end, s -> s.out)"""
-    rows = commits.select(*keep, F.explode(F.expr(fold)).alias("x")).select(*keep, "x.path", "x.side", "x.line")
+    stated = lambda head, sign: F.coalesce(F.nullif(F.regexp_extract(head, rf"^@@ -\S+ \+[0-9]+(?:,([0-9]+))? @@" if sign == "+" else r"^@@ -[0-9]+(?:,([0-9]+))? ", 1), F.lit("")).try_cast("int"), F.lit(1))
+    named = lambda lines, sign, lead: F.regexp_replace(F.substring(F.try_element_at(F.filter(lines, lambda x: x.startswith(f"{sign} ")), F.lit(-1)), 5, 1 << 30), f"^{lead}/", "")
+
+    def count(s, x):
+        """Lines that are left of both sides, and how many there were before none is."""
+        inside = (s["old"] > 0) | (s["new"] > 0)
+        old = F.when(x.startswith("+") | x.startswith("\\"), s["old"]).otherwise(s["old"] - 1)
+        new = F.when(x.startswith("-") | x.startswith("\\"), s["new"]).otherwise(s["new"] - 1)
+        return F.when(inside | (x.startswith("\\") & ~s["over"]), F.struct(old.alias("old"), new.alias("new"), (s["lines"] + 1).alias("lines"), F.lit(False).alias("over"))).otherwise(
+            F.struct(s["old"].alias("old"), s["new"].alias("new"), s["lines"].alias("lines"), F.lit(True).alias("over"))
+        )
+
+    def cut(lines):
+        """A hunk's lines, and those behind it."""
+        body = F.slice(lines, F.lit(2), F.size(lines))
+        start = F.struct(stated(lines[0], "-").alias("old"), stated(lines[0], "+").alias("new"), F.lit(0).alias("lines"), F.lit(False).alias("over"))
+        n = F.when(lines[0].startswith("@@ "), F.aggregate(body, start, count, lambda s: s["lines"])).otherwise(F.lit(0))
+        behind = F.when(lines[0].startswith("@@ "), body).otherwise(lines)
+        return F.struct(F.slice(body, F.lit(1), n).alias("inside"), F.slice(behind, n + 1, F.size(lines)).alias("behind"))
+
+    pieces = F.transform(F.split(text, "\n(?=@@ )"), lambda p: cut(F.split(p, "\n")))
+    told = F.transform(pieces, lambda p: F.struct(p["inside"].alias("inside"), named(p["behind"], "---", "a").alias("old"), named(p["behind"], "+++", "b").alias("new")))
+    hunk = "array<struct<old:string,new:string,inside:array<string>>>"
+
+    def carry(s, p):
+        at = F.array(F.struct(s["old"].alias("old"), s["new"].alias("new"), p["inside"].alias("inside"))).cast(hunk)
+        return F.struct(F.coalesce(p["old"], s["old"]).alias("old"), F.coalesce(p["new"], s["new"]).alias("new"), F.when(F.size(p["inside"]) > 0, F.concat(s["out"], at)).otherwise(s["out"]).alias("out"))
+
+    unknown = F.lit(None).cast("string")
+    hunks = F.aggregate(told, F.struct(unknown.alias("old"), unknown.alias("new"), F.expr(f"cast(array() as {hunk})").alias("out")), carry, lambda s: s["out"])
+    each = commits.select(*keep, F.explode(hunks).alias("h")).select(*keep, "h.old", "h.new", F.explode("h.inside").alias("x"))
+    added = F.col("x").startswith("+")
+    rows = each.where(added | F.col("x").startswith("-")).select(
+        *keep, F.when(added, F.col("new")).otherwise(F.col("old")).alias("path"), F.when(added, "added").otherwise("removed").alias("side"), F.substring("x", 2, 1 << 30).alias("line")
+    )
     return rows.where((F.length(F.trim("line")) > MIN_LINE) & (F.col("path") != "/dev/null"))
 
 
