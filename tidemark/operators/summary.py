@@ -76,6 +76,11 @@ def placebo_and_baseline_checks(scores: DataFrame, key: list[str], margin: float
     return g.select(*key, F.explode(F.map_from_arrays(F.lit(list(checks)), F.array(*checks.values()))).alias("check", "passes"))
 
 
-def target_registry(spark, targets: Mapping[str, tuple[str, bool]]) -> DataFrame:
-    """(target, unit, declarable): the targets that can be forecast, and whether a scenario may declare them."""
-    return spark.createDataFrame([(k, unit, may) for k, (unit, may) in sorted(targets.items())], "target string, unit string, declarable boolean")
+def target_registry(evidence: DataFrame, targets: Mapping[str, tuple[str, bool]]) -> DataFrame:
+    """(target, unit, declarable, sessions, unknown) of the metrics in evidence(metric, value) that can be forecast.
+
+    targets: each one's unit and whether a scenario may declare it. sessions counts rows with a known value, unknown those without.
+    """
+    table = evidence.sparkSession.createDataFrame([(k, unit, may) for k, (unit, may) in sorted(targets.items())], "target string, unit string, declarable boolean")
+    held = evidence.groupBy(F.col("metric").alias("target")).agg(F.count("value").alias("sessions"), F.count_if(F.col("value").isNull()).alias("unknown"))
+    return held.join(F.broadcast(table), "target").select("target", "unit", "declarable", "sessions", "unknown")

@@ -387,6 +387,18 @@ SQL = {
     "hodges_lehmann": f"WITH {ARMS} SELECT a.c_nationkey, median(b.value - a.value) AS hl_shift FROM v a JOIN v b ON a.c_nationkey = b.c_nationkey AND a.arm = 'a' AND b.arm = 'b' GROUP BY 1",
     "cliffs_delta": f"WITH {ARMS}, n AS (SELECT c_nationkey, count(*) FILTER (arm = 'a') AS n_a, count(*) FILTER (arm = 'b') AS n_b FROM v GROUP BY 1) SELECT c_nationkey, n_a, n_b, (SELECT round(avg(sign(b.value - a.value)), 9) FROM v a JOIN v b ON a.c_nationkey = b.c_nationkey WHERE a.arm = 'a' AND b.arm = 'b' AND a.c_nationkey = n.c_nationkey) AS cliffs_delta FROM n",
     "mann_whitney": f"WITH {ARMS}, n AS (SELECT c_nationkey, count(*) FILTER (arm = 'a') AS n_a, count(*) FILTER (arm = 'b') AS n_b FROM v GROUP BY 1) SELECT c_nationkey, n_a, n_b, coalesce((SELECT sum(CASE WHEN b.value > a.value THEN 1.0::DOUBLE WHEN b.value = a.value THEN 0.5::DOUBLE ELSE 0 END) FROM v a JOIN v b ON a.c_nationkey = b.c_nationkey WHERE a.arm = 'a' AND b.arm = 'b' AND a.c_nationkey = n.c_nationkey), 0.0) AS u FROM n",
+    "mann_whitney_p": f"""WITH RECURSIVE {ARMS}, n AS (SELECT c_nationkey, count(*) FILTER (arm = 'a') AS n_a, count(*) FILTER (arm = 'b') AS n_b FROM v GROUP BY 1),
+      x AS MATERIALIZED (SELECT c_nationkey, arm, value, (2 * rank() OVER g + count(*) OVER (PARTITION BY c_nationkey, value) - 1)::BIGINT AS d, row_number() OVER (PARTITION BY c_nationkey ORDER BY value, arm) AS i
+        FROM v WHERE value IS NOT NULL WINDOW g AS (PARTITION BY c_nationkey ORDER BY value)),
+      s AS MATERIALIZED (SELECT * FROM n WHERE n_a BETWEEN 1 AND 20 AND n_b BETWEEN 1 AND 20),
+      dp AS (SELECT c_nationkey, 0::BIGINT AS i, 0::BIGINT AS k, 0::BIGINT AS total, 1.0::DOUBLE AS ways FROM s
+        UNION ALL SELECT c_nationkey, i, k, total, sum(ways) FROM (SELECT x.c_nationkey, x.i, dp.k + t AS k, dp.total + t * x.d AS total, dp.ways
+          FROM dp JOIN x ON x.c_nationkey = dp.c_nationkey AND x.i = dp.i + 1 JOIN s ON s.c_nationkey = dp.c_nationkey, (VALUES (0), (1)) c(t) WHERE dp.k + t <= s.n_a) GROUP BY ALL),
+      o AS (SELECT c_nationkey, sum(d) AS whole, sum(d) FILTER (arm = 'a') AS seen, count(*) AS n FROM x GROUP BY 1),
+      p AS (SELECT dp.c_nationkey, sum(ways) FILTER (abs(total * o.n - s.n_a * whole) >= abs(seen * o.n - s.n_a * whole)) / sum(ways) AS p FROM dp JOIN o USING (c_nationkey) JOIN s USING (c_nationkey)
+        WHERE dp.i = o.n AND dp.k = s.n_a GROUP BY 1)
+      SELECT c_nationkey, n_a, n_b, coalesce((SELECT sum(CASE WHEN b.value > a.value THEN 1.0::DOUBLE WHEN b.value = a.value THEN 0.5::DOUBLE ELSE 0 END) FROM v a JOIN v b ON a.c_nationkey = b.c_nationkey
+        WHERE a.arm = 'a' AND b.arm = 'b' AND a.c_nationkey = n.c_nationkey), 0.0) AS u, p FROM n LEFT JOIN p USING (c_nationkey)""",
     "mdd": f"""WITH {ARMS}, b AS (SELECT c_nationkey, arm, count(*) AS n, median(value) AS med FROM v GROUP BY ALL), m AS (SELECT c_nationkey, arm, n, med, CASE WHEN n > 1 THEN median(abs(value - med)) * 1.4826::DOUBLE END AS mad FROM v JOIN b USING (c_nationkey, arm) GROUP BY c_nationkey, arm, n, med),
       w AS (SELECT a.c_nationkey, least(a.n, b.n) AS n, sqrt((a.mad ** 2 + b.mad ** 2) / 2) AS s, b.med - a.med AS shift, (SELECT median(value) FROM v WHERE v.c_nationkey = a.c_nationkey) AS p FROM m a JOIN m b ON a.c_nationkey = b.c_nationkey AND a.arm = 'a' AND b.arm = 'b')
       SELECT c_nationkey, round(s, 6) AS s, round(2.8::DOUBLE * s * sqrt(2.0::DOUBLE / n), 6) AS mdd, CASE WHEN p <> 0 THEN ceil(2.0::DOUBLE * (2.8::DOUBLE * s / (0.25::DOUBLE * abs(p))) ** 2)::BIGINT END AS n_needed, 2.8::DOUBLE * s * sqrt(2.0::DOUBLE / n) > 0.25::DOUBLE * abs(p) AS demoted,

@@ -41,13 +41,13 @@ def q_refused_links(spark, d):
 def _outcomes(spark, d):
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select(
-        k.alias("outcome_id"), F.when(k % 3 == 0, F.col("o_custkey")).alias("sha"), F.when(k % 2 == 0, F.concat(F.lit("t"), F.col("o_custkey") % 50)).alias("task"), F.when(k % 5 != 0, (k % 4).cast("int")).alias("attempt"),
+        k.alias("outcome_id"), F.when(k % 3 == 0, F.col("o_custkey")).alias("sha"), F.when(k % 2 == 0, F.concat(F.lit("t"), F.col("o_custkey"))).alias("task"), F.when(k % 5 != 0, (k % 4).cast("int")).alias("attempt"),
         F.col("o_custkey").alias("change"), (k % 3 != 1).alias("verifies"), F.when(k % 4 != 0, k % 1000).alias("duration_ms"), _pick(STATUS, k).alias("status"),
     )
 
 
 def q_outcomes_about(spark, d):
-    changes = table(spark, d, "customer").select(F.col("c_custkey").alias("sha"), F.concat(F.lit("t"), F.col("c_custkey") % 50).alias("task"), (F.col("c_custkey") % 4).cast("int").alias("attempt")).where("sha % 10 = 0")
+    changes = table(spark, d, "customer").select(F.col("c_custkey").alias("sha"), F.concat(F.lit("t"), F.col("c_custkey")).alias("task"), (F.col("c_custkey") % 4).cast("int").alias("attempt"))
     return L.outcomes_about(_outcomes(spark, d).select("outcome_id", "sha", "task", "attempt"), changes)
 
 
@@ -139,19 +139,24 @@ def q_calibration_summary(spark, d):
     return g.select("l_returnflag", "n", F.round("max_deviation", 6).alias("max_deviation"), F.round("coverage80", 6).alias("coverage80"), "flagged")
 
 
+#: declared paths in ascending order, and the fault of each
+PATHS = (((1.0,), "wrong_length"), ((1.0, None), "hole"), ((1.0, -2.0), "negative"), ((1.0, 2.0), None), ((float("inf"), 0.0), "not_finite"))
+DECLARED = (("tokens", True, True), ("ratio", True, False), ("fixed", False, False), ("y", True, False))
+
+
 def q_scenario_faults(spark, d):
+    """Customers as scenarios: of each column the least path that an order declares; each seventh customer declares all twice."""
     k = F.col("o_orderkey")
-    values = F.when(k % 5 == 0, F.array(F.lit(1.0), F.lit(None))).when(k % 5 == 1, F.array(F.lit(1.0), F.lit(-2.0))).when(k % 5 == 2, F.array(F.lit(1.0))).when(k % 5 == 3, F.array(F.lit(float("inf")), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0)))
-    p = table(spark, d, "orders").select(F.col("o_custkey").alias("scenario"), _pick(("tokens", "ratio", "y", "fixed", "other"), k).alias("column"), values.alias("values"))
-    columns = spark.createDataFrame([("tokens", True, True), ("ratio", True, False), ("fixed", False, False), ("y", True, False)], "column string, declarable boolean, count boolean")
+    values = F.array(*[F.array(*[F.lit(x).cast("double") for x in path]) for path, _ in PATHS])
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("scenario"), _pick(("tokens", "ratio", "y", "fixed", "other"), k).alias("column"), F.element_at(values, (F.floor(k / 5) % 5 + 1).cast("int")).alias("values"))
+    columns = spark.createDataFrame(list(DECLARED), "column string, declarable boolean, count boolean")
     one = p.groupBy("scenario", "column").agg(F.min("values").alias("values"))
-    twice = p.where("scenario % 7 = 0").groupBy("scenario", "column").agg(F.min("values").alias("values"))
-    return G.scenario_faults(one.unionByName(twice), columns, 2, "y")
+    return G.scenario_faults(one.unionByName(one.where("scenario % 7 = 0")), columns, 2, "y")
 
 
 def q_regime_state(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_custkey", F.col("o_orderstatus").alias("regime"))
-    return G.regime_state(rows, "o_custkey").unionByName(G.regime_state(rows.where("o_custkey % 10 = 0"), "o_custkey", pooled=True))
+    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderstatus").alias("regime"))
+    return G.regime_state(rows, "o_custkey").unionByName(G.regime_state(rows, "o_custkey", pooled=True))
 
 
 def q_advisory(spark, d):
@@ -205,13 +210,13 @@ LADDER = _listed(WORDS)
 LINKS = f"lk AS (SELECT l_partkey AS sha, l_partkey % 500 AS tree, {LADDER}[(l_suppkey + l_linenumber) % 7 + 1] AS word, (l_suppkey + l_linenumber) % 7 AS rank, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS activity FROM lineitem)"
 JOINED = f"""{LINKS}, bs AS (SELECT p_partkey AS sha, p_partkey % 500 AS tree FROM part WHERE p_size % 4 = 0), tr AS (SELECT tree, min(sha) AS by_tree, count(*) AS owners FROM bs GROUP BY tree),
   mt AS (SELECT lk.*, owners, coalesce(bs.sha, CASE WHEN owners = 1 THEN by_tree END) AS row_sha FROM lk LEFT JOIN bs USING (sha) LEFT JOIN tr ON tr.tree = lk.tree)"""
-OUTCOMES = f"""oc AS (SELECT o_orderkey AS outcome_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS sha, CASE WHEN o_orderkey % 2 = 0 THEN 't' || (o_custkey % 50) END AS task, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS attempt,
+OUTCOMES = f"""oc AS (SELECT o_orderkey AS outcome_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS sha, CASE WHEN o_orderkey % 2 = 0 THEN 't' || o_custkey END AS task, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS attempt,
   o_custkey AS change, o_orderkey % 3 <> 1 AS verifies, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 1000 END AS duration_ms, {_listed(STATUS)}[o_orderkey % 4 + 1] AS status FROM orders)"""
 SQL = {
     "best_rung": f"WITH {LINKS} SELECT sha, arg_min(word, rank) AS rung, arg_min(activity, (rank, l_orderkey, l_linenumber)) AS first_activity FROM lk WHERE rank < 6 GROUP BY sha",
     "commit_links": f"""WITH {JOINED} SELECT row_sha, max(sha) FILTER (sha <> row_sha) AS twin, count(*) AS n_links, array_to_string(list_sort(list(DISTINCT activity)), ',') AS activities FROM mt WHERE row_sha IS NOT NULL GROUP BY row_sha""",
     "refused_links": f"WITH {JOINED} SELECT DISTINCT sha, CASE WHEN owners > 1 THEN 'ambiguous_tree' ELSE 'off_base' END AS reason FROM mt WHERE row_sha IS NULL",
-    "outcomes_about": f"""WITH {OUTCOMES}, ch AS (SELECT c_custkey AS sha, 't' || (c_custkey % 50) AS task, c_custkey % 4 AS attempt FROM customer WHERE c_custkey % 10 = 0)
+    "outcomes_about": f"""WITH {OUTCOMES}, ch AS (SELECT c_custkey AS sha, 't' || c_custkey AS task, c_custkey % 4 AS attempt FROM customer)
   SELECT sha, outcome_id FROM (SELECT ch.sha, outcome_id FROM ch JOIN oc ON oc.sha = ch.sha UNION SELECT ch.sha, outcome_id FROM ch JOIN oc ON oc.task = ch.task AND oc.attempt = ch.attempt)""",
     "merge_verification": f"""WITH {OUTCOMES}, l AS (SELECT change, count(*) FILTER (verifies) AS n, arg_max(duration_ms, CASE WHEN verifies THEN outcome_id END) AS x, max(outcome_id) FILTER (verifies) AS last FROM oc GROUP BY change),
   j AS (SELECT l.change, oc.duration_ms, CASE lower(oc.status) WHEN 'passed' THEN 0 WHEN 'ok' THEN 0 WHEN 'failed' THEN 1 END::INTEGER AS failed, n FROM l LEFT JOIN oc ON oc.outcome_id = last)
@@ -246,8 +251,11 @@ SQL = {
   q AS (SELECT l_returnflag, k, k / 10.0 AS level, avg((y <= k * w)::INTEGER) AS under, count(*) AS n FROM r, (SELECT unnest(range(1, 10)) AS k) GROUP BY ALL)
   SELECT q.l_returnflag, any_value(q.n) AS n, round(max(abs(under - level)), 6) AS max_deviation, any_value(c) AS coverage80, bool_or(abs(under - level) > 2 * sqrt(level * (1 - level) / q.n)) AS flagged
   FROM q JOIN (SELECT l_returnflag, round(avg((y BETWEEN w AND 9 * w)::INTEGER), 6) AS c FROM r GROUP BY l_returnflag) x ON x.l_returnflag = q.l_returnflag GROUP BY q.l_returnflag""",
-    "regime_state": """WITH g AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS regimes FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey)
-  SELECT o_custkey, regimes, CASE WHEN regimes <= 1 THEN 'ok' ELSE 'refused' END AS state FROM g UNION ALL SELECT o_custkey, regimes, CASE WHEN regimes <= 1 THEN 'ok' ELSE 'pooled' END FROM g WHERE o_custkey % 10 = 0""",
+    "scenario_faults": f"""WITH p AS (SELECT o_custkey AS scenario, ['tokens', 'ratio', 'y', 'fixed', 'other'][o_orderkey % 5 + 1] AS c, min((o_orderkey // 5) % 5) AS v FROM orders GROUP BY ALL)
+  SELECT scenario, c AS "column", unnest(list_filter([CASE WHEN c = 'other' THEN 'unknown_column' END, CASE WHEN c = 'y' THEN 'is_target' END, CASE WHEN c = 'fixed' THEN 'not_declarable' END,
+    CASE WHEN v <> 2 OR c = 'tokens' THEN {[f or "" for _, f in PATHS]}[v + 1] END, CASE WHEN scenario % 7 = 0 THEN 'repeated' END], lambda f: f <> '')) AS fault FROM p""",
+    "regime_state": """WITH g AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS regimes FROM orders GROUP BY o_custkey)
+  SELECT o_custkey, regimes, CASE WHEN regimes <= 1 THEN 'ok' ELSE 'refused' END AS state FROM g UNION ALL SELECT o_custkey, regimes, CASE WHEN regimes <= 1 THEN 'ok' ELSE 'pooled' END FROM g""",
     "advisory": """WITH r AS (SELECT c_nationkey AS target, arg_max(c_custkey, (c_custkey % 100, c_custkey)) AS run_id FROM customer WHERE c_nationkey % 6 <> 5 GROUP BY c_nationkey),
   j AS (SELECT n_nationkey AS target, n_nationkey % 4 <> 0 AS ready, run_id, CASE WHEN run_id % 2 = 0 THEN 'model_adds' WHEN run_id IS NOT NULL THEN 'baseline_sufficient' END AS label FROM nation LEFT JOIN r ON target = n_nationkey),
   a AS (SELECT *, concat_ws(',', CASE WHEN NOT ready THEN 'not_ready' END, CASE WHEN run_id IS NULL THEN 'no_run' END, CASE WHEN label <> 'model_adds' THEN 'label' END, CASE WHEN run_id % 3 = 0 THEN 'calibration' END) AS against FROM j)

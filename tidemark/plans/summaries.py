@@ -15,6 +15,7 @@ BLOCKS = {
     "tests": ["agent_test_runs", "failed_test_runs"], "reads": ["unique_files_read", "directories_traversed"],
 }
 FLAT = [(b, n) for b, names in BLOCKS.items() for n in names]
+REGISTRY = {n: ("tokens" if "tokens" in n else "lines" if "lines" in n else "count", i % 3 == 0) for i, (_, n) in enumerate(FLAT)}
 CAPABILITIES = [("view", "paths", "partial"), ("click", "paths", "observed"), ("purchase", "tokens", "derived"), ("error", "tokens", "partial"), ("signup", "commands", "observed"), ("hook", "diffs", "observed")]
 KINDS = ("claude.otel.tool_result", "claude.stream.system.vcs_state_changed", "claude.hook.pre", "codex.item")
 RUN = ("git commit _", "cat a && git -C x commit -m _", "git status", "git commitx", "echo git commit")
@@ -29,7 +30,7 @@ def q_summary_json(spark, d):
 
 
 def q_capability_coverage(spark, d):
-    delivered = table(spark, d, "events").select("user_id", "event_type").where("event_id % 3 = 0")
+    delivered = table(spark, d, "events").select("user_id", "event_type")
     return S.capability_coverage(delivered, "user_id", "event_type", spark.createDataFrame(CAPABILITIES, "surface string, capability string, word string"))
 
 
@@ -53,7 +54,8 @@ def q_score_checks(spark, d):
 
 
 def q_target_registry(spark, d):
-    return S.target_registry(spark, {n: ("tokens" if i % 2 == 0 else "ms", i % 3 == 0) for i, (_, n) in enumerate(FLAT)})
+    """Metrics that the sessions' evidence holds, with their units; those that the registry doesn't name aren't targets."""
+    return S.target_registry(M.evidence(M.base_metrics(activities(spark, d))), REGISTRY)
 
 
 WIDE = SESSIONS["base_metrics"]
@@ -62,7 +64,7 @@ SQL = {
     "summary_json": f"WITH bm AS ({WIDE}) SELECT capture_id, '{{' || "
     + " || ',' || ".join(f"'\"{b}\":{{' || " + " || ',' || ".join(f"'\"{n}\":' || coalesce({n}::VARCHAR, 'null')" for n in BLOCKS[b]) + " || '}'" for b in ("context", "tests"))
     + " || '}' AS summary FROM bm",
-    "capability_coverage": "WITH c(surface, capability, word) AS (VALUES " + ", ".join(str(x) for x in CAPABILITIES) + """), dl AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0),
+    "capability_coverage": "WITH c(surface, capability, word) AS (VALUES " + ", ".join(str(x) for x in CAPABILITIES) + """), dl AS (SELECT DISTINCT user_id, event_type FROM events),
   b AS (SELECT user_id, capability, min(list_position(['observed', 'derived', 'partial', 'unavailable'], word)) AS r FROM dl JOIN c ON surface = event_type GROUP BY ALL)
   SELECT u.user_id, k.capability, ['observed', 'derived', 'partial', 'unavailable'][coalesce(r, 4)] AS coverage FROM (SELECT DISTINCT user_id FROM dl) u CROSS JOIN (SELECT DISTINCT capability FROM c) k
   LEFT JOIN b ON b.user_id = u.user_id AND b.capability = k.capability""",
@@ -72,6 +74,7 @@ SQL = {
     WHEN kind LIKE '%tool_result' AND run IN (0, 1) THEN 'commit_command' END WHEN l_partkey % 3 = 0 THEN CASE WHEN l_partkey % 5 = 0 AND l_partkey % 7 <> 0 THEN 'file_mutation' END END AS word FROM s""",
     "score_checks": """WITH r AS (SELECT o_custkey, o_orderkey % 3 = 0 AS own, floor(o_totalprice * 100)::DOUBLE AS mae FROM orders), g AS (SELECT o_custkey, min(mae) FILTER (own) AS a, quantile_cont(mae, 0.5) FILTER (NOT own) AS t FROM r GROUP BY o_custkey)
   SELECT o_custkey, 'baselines' AS "check", a IS NOT NULL AS passes FROM g UNION ALL SELECT o_custkey, 'placebo', coalesce(a < t, false) FROM g""",
-    "target_registry": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{'tokens' if i % 2 == 0 else 'ms'}', {str(i % 3 == 0).lower()})" for i, (_, n) in enumerate(FLAT)) + ") t(target, unit, declarable)",
+    "target_registry": f"WITH ev AS ({SESSIONS['evidence_long']}), r(target, unit, declarable) AS (VALUES " + ", ".join(f"('{n}', '{u}', {str(m).lower()})" for n, (u, m) in REGISTRY.items())
+    + ") SELECT target, unit, declarable, count(value) AS sessions, count(*) - count(value) AS unknown FROM ev JOIN r ON target = metric GROUP BY ALL",
 }
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
