@@ -200,23 +200,28 @@ def hash_fold(ident: Column, folds: int = 5) -> Column:
 
 
 def markov(df: DataFrame, key: Cols, order: Cols, state: str, fold: str, held: int, floor: int = 20) -> DataFrame:
-    """Log-loss of add-one smoothed next-state models with 0, 1 and 2 states of memory.
+    """Log-loss and accuracy of add-one smoothed next-state models with 0, 1 and 2 states of memory.
 
-    Fitted on sessions outside the held fold. A context seen under ``floor`` times backs off to the shorter one.
-    The transitions are counted first; scoring joins held-out transition counts with them.
+    Fitted on sessions outside the held fold. A context seen under ``floor`` times backs off to the shorter one. A model
+    foretells its likeliest state (ties: the first by name). Transitions are counted first; longer memories are sums over windows
+    that one dealing by the last state serves.
     """
     w = Window.partitionBy(*key).orderBy(*order)
     rows = df.select(*key, fold, F.col(state).alias("s"), F.lag(state).over(w).alias("p"), F.lag(state, 2).over(w).alias("pp")).where("p is not null")
     tri = rows.groupBy("pp", "p", "s").agg(F.count_if(F.col(fold) != held).alias("fit"), F.count_if(F.col(fold) == held).alias("test"))
-    size = tri.agg(F.countDistinct("s").alias("v"))  # one row
-    c2 = tri.groupBy(F.col("pp").alias("x"), F.col("p").alias("y")).agg(F.sum("fit").alias("n2"))
-    c1s = tri.groupBy(F.col("p").alias("q"), F.col("s").alias("t")).agg(F.sum("fit").alias("f1"))
-    c1 = tri.groupBy(F.col("p").alias("r")).agg(F.sum("fit").alias("n1"))
-    c0s = tri.groupBy(F.col("s").alias("u")).agg(F.sum("fit").alias("f0"))
-    c0 = tri.agg(F.sum("fit").alias("n0"))
-    j = tri.join(c2, F.col("pp").eqNullSafe(F.col("x")) & (F.col("p") == F.col("y"))).join(c1s, (F.col("p") == F.col("q")) & (F.col("s") == F.col("t")))
-    j = j.join(c1, F.col("p") == F.col("r")).join(c0s, F.col("s") == F.col("u")).crossJoin(F.broadcast(c0)).crossJoin(F.broadcast(size))
+    tri = tri.repartition("p")
+    over = lambda c, *by: F.sum(c).over(Window.partitionBy(*by))
+    likeliest = lambda c, *by: F.min(F.struct((-F.col(c)).alias("k"), "s")).over(Window.partitionBy(*by))["s"]
+    tri = tri.withColumns({"n2": over("fit", "p", "pp"), "f1": over("fit", "p", "s"), "n1": over("fit", "p"), "g2": likeliest("fit", "p", "pp")}).withColumn("g1", likeliest("f1", "p"))
+    single = tri.groupBy("s").agg(F.sum("fit").alias("f0"))
+    whole = single.agg(F.sum("f0").alias("n0"), F.count("*").alias("v"), F.min(F.struct((-F.col("f0")).alias("k"), "s"))["s"].alias("g0"))  # one row
+    j = tri.join(single, "s").crossJoin(F.broadcast(whole))
+    known1, known2 = F.col("n1") >= floor, F.col("pp").isNotNull() & (F.col("n2") >= floor)
     p0 = (F.col("f0") + 1) / (F.col("n0") + F.col("v"))
-    p1 = F.when(F.col("n1") >= floor, (F.col("f1") + 1) / (F.col("n1") + F.col("v"))).otherwise(p0)
-    p2 = F.when(F.col("pp").isNotNull() & (F.col("n2") >= floor), (F.col("fit") + 1) / (F.col("n2") + F.col("v"))).otherwise(p1)
-    return j.agg(F.sum("test").alias("n"), *(F.try_divide(-F.sum(F.col("test") * F.ln(p)), F.sum("test")).alias(f"loss{k}") for k, p in enumerate((p0, p1, p2))))
+    p1 = F.when(known1, (F.col("f1") + 1) / (F.col("n1") + F.col("v"))).otherwise(p0)
+    p2 = F.when(known2, (F.col("fit") + 1) / (F.col("n2") + F.col("v"))).otherwise(p1)
+    g1 = F.when(known1, F.col("g1")).otherwise(F.col("g0"))
+    g2 = F.when(known2, F.col("g2")).otherwise(g1)
+    losses = [F.try_divide(-F.sum(F.col("test") * F.ln(p)), F.sum("test")).alias(f"loss{k}") for k, p in enumerate((p0, p1, p2))]
+    right = [F.try_divide(F.sum(F.when(F.col("s") == g, F.col("test")).otherwise(0)).cast("double"), F.sum("test")).alias(f"accuracy{k}") for k, g in enumerate((F.col("g0"), g1, g2))]
+    return j.agg(F.sum("test").alias("n"), *losses, *right)

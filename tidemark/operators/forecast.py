@@ -98,13 +98,17 @@ def scores(runs: DataFrame) -> DataFrame:
     return each.withColumn("best_baseline", best["forecaster"]).withColumn("skill", F.when(best["mae_mean"] != 0, 1 - F.col("mae_mean") / best["mae_mean"]))
 
 
-def residual_quantiles(series: DataFrame) -> DataFrame:
-    """Nine quantiles of persistence's one-step residuals inside each context (at least eight), by origin."""
+def residual_quantiles(series: DataFrame, horizon: int = 1, c_min: int = C_MIN) -> DataFrame:
+    """Nine quantiles of persistence's one-step residuals inside each context (at least eight), by origin.
+
+    Only at rows that can be origins of this horizon (see ``plan``) are the residuals sorted.
+    """
     order = Window.partitionBy(*KEY).orderBy("row_index")
     inside = Window.partitionBy(*KEY, "regime_start").orderBy("row_index").rowsBetween(-(MAX_CONTEXT - 1), 0)
     was = F.when(F.lag("regime_start").over(order) == F.col("regime_start"), F.lag("y").over(order))
     rows = series.withColumn("__r", F.col("y") - was)
-    rows = rows.withColumn("__all", F.array_sort(F.collect_list("__r").over(inside)))
+    at = F.col("row_index") + 1
+    rows = rows.withColumn("__all", F.collect_list("__r").over(inside)).where((at >= c_min) & ((at - c_min) % horizon == 0)).withColumn("__all", F.array_sort("__all"))
     usable = F.when(F.size("__all") >= BASELINE_WINDOW, F.col("__all"))
     return rows.select(*KEY, (F.col("row_index") + 1).alias("origin"), F.col("regime_start").alias("__regime"), F.array(*(sorted_quantile(usable, q) for q in LEVELS)).alias("residuals")).where("residuals[0] is not null")
 
@@ -112,7 +116,7 @@ def residual_quantiles(series: DataFrame) -> DataFrame:
 def banded(series: DataFrame, horizon: int) -> DataFrame:
     """Persistence's windows with their quantile bands: rows of (origin, step, y, level, q)."""
     runs = backtest(series, horizon).where("forecaster = 'persistence'")
-    j = runs.join(residual_quantiles(series), [*KEY, "origin"])
+    j = runs.join(residual_quantiles(series, horizon), [*KEY, "origin"])
     steps = j.select(*KEY, "origin", "last_context", "residuals", F.posexplode("actual").alias("step", "y"))
     return steps.select(*KEY, "origin", "step", "y", "last_context", F.posexplode("residuals").alias("i", "r")).select(*KEY, "origin", "step", "y", F.element_at(F.lit(list(LEVELS)), F.col("i") + 1).alias("level"), (F.col("last_context") + F.col("r")).alias("q"))
 
@@ -175,26 +179,38 @@ def sentinel(true: DataFrame, placebo: DataFrame) -> DataFrame:
     return p.join(t, "series_id").groupBy("series_id").agg(F.bool_and(F.col("mae_mean") > F.col("true_mae")).alias("valid"))
 
 
-def decide(true_runs: DataFrame, placebo_runs: DataFrame, valid: DataFrame, model: str) -> DataFrame:
+def decide(true_runs: DataFrame, placebo_runs: DataFrame, valid: DataFrame | None, model: str) -> DataFrame:
     """The label of a model of each series: not assessable, baseline sufficient, temporal evolution or conditional prediction.
 
     Baselines are the other forecasters. Ties are no wins. Both halves of the ordered origins have to
-    agree before a result counts as temporal.
+    agree before a result counts as temporal. valid: series_id, valid; None takes it from the runs' own persistence (see ``sentinel``).
+
+    Runs are dealt by series once, true and placebo ones together, and all that follows stays within a series' partition.
     """
-    mine = true_runs.where(F.col("forecaster") == model).select("series_id", "origin", F.col("mae").alias("m"))
-    means = true_runs.where(F.col("forecaster") != model).groupBy("series_id", "forecaster").agg(F.avg("mae").alias("e"))
-    best = means.groupBy("series_id").agg(F.min_by("forecaster", F.struct("e", "forecaster")).alias("best"), F.min("e").alias("e_b"))
-    theirs = true_runs.join(best, "series_id").where("forecaster = best").select("series_id", "origin", "e_b", F.col("mae").alias("b"))
-    twins = placebo_runs.where(F.col("forecaster") == model).groupBy("series_id", "origin").agg(F.percentile("mae", 0.5).alias("p"))
-    per_seed = placebo_runs.where(F.col("forecaster") == model).groupBy("series_id", "ordering").agg(F.avg("mae").alias("e")).groupBy("series_id").agg(F.percentile("e", 0.5).alias("e_p"))
-    rows = mine.join(theirs, ["series_id", "origin"]).join(twins, ["series_id", "origin"], "left")
+    columns = ["series_id", "ordering", "origin", "forecaster", "mae"]
+    runs = true_runs.select(*columns, F.lit(True).alias("own")).unionByName(placebo_runs.select(*columns, F.lit(False).alias("own"))).repartition("series_id")
+    runs = runs.withColumn("e", F.avg("mae").over(Window.partitionBy("series_id", "own", "ordering", "forecaster")))
+    own, mine = F.col("own"), F.col("forecaster") == model
+    of = lambda where, c: F.when(where, F.col(c))
+    # of each origin: the model's error, the best baseline's (by its mean, then its name), and the median placebo's
+    rows = runs.groupBy("series_id", "origin").agg(
+        F.max(of(own & mine, "mae")).alias("m"), F.min(F.when(own & ~mine, F.struct("e", "forecaster", "mae"))).alias("best"), F.percentile(of(~own & mine, "mae"), 0.5).alias("p")
+    ).where("m is not null and best is not null")
     within = Window.partitionBy("series_id")
-    rows = rows.withColumn("late", F.row_number().over(within.orderBy("origin")) > F.floor(F.count("*").over(within) / 2))
-    win = lambda a, b: F.avg(F.when(F.col(b).isNotNull(), (F.col(a) < F.col(b)).cast("double")))
-    half = rows.groupBy("series_id", "late").agg(F.avg("m").alias("hm"), F.avg("p").alias("hp"), win("m", "p").alias("hw"))
-    halves = half.groupBy("series_id").agg(F.bool_and(F.coalesce((F.col("hm") <= (1 - DELTA) * F.col("hp")) & (F.col("hw") >= WIN_SHARE), F.lit(False))).alias("both"))
-    t = rows.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("m").alias("e_m"), F.first("e_b").alias("e_b"), win("m", "b").alias("w_mb"), win("m", "p").alias("w_mp"))
-    t = t.join(per_seed, "series_id", "left").join(halves, "series_id", "left").join(valid, "series_id", "left")
+    rows = rows.withColumn("late", F.row_number().over(within.orderBy("origin")) > F.floor(F.count("*").over(within) / 2)).withColumn("b", F.col("best.mae"))
+    win = lambda a, b, where=F.lit(True): F.avg(F.when(F.col(b).isNotNull() & where, (F.col(a) < F.col(b)).cast("double")))
+    halves = []
+    for half in (F.col("late"), ~F.col("late")):
+        agrees = (F.avg(of(half, "m")) <= (1 - DELTA) * F.avg(of(half, "p"))) & (win("m", "p", half) >= WIN_SHARE)
+        halves.append((F.count_if(half) == 0) | F.coalesce(agrees, F.lit(False)))
+    t = rows.groupBy("series_id").agg(
+        F.count("*").alias("n"), F.avg("m").alias("e_m"), F.first("best.e").alias("e_b"), win("m", "b").alias("w_mb"), win("m", "p").alias("w_mp"), (halves[0] & halves[1]).alias("both")
+    )
+    seeds = F.collect_set(F.when(~own & mine, F.struct("ordering", "e")))  # one a seed
+    steady = F.col("forecaster") == "persistence"
+    whole = runs.groupBy("series_id").agg(F.array_sort(F.transform(seeds, lambda x: x["e"])).alias("seeds"), (F.min(of(~own & steady, "e")) > F.max(of(own & steady, "e"))).alias("steady"))
+    t = t.join(whole.select("series_id", sorted_quantile(F.col("seeds"), 0.5).alias("e_p"), "steady"), "series_id", "left")
+    t = t.withColumn("valid", F.col("steady")) if valid is None else t.join(valid, "series_id", "left")
     label = (
         F.when(F.col("n") < K_MIN, "not assessable")
         .when((F.col("e_m") > (1 - DELTA) * F.col("e_b")) | (F.col("w_mb") < WIN_SHARE), "baseline sufficient")

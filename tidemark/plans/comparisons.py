@@ -327,7 +327,7 @@ def q_prefix_features(spark, d):
 def q_markov(spark, d):
     a = activities(spark, d).withColumn("fold", C.hash_fold(F.col("capture_id")))
     out = C.markov(a, M.KEY, M.ORDER, "kind", "fold", 0)
-    return out.select("n", *(F.round(f"loss{k}", 9).alias(f"loss{k}") for k in range(3)))
+    return out.select("n", *(F.round(f"{c}{k}", 9).alias(f"{c}{k}") for c in ("loss", "accuracy") for k in range(3)))
 
 
 LINEAGE = "l AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS idx FROM orders)"
@@ -414,8 +414,11 @@ SQL = {
       t AS (SELECT fold, kind AS s, lag(kind) OVER o AS p, lag(kind, 2) OVER o AS pp FROM act JOIN f USING (capture_id) WINDOW o AS (PARTITION BY capture_id ORDER BY ts, activity_id)), u AS (SELECT * FROM t WHERE p IS NOT NULL),
       z AS (SELECT s, p, pp, (SELECT count(DISTINCT s) FROM u) AS v, (SELECT count(*) FROM u WHERE fold <> 0) AS n0 FROM u WHERE fold = 0), g AS (SELECT * FROM u WHERE fold <> 0),
       a AS (SELECT z.*, (SELECT count(*) FROM g WHERE g.s = z.s) AS f0, (SELECT count(*) FROM g WHERE g.p = z.p) AS n1, (SELECT count(*) FROM g WHERE g.p = z.p AND g.s = z.s) AS f1, (SELECT count(*) FROM g WHERE g.p = z.p AND g.pp = z.pp) AS n2, (SELECT count(*) FROM g WHERE g.p = z.p AND g.pp = z.pp AND g.s = z.s) AS f2 FROM z),
-      b AS (SELECT *, (f0 + 1) / (n0 + v)::DOUBLE AS p0, CASE WHEN n1 >= 20 THEN (f1 + 1) / (n1 + v)::DOUBLE END AS q1, CASE WHEN pp IS NOT NULL AND n2 >= 20 THEN (f2 + 1) / (n2 + v)::DOUBLE END AS q2 FROM a)
-      SELECT count(*) AS n, round(-avg(ln(p0)), 9) AS loss0, round(-avg(ln(coalesce(q1, p0))), 9) AS loss1, round(-avg(ln(coalesce(q2, q1, p0))), 9) AS loss2 FROM b""",
+      l0 AS (SELECT arg_min(s, (-c, s)) AS g0 FROM (SELECT s, count(*) AS c FROM g GROUP BY s)), l1 AS (SELECT p, arg_min(s, (-c, s)) AS g1 FROM (SELECT p, s, count(*) AS c FROM g GROUP BY ALL) GROUP BY p),
+      l2 AS (SELECT pp, p, arg_min(s, (-c, s)) AS g2 FROM (SELECT pp, p, s, count(*) AS c FROM g WHERE pp IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+      h AS (SELECT a.*, g0, CASE WHEN n1 >= 20 THEN g1 ELSE g0 END AS g1, CASE WHEN a.pp IS NOT NULL AND n2 >= 20 THEN g2 WHEN n1 >= 20 THEN g1 ELSE g0 END AS g2 FROM a CROSS JOIN l0 LEFT JOIN l1 USING (p) LEFT JOIN l2 ON l2.pp = a.pp AND l2.p = a.p),
+      b AS (SELECT *, (f0 + 1) / (n0 + v)::DOUBLE AS p0, CASE WHEN n1 >= 20 THEN (f1 + 1) / (n1 + v)::DOUBLE END AS q1, CASE WHEN pp IS NOT NULL AND n2 >= 20 THEN (f2 + 1) / (n2 + v)::DOUBLE END AS q2 FROM h)
+      SELECT count(*) AS n, round(avg((s = g0)::INT), 9) AS accuracy0, round(avg((s = g1)::INT), 9) AS accuracy1, round(avg((s = g2)::INT), 9) AS accuracy2, round(-avg(ln(p0)), 9) AS loss0, round(-avg(ln(coalesce(q1, p0))), 9) AS loss1, round(-avg(ln(coalesce(q2, q1, p0))), 9) AS loss2 FROM b""",
 }
 
 

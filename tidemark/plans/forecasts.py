@@ -77,7 +77,7 @@ def q_sentinel(spark, d):
 
 def q_decision(spark, d):
     true, fake = L.backtest(_whole(spark, d), 4), L.backtest(_placebo(spark, d), 4)
-    out = L.decide(true, fake, L.sentinel(L.scores(true), L.scores(fake)), "rolling_mean")
+    out = L.decide(true, fake, None, "rolling_mean")
     return _out(out, "series_id", "n", "e_m", "e_b", "e_p", "w_mb", "w_mp", "label")
 
 
