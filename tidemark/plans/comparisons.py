@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import compare as C
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import resolve as R
 from ..operators.ordered import timeline
 from .staging import ACTIVITIES_SQL, activities, table
 
@@ -101,9 +102,7 @@ def q_ordered_match(spark, d):
 
 def q_single_group_fallback(spark, d):
     """Rows without a model join the session's model if it has just one."""
-    a = activities(spark, d)
-    one = a.groupBy("capture_id").agg(F.countDistinct("model").alias("n"), F.min("model").alias("only"))
-    return a.join(one, "capture_id").select("capture_id", "activity_id", F.coalesce("model", F.when(F.col("n") == 1, F.col("only"))).alias("model_group"))
+    return R.sole_group(activities(spark, d), ["capture_id"], "model", "model_group").select("capture_id", "activity_id", "model_group")
 
 
 def q_tree_match(spark, d):

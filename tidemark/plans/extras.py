@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import forecast as L
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import resolve as R
 from ..operators.ordered import first_rows, timeline
 from ..sources import store as T
 from ..sources import surfaces as V
@@ -60,44 +61,37 @@ def q_key_set_shape(spark, d):
 def q_denial_lookup(spark, d):
     """Refused calls told directly or in a list of ids; the first telling wins."""
     a = activities(spark, d).where(M.is_tool())
-    direct = a.where(~F.col("executed")).select("activity_id", F.lit("direct").alias("by"), F.lit(0).alias("r"))
-    listed = a.where("k % 4 = 2 and k % 8 = 2").groupBy("capture_id").agg(F.collect_list("activity_id").alias("ids")).select(F.explode("ids").alias("activity_id"), F.lit("list").alias("by"), F.lit(1).alias("r"))
-    told = direct.unionByName(listed).groupBy("activity_id").agg(F.min_by("by", "r").alias("denied_by"))
-    return a.join(told, "activity_id", "left").select("capture_id", "activity_id", "denied_by")
+    listed = a.where("k % 4 = 2 and k % 8 = 2").groupBy("capture_id").agg(F.collect_list("activity_id").alias("ids")).select(F.explode("ids").alias("activity_id"))
+    return R.first_telling(a, "activity_id", [("direct", a.where(~F.col("executed"))), ("list", listed)], "denied_by").select("capture_id", "activity_id", "denied_by")
 
 
 def q_attribution(spark, d):
     """A session of a row: stated, else learned from an earlier row of its model, else a default."""
-    a = activities(spark, d).where(M.is_request()).withColumn("stated", F.when(F.col("k") % 4 == 0, F.col("capture_id")))
-    learned = F.last("stated", ignorenulls=True).over(Window.partitionBy("model", "capture_id").orderBy("ts", "activity_id").rowsBetween(Window.unboundedPreceding, -1))
-    return a.select("activity_id", F.coalesce(F.col("stated").cast("string"), learned.cast("string"), F.concat(F.lit("derived-"), F.col("model"))).alias("session"))
+    a = activities(spark, d).where(M.is_request())
+    stated = F.when(F.col("k") % 4 == 0, F.col("capture_id"))
+    return R.attributed(a, stated, ["model", "capture_id"], ["ts", "activity_id"], F.concat(F.lit("derived-"), F.col("model"))).select("activity_id", "session")
 
 
 def q_identity_refusal(spark, d):
     """The one segment and priority of a customer's open orders; two different ones are refused."""
-    o = table(spark, d, "orders").where("o_orderstatus = 'O'")
-    g = o.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("ids"))
-    return g.select("o_custkey", F.when(F.size("ids") == 1, F.col("ids")[0]).alias("identity"), F.size("ids").alias("claims"))
+    return R.sole_identity(table(spark, d, "orders").where("o_orderstatus = 'O'"), ["o_custkey"], "o_orderpriority")
 
 
 def q_arms_full_outer(spark, d):
     """Per part type, the counts of two arms; a type that one arm lacks stays."""
-    p = table(spark, d, "part")
-    a = p.where("p_size < 10").groupBy("p_type", "p_brand").agg(F.count("*").alias("n_a"))
-    b = p.where("p_size >= 40").groupBy("p_type", "p_brand").agg(F.count("*").alias("n_b"))
-    return a.join(b, ["p_type", "p_brand"], "full")
+    arm = F.when(F.col("p_size") < 10, "a").when(F.col("p_size") >= 40, "b")
+    return R.arms_side_by_side(table(spark, d, "part"), ["p_type", "p_brand"], arm, {"a": "n_a", "b": "n_b"})
 
 
 def q_version_resolution(spark, d):
     """probe, else session, else record, and which it was."""
-    p = table(spark, d, "part")
-    probe, stated, recorded = (F.when(F.col("p_partkey") % m == 0, F.concat(F.lit(x), F.col("p_size"))) for m, x in ((5, "p"), (3, "s"), (2, "r")))
-    return p.select("p_partkey", F.coalesce(probe, stated, recorded).alias("version"), F.when(probe.isNotNull(), "probe").when(stated.isNotNull(), "session").when(recorded.isNotNull(), "record").alias("source"))
+    stated = {word: F.when(F.col("p_partkey") % m == 0, F.concat(F.lit(word[0]), F.col("p_size"))) for word, m in (("probe", 5), ("session", 3), ("record", 2))}
+    version, source = R.first_known(stated)
+    return table(spark, d, "part").select("p_partkey", version.alias("version"), source.alias("source"))
 
 
 def q_newest_run(spark, d):
-    o = table(spark, d, "orders")
-    return first_rows(o, ["o_custkey", "o_orderpriority"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderpriority", "o_orderkey", "o_orderdate")
+    return R.newest(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey", "o_orderdate")
 
 
 def q_change_clock(spark, d):
@@ -114,11 +108,7 @@ def q_change_clock(spark, d):
 
 def q_crossed_bound(spark, d):
     """Running known totals of a session against a bound: the first request that crosses it; null if a counter is missing before."""
-    a = activities(spark, d).where(M.is_request())
-    w = timeline(M.KEY, M.ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.col("fresh") + F.col("cache_creation")
-    rows = a.withColumns({"sum": F.sum(total).over(w), "holes": F.count_if(total.isNull()).over(w)})
-    return rows.where("sum > 300").groupBy("capture_id").agg(F.min_by(F.struct("activity_id", "holes"), F.struct("ts", "activity_id")).alias("x")).select("capture_id", F.when(F.col("x.holes") == 0, F.col("x.activity_id")).alias("crossed_at"), F.col("x.holes").alias("holes"))
+    return R.first_crossing(activities(spark, d).where(M.is_request()), M.KEY, M.ORDER, F.col("fresh") + F.col("cache_creation"), 300, "activity_id")
 
 
 def q_unknown_fields(spark, d):
@@ -138,21 +128,15 @@ def q_retention_purge(spark, d):
 
 def q_todo_set(spark, d):
     """New orders of a customer (those above a mark) and the last three of the others."""
-    rows = _lineage(spark, d)
-    new = rows.where("o_orderkey % 9 = 0").select("o_custkey", "o_orderkey")
-    known = rows.join(new.select("o_orderkey"), "o_orderkey", "left_anti")
-    last = known.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("idx").desc()))).where("n <= 3").select("o_custkey", "o_orderkey")
-    return new.unionByName(last)
+    return R.todo(_lineage(spark, d), F.col("o_orderkey") % 9 == 0, ["o_custkey"], "idx").select("o_custkey", "o_orderkey")
 
 
 def q_probe_scoring(spark, d):
     """Words of each answer that name a wanted nation (by number), with precision and recall."""
-    c = table(spark, d, "customer")
     answer = F.concat(F.lit("NATION_"), F.col("c_nationkey"), F.lit(", NATION_"), (F.col("c_nationkey") + F.col("c_custkey") % 3) % 25, F.lit(" and nation"))
-    named = c.select("c_custkey", (F.col("c_nationkey")).alias("want"), F.explode(F.array_distinct(F.regexp_extract_all(answer, F.lit(r"(\w+)"), F.lit(1)))).alias("n_name"))
-    hit = named.join(table(spark, d, "nation").select("n_name", "n_nationkey"), "n_name")
-    g = hit.groupBy("c_custkey").agg(F.count("*").alias("named"), F.count_if(F.col("n_nationkey") == F.col("want")).alias("right"))
-    return g.select("c_custkey", F.round(F.col("right") / F.col("named"), 6).alias("precision"), F.round(F.col("right") / 1.0, 6).alias("recall"))
+    answers = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("want"), answer.alias("answer"))
+    g = R.probe_scores(answers, ["c_custkey"], "answer", "want", table(spark, d, "nation"), "n_name", "n_nationkey")
+    return g.select("c_custkey", F.round("precision", 6).alias("precision"), F.round(F.col("hits") / 1.0, 6).alias("recall"))
 
 
 def q_one_step_forecast(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import forecast as L
+from ..operators import forecasters as P
 from .series import REGIMES, weekly_series, with_regimes
 
 
@@ -81,6 +82,12 @@ def q_decision(spark, d):
     return _out(out, "series_id", "n", "e_m", "e_b", "e_p", "w_mb", "w_mp", "label")
 
 
+def q_forecaster_protocol(spark, d):
+    """A forecaster that is only a function of its window, the mean of the last eight values, run at every kept origin."""
+    mean8 = P.Named("mean8", lambda w: [float(w.context[-L.BASELINE_WINDOW:].mean())] * w.horizon)
+    return _out(P.run_forecaster(_true(spark, d), 4, mean8), "series_id", "origin", "mae")
+
+
 def q_ablation_align(spark, d):
     """Origins that all three horizons keep, with each one's best mean error."""
     runs = None
@@ -138,6 +145,7 @@ SQL = {
     "dropped_counts": "WITH " + PLAN.format(h=4) + " SELECT series_id, coalesce(dropped, 'kept') AS reason, count(*) AS n FROM pl GROUP BY ALL",
     "rolling_baselines": "WITH " + REGIMES + ", " + BASE.format(k="series_id", t="r") + " SELECT series_id, origin, round(persistence + slope, 6) AS local_drift, round(persistence, 6) AS persistence, round(rolling_mean, 6) AS rolling_mean, round(rolling_median, 6) AS rolling_median FROM bs",
     "backtest_mae": _runs(4) + " SELECT series_id, origin, forecaster, round(mae, 6) AS mae FROM rn",
+    "forecaster_protocol": _runs(4) + " SELECT series_id, origin, round(mae, 6) AS mae FROM rn WHERE forecaster = 'rolling_mean'",
     "backtest_scores": _runs(4) + ", e AS (SELECT series_id, forecaster, count(*) AS n, avg(mae) AS m, median(mae) AS d FROM rn GROUP BY ALL) SELECT series_id, forecaster, n, round(m, 6) AS mae_mean, round(d, 6) AS mae_median, first_value(forecaster) OVER w AS best_baseline, round(1 - m / first_value(m) OVER w, 6) AS skill FROM e WINDOW w AS (PARTITION BY series_id ORDER BY m, forecaster)",
     "calibration": _runs(4) + ", " + BANDS.format(t="r") + " SELECT series_id, level, count(*) AS n, round(avg((y <= q)::INT), 6) AS coverage FROM bd GROUP BY ALL",
     "wqs": _runs(4) + ", " + BANDS.format(t="r") + " SELECT series_id, round(2 * sum(greatest(level * (y - q), (level - 1) * (y - q))) / (9 * (sum(abs(y)) / 9)), 6) AS wqs FROM bd GROUP BY 1",

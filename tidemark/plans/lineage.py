@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import guards as G
 from ..operators import lineage as L
+from ..operators import linking as N
+from ..operators import resolve as R
 from .calls import _listed, _pick
 from .staging import table
 
@@ -175,7 +177,31 @@ def q_environment_of_request(spark, d):
     """Each order's environment by way of its first line's supplier; unknown where that names none."""
     first = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
     env = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("environment"))
-    return table(spark, d, "orders").select("o_orderkey").join(first, "o_orderkey", "left").join(env, "l_suppkey", "left").select("o_orderkey", "environment")
+    return R.by_primary(table(spark, d, "orders").select("o_orderkey"), first, env, "o_orderkey", "l_suppkey").select("o_orderkey", "environment")
+
+
+#: how long behind a capture its commits may come, in this staging
+LATE_DAYS = 30
+
+
+def _linking(spark, d):
+    """Customers as captures of their own repositories, their orders as commits, and snapshots and statements about those."""
+    k = F.col("o_orderkey")
+    day = lambda n: F.make_dt_interval(days=n)
+    start = F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00")) + day((F.col("c_custkey") % 1000).cast("int"))
+    captures = table(spark, d, "customer").select(F.col("c_custkey").alias("capture"), F.col("c_custkey").alias("repo"), start.alias("start"), (start + day((F.col("c_custkey") % 5 * 200).cast("int"))).alias("end"))
+    o = table(spark, d, "orders")
+    commits = o.select(F.col("o_custkey").alias("repo"), k.alias("sha"), F.when(k % 4 != 0, k - 1).alias("parent"), F.concat(F.lit("d"), k % 3).alias("patch"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    shape = F.when(k % 5 == 0, F.struct(k.alias("head"), F.lit("none").alias("diff"))).when(k % 5 == 1, F.struct((k - 1).alias("head"), F.concat(F.lit("d"), k % 3).alias("diff"))).when(k % 5 == 2, F.struct((k - 1).alias("head"), F.lit("other").alias("diff")))
+    trigger = F.when(k % 3 == 0, "capture_end").when(k % 3 == 1, "change")
+    snapshots = o.select(F.col("o_custkey").alias("capture"), shape.alias("s"), trigger.alias("trigger")).select("capture", "s.head", "s.diff", "trigger")
+    said = o.select(F.col("o_custkey").alias("capture"), F.when(k % 91 == 0, -k - 1).otherwise(k).alias("sha"), F.when(k % 13 == 0, "explicit").when(k % 11 == 0, "provider_reported").alias("rung")).where("rung is not null")
+    return commits, captures, snapshots, said
+
+
+def q_link_ladder(spark, d):
+    """Every rung: statements at any time, trees seen during or at the end, and the clock."""
+    return N.confidence(*_linking(spark, d), heuristic=True, after=LATE_DAYS * 86_400, empty="none", width=86_400 * 7)
 
 
 def q_first_binding(spark, d):
@@ -254,6 +280,12 @@ SQL = {
     "scenario_faults": f"""WITH p AS (SELECT o_custkey AS scenario, ['tokens', 'ratio', 'y', 'fixed', 'other'][o_orderkey % 5 + 1] AS c, min((o_orderkey // 5) % 5) AS v FROM orders GROUP BY ALL)
   SELECT scenario, c AS "column", unnest(list_filter([CASE WHEN c = 'other' THEN 'unknown_column' END, CASE WHEN c = 'y' THEN 'is_target' END, CASE WHEN c = 'fixed' THEN 'not_declarable' END,
     CASE WHEN v <> 2 OR c = 'tokens' THEN {[f or "" for _, f in PATHS]}[v + 1] END, CASE WHEN scenario % 7 = 0 THEN 'repeated' END], lambda f: f <> '')) AS fault FROM p""",
+    "link_ladder": f"""WITH cp AS (SELECT c_custkey AS capture, TIMESTAMP '1995-01-01' + to_days((c_custkey % 1000)::INT) AS s, TIMESTAMP '1995-01-01' + to_days((c_custkey % 1000 + c_custkey % 5 * 200)::INT) AS e FROM customer),
+  x AS (SELECT capture, o_orderkey AS k, o_orderdate::TIMESTAMP AS made, s, e, o_orderdate::TIMESTAMP BETWEEN s AND e + INTERVAL {LATE_DAYS} DAY AS inside FROM orders JOIN cp ON capture = o_custkey),
+  r AS (SELECT capture, k AS sha, CASE WHEN k % 91 <> 0 AND k % 13 = 0 THEN 0 WHEN k % 91 <> 0 AND k % 11 = 0 THEN 1
+    WHEN inside AND (k % 5 = 0 OR k % 5 = 1 AND k % 4 <> 0) THEN CASE WHEN k % 3 = 1 AND made <= e THEN 2 ELSE 3 END WHEN inside THEN 4 END AS rank, true AS known FROM x
+    UNION ALL SELECT capture, -k - 1, CASE WHEN k % 13 = 0 THEN 0 ELSE 1 END, false FROM x WHERE k % 91 = 0)
+  SELECT capture, sha, ['explicit', 'provider_reported', 'tree_match_during', 'tree_match_after', 'heuristic'][rank + 1] AS rung, known FROM r WHERE rank IS NOT NULL""",
     "regime_state": """WITH g AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS regimes FROM orders GROUP BY o_custkey)
   SELECT o_custkey, regimes, CASE WHEN regimes <= 1 THEN 'ok' ELSE 'refused' END AS state FROM g UNION ALL SELECT o_custkey, regimes, CASE WHEN regimes <= 1 THEN 'ok' ELSE 'pooled' END FROM g""",
     "advisory": """WITH r AS (SELECT c_nationkey AS target, arg_max(c_custkey, (c_custkey % 100, c_custkey)) AS run_id FROM customer WHERE c_nationkey % 6 <> 5 GROUP BY c_nationkey),
