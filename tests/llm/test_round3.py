@@ -323,3 +323,24 @@ def test_one_chunk_and_one_text_in_most_rows(spark):
     assert all(found[20_000 + i].component_id == 20_000 + i for i in range(50))
     assert out == {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()} and len(out) == len(rows)
     assert sum(lines in r.text for r in out.values()) == 1
+
+
+def test_leaks_with_many_fitting_tasks_and_several_passes(spark, monkeypatch):
+    """Matrices added up in a tree, and blocks of items in passes, find what two tasks and one block do; also null ids and repeated rows."""
+    from tidemark.llm import decontaminate
+
+    rng = random.Random(12)
+    vocab = vocabulary(rng, 900, "abcdefghijklm")
+    make = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, make(30)) for i in range(50)]
+    docs = [(i, make(120)) for i in range(60)] + [(100 + i, f"{make(50)} {t} {make(50)}") for i, t in items] + [(None, items[3][1]), (None, None), (7, items[4][1]), (7, items[4][1])]
+    df, bench = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda rows: sorted(((r.doc_id, r.item_id) for r in rows.collect()), key=str)
+    want = pairs(decontaminate.find_leaks(df, bench))
+    assert want == sorted([(100 + i, i) for i in range(50)] + [(None, 3), (7, 4), (7, 4)], key=str)
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 7)
+    monkeypatch.setattr(decontaminate, "HELD_BLOCKS", 2)
+    monkeypatch.setattr(decontaminate, "FAN", 3)
+    assert pairs(decontaminate.find_leaks(df, bench, fit_rows=60, fit_docs=100)) == want
+    left = decontaminate.decontaminate(df, bench, fit_rows=60, fit_docs=100)
+    assert sorted((str(r.doc_id) for r in left.collect())) == sorted([str(i) for i in range(60) if i != 7] + ["7", "None"])
