@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import calls, comparisons, extras, forecasts, lineage, mixed, series, sessions, stored, summaries, texts
+from . import calls, changes, comparisons, extras, forecasts, lineage, mixed, series, sessions, stored, summaries, texts
 
-MODULES = (sessions, comparisons, series, forecasts, texts, extras, calls, lineage, summaries, stored, mixed)
+MODULES = (sessions, comparisons, series, forecasts, texts, extras, calls, lineage, summaries, stored, mixed, changes)
 
 
 def queries() -> dict:
