@@ -100,6 +100,53 @@ def test_jaccard_links_across_size_bands(spark, monkeypatch, n, num, den, freque
     assert got == components_brute(rows, n, num, den)
 
 
+def test_fine_profiles_part_what_coarse_ones_leave():
+    """A star of unrelated sets that coarse profiles connect: fine ones part it; stars are named by their members."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, 105).astype(np.uint64)) for _ in range(300)]
+    sets.append(np.unique(np.append(sets[0][:-1], np.uint64(5))))
+    bands, ptr = jaccard_join._bands(80, 100), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    flat, n = np.concatenate(sets), len(sets)
+
+    def parted(each, apart, heads=(7,)):
+        profile = jaccard_join._profiles(flat, ptr, bands, each) * len(heads)
+        table = pa.table({"u": list(range(n)) * len(heads), "v": np.repeat(heads, n), "n": np.tile(np.diff(ptr), len(heads)), "profile": pa.array(profile, pa.binary())})
+        return jaccard_join._parted(table, 80, 100, apart)
+
+    assert parted(jaccard_join.COARSE, False).num_rows > 20
+    assert parted(jaccard_join.FINE, False).to_pylist() == [{"u": n - 1, "v": 0}]
+    again = parted(jaccard_join.FINE, True, (7, 8)).to_pydict()
+    assert again["u"] == [0, n - 1] * 2
+    assert len(set(again["v"])) == 1
+
+
+def test_a_large_family_is_searched_by_its_heads(spark, monkeypatch):
+    """Documents that only a common signature connects: their texts are told once for each head, and no link is lost."""
+    rng = random.Random(5)
+    base = [[f"b{i}x{rng.randrange(10**9)}" for _ in range(40)] for i in range(30)]
+    rows = [(10 * i + k, " ".join([*b[: 40 - k], *(f"c{i}" for _ in range(k))])) for i, b in enumerate(base) for k in range(4)]
+    told = []
+    real = jaccard_join._links
+
+    def logged(docs, members, keys, *rest):
+        told.append((tuple(keys), members.count()))
+        return real(docs, members, keys, *rest)
+
+    # every candidate stays with its head and every family is one: the heads of ten in a row make a chain over all of them
+    def chained(stars, facts, profile, num, den, apart=False):
+        if apart:
+            return stars
+        order = [r.node for r in facts.orderBy("first.doc_id").select("node").collect()]
+        return spark.createDataFrame([(u, order[i]) for i in range(0, len(order) - 1, 4) for u in order[i + 1 : i + 6]], "u long, v long")
+
+    monkeypatch.setattr(jaccard_join, "_links", logged)
+    monkeypatch.setattr(jaccard_join, "_near_stars", chained)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 80, 100, 250).collect()}
+    assert got == components_brute(rows, 4, 80, 100)
+    assert [k for k, _ in told] == [("family", "part"), ("family", "one", "two")]
+    assert told[1][1] <= 3 * len(rows)  # by parts of the whole family: more than ten times
+
+
 def test_jaccard_null_ids_repeats_and_empty(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None)]
     got = sorted((r.doc_id or 0, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())

@@ -24,7 +24,8 @@ Sets are the distinct word n-grams of a text. Two documents link when
    are already connected are skipped, so a group of near copies needs no list of all its pairs.
 4. A family of more than ``unit_tokens`` set elements is dealt to blocks by hash, which are searched
    alone first. Then only documents with a signature whose holders aren't one component yet are
-   searched again, in families of their own; such a family that is still too large is searched by pairs of blocks.
+   searched again, in families of their own. Such a family that is still too large is searched head by head: linked sets are candidates of
+   one head. Only the candidates of a single head that are too large by themselves are searched by pairs of blocks.
 
 Null or wordless texts have an empty set and link with nothing. Rows are told apart by doc_id and text, so
 repeated doc_ids and null ids may have any texts; a null doc_id never is a component's smallest id unless all are null.
@@ -118,16 +119,19 @@ def _names(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix64(sums(mix64(h ^ U(1)), ptr) + np.diff(ptr).astype(U)).view(np.int64)
 
 
-def _profile_bits(n: np.ndarray, bands: np.ndarray) -> np.ndarray:
-    """log2 of the parts of the hash space for the profiles of sets of n elements: one for 4 to 8 elements of the band's smallest."""
+COARSE, FINE = 8, 2  # elements of a band's smallest set for each part of a profile
+
+
+def _profile_bits(n: np.ndarray, bands: np.ndarray, each: int = COARSE) -> np.ndarray:
+    """log2 of the parts of the hash space for the profiles of sets of n elements: one for ``each`` elements of the band's smallest, or fewer."""
     low = bands[np.maximum(np.searchsorted(bands, n, "right") - 1, 0)]
-    return np.clip(np.ceil(np.log2(np.maximum(low, 1) / 8)), 4, 12).astype(np.int64)
+    return np.clip(np.ceil(np.log2(np.maximum(low, 1) / each)), 4, 12).astype(np.int64)
 
 
-def _profiles(h: np.ndarray, ptr: np.ndarray, bands: np.ndarray) -> list[bytes]:
+def _profiles(h: np.ndarray, ptr: np.ndarray, bands: np.ndarray, each: int = COARSE) -> list[bytes]:
     """How many elements each set has in each part of the hash space."""
     n = np.diff(ptr)
-    bits = _profile_bits(n, bands)
+    bits = _profile_bits(n, bands, each)
     start = np.concatenate([[0], np.cumsum(1 << bits)])
     row = np.repeat(np.arange(len(n)), n)
     m = mix64(h ^ U(0xC3C3C3C3))
@@ -139,10 +143,11 @@ def _profiles(h: np.ndarray, ptr: np.ndarray, bands: np.ndarray) -> list[bytes]:
 def _near(profiles: list[bytes], n: np.ndarray, num: int, den: int) -> np.ndarray:
     """For each of a star's sets the first that it is connected with by pairs whose profiles leave a link possible."""
     parts, m = min(map(len, profiles)), len(n)
-    v = np.stack([np.frombuffer(x, np.uint8).reshape(parts, -1).sum(1, dtype=np.int32) for x in profiles])
-    root = np.arange(m)
+    # counts and their sums are whole numbers below 2^24, which floats hold exactly
+    v = np.stack([np.frombuffer(x, np.uint8).reshape(parts, -1).sum(1, dtype=np.int32) for x in profiles]).astype(np.float32)
+    ones, root = np.ones(parts, np.float32), np.arange(m)
     if m * m * parts <= 1 << 19:  # all at once; labels spread until they stay
-        near = np.abs(v[:, None] - v).sum(2, dtype=np.int64) * (den + num) <= (den - num) * (n[:, None] + n)
+        near = (np.abs(v[:, None] - v) @ ones).astype(np.int64) * (den + num) <= (den - num) * (n[:, None] + n)
         while True:
             least = np.where(near, root, m).min(1)
             if (least == root).all():
@@ -155,7 +160,7 @@ def _near(profiles: list[bytes], n: np.ndarray, num: int, den: int) -> np.ndarra
         met = [np.zeros(0, np.int64)]
         for k in range(0, len(apart), step):
             some = apart[k : k + step]
-            far = np.abs(v[some] - v[i]).sum(1, dtype=np.int64) * (den + num) > (den - num) * (n[some] + n[i])
+            far = (np.abs(v[some] - v[i]) @ ones).astype(np.int64) * (den + num) > (den - num) * (n[some] + n[i])
             met.append(root[some[~far]])
         met = np.unique(np.concatenate(met))
         if len(met):
@@ -163,17 +168,26 @@ def _near(profiles: list[bytes], n: np.ndarray, num: int, den: int) -> np.ndarra
     return root
 
 
-def _parted(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Edges (u, v) from candidates of heads to the first candidate that they are near to."""
+def _parted(table: pa.Table, num: int, den: int, apart: bool = False) -> pa.Table:
+    """Edges (u, v) from candidates of heads to the first candidate that they are near to.
+
+    apart: stars (u, v) of those that are near to each other instead, named by their members: groups of several heads that have a
+    candidate in common stay several, and those of the same candidates are one.
+    """
     order = np.lexsort((table.column("u").to_numpy(), table.column("v").to_numpy()))
     v, u, n = (table.column(k).to_numpy()[order] for k in ("v", "u", "n"))
     profile = table.column("profile").to_pylist()
     edges = np.append(np.flatnonzero(np.diff(v, prepend=~v[:1])), len(v)).tolist()
-    head = u.copy()
+    first = np.arange(len(u))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        head[a:b] = u[a + _near([profile[k] for k in order[a:b]], n[a:b], num, den)]
-    keep = head != u
-    return pa.table({"u": u[keep], "v": head[keep]})
+        first[a:b] = a + _near([profile[k] for k in order[a:b]], n[a:b], num, den)
+    if apart:
+        name, count = np.zeros(len(u), U), np.bincount(first, minlength=len(u))
+        np.add.at(name, first, mix64(u.view(U) ^ U(0x57A257A2)))
+        keep = count[first] > 1
+        return pa.table({"u": u[keep], "v": _virtual(name[first[keep]])})
+    keep = first != np.arange(len(u))
+    return pa.table({"u": u[keep], "v": u[first[keep]]})
 
 
 def _summaries(batches, words: int, num: int, den: int):
@@ -182,12 +196,12 @@ def _summaries(batches, words: int, num: int, den: int):
         for a, b, h, ptr, name in _sets(batch.column("text"), words):
             _, _, sp, spare0, spare1 = _signatures(h, ptr, num, den, bands)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(np.diff(ptr)), pa.array(name), pa.array(spare0), pa.array(spare1), pa.array(np.diff(sp)), pa.array(_profiles(h, ptr, bands), pa.binary())],
-                ["doc_id", "key", "n", "name", "spare0", "spare1", "m", "profile"],
+                [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(np.diff(ptr)), pa.array(name), pa.array(spare0), pa.array(spare1), pa.array(np.diff(sp)), pa.array(_profiles(h, ptr, bands), pa.binary()), pa.array(_profiles(h, ptr, bands, FINE), pa.binary())],
+                ["doc_id", "key", "n", "name", "spare0", "spare1", "m", "profile", "fine"],
             )
 
 
-SUMMARY = "doc_id long, key long, n long, name long, spare0 long, spare1 long, m long, profile binary"
+SUMMARY = "doc_id long, key long, n long, name long, spare0 long, spare1 long, m long, profile binary, fine binary"
 LOCAL = 1 << 30  # ranges from here on hold what a chunk found to be frequent
 TOLD = "u long, v long, slot int, loud boolean"
 
@@ -444,6 +458,20 @@ def _links(docs: DataFrame, members: DataFrame, keys: list[str], words: int, num
     return rows.drop("again").groupBy(*keys).applyInArrow(lambda unit: tidied(_search(unit, words, num, den)), "u long, v long")
 
 
+def _near_stars(stars: DataFrame, facts: DataFrame, profile: str, num: int, den: int, apart: bool = False) -> DataFrame:
+    """stars(u, v) whose members are parted by a profile (see ``_parted``). Stars above STAR stay whole."""
+    large = cut(stars.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > STAR).select("v"))
+    whole = beside(stars, large, "v").where(F.lit(apart) | (F.col("u") != F.col("v"))).select("u", "v")
+    small = beside(stars, large, "v", "left_anti").join(facts.select(F.col("node").alias("u"), "n", F.col(profile).alias("profile")), "u")
+    small = small.groupBy(F.pmod(F.xxhash64("v"), F.lit(stars.count() // PROFILE_ROWS + 1)).alias("unit"))
+    return cut(whole.unionByName(small.applyInArrow(lambda t: tidied(_parted(t, num, den, apart)), "u long, v long")).distinct())
+
+
+def _with_heads(edges: DataFrame) -> DataFrame:
+    """edges and each head as a member of its own star."""
+    return edges.unionByName(edges.select(F.col("v").alias("u"), "v").distinct())
+
+
 def _parts(members: DataFrame, unit_tokens: int) -> DataFrame:
     """members with parts, the number of blocks of their family, and part."""
     sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / unit_tokens).cast("long").alias("parts"))
@@ -465,8 +493,8 @@ def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: in
     # one row of each class gives its profile, found by its id and text, so that a text of very many exact copies is no hot key
     chosen = cut(classes.join(wanted, "name").withColumnRenamed("name", "node"))
     side = chosen.select("node", F.col("first.doc_id").alias("__d"), F.col("first.key").alias("__k"))
-    own = full.select("doc_id", "key", "profile")
-    profiles = beside(own, side, own.doc_id.eqNullSafe(F.col("__d")) & (own.key == F.col("__k"))).groupBy("node").agg(F.min("profile").alias("profile"))
+    own = full.select("doc_id", "key", "profile", "fine")
+    profiles = beside(own, side, own.doc_id.eqNullSafe(F.col("__d")) & (own.key == F.col("__k"))).groupBy("node").agg(F.min(F.struct("profile", "fine")).alias("p")).select("node", "p.*")
     facts = cut(chosen.join(profiles, "node"))
     # a document may leave as many very frequent signatures as it has spare ones
     loud = told.where("loud").groupBy("u").agg(F.count_if(F.col("slot") == 0).alias("loud0"), F.count_if(F.col("slot") == 1).alias("loud1"))
@@ -474,14 +502,12 @@ def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: in
     some = beside(told.where("loud"), cut(loud.where("keeps0 or keeps1")), "u").where(F.when(F.col("slot") == 0, F.col("keeps0")).otherwise(F.col("keeps1")))
     # stars of candidates: the head is one of them, but where it stands for a frequent signature
     stars = cut(told.where("not loud").select("u", "v").unionByName(some.select("u", "v")).distinct())
-    large = cut(stars.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > STAR).select("v"))
-    whole = beside(stars, large, "v").where("u != v").select("u", "v")
-    small = beside(stars, large, "v", "left_anti").join(facts.select(F.col("node").alias("u"), "n", "profile"), "u")
-    small = small.groupBy(F.pmod(F.xxhash64("v"), F.lit(stars.count() // PROFILE_ROWS + 1)).alias("unit"))
-    edges = cut(whole.unionByName(small.applyInArrow(lambda t: tidied(_parted(t, num, den)), "u long, v long")).distinct())
+    # few candidates are left by the coarse profiles, and only these are held against each other by fine ones
+    near = _near_stars(stars, facts, "profile", num, den, apart=True)
+    edges = _near_stars(near, facts, "fine", num, den)
     family = components(edges)
     repeated = full.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.lit(True).alias("again"))
-    facts = facts.drop("profile")
+    facts = facts.drop("profile", "fine")
     at = facts.join(family, "node").select("node", "n", F.col("component").alias("family"), F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
     at = at.join(repeated, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left").drop("__d", "__k")
     members = cut(_parts(at.withColumn("again", F.coalesce("again", F.lit(False))).withColumn("known", F.col("node")), unit_tokens))
@@ -493,9 +519,19 @@ def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: in
         # signatures whose holders aren't connected yet; a head is a holder, too, unless it stands for a frequent signature
         held = beside(edges.unionByName(edges.select(F.col("v").alias("u"), "v")), large.select(F.col("node").alias("u"), "known"), "u")
         open_ = held.groupBy("v").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a < b").select("v")
-        again = components(beside(edges, cut(open_), "v"))
-        rest = large.drop("family").join(again, "node").withColumnRenamed("component", "family")
+        left = cut(beside(edges, cut(open_), "v").select("u", "v"))
+        rest = large.drop("family").join(components(left), "node").withColumnRenamed("component", "family")
         rest = cut(_parts(rest, unit_tokens))
+        # linked sets have a head in common: a family of several parts is searched by its heads where that tells fewer texts
+        big = rest.where("parts > 1")
+        if not big.isEmpty():
+            own = big.drop("parts", "part").withColumnRenamed("family", "whole").join(_with_heads(left).withColumnsRenamed({"u": "node", "v": "family"}), "node")
+            own = cut(_parts(cut(own), unit_tokens))
+            told_ = F.sum(F.greatest(F.lit(1), F.col("parts") - 1)).alias("texts")
+            less = own.groupBy("whole").agg(told_).join(big.groupBy(F.col("family").alias("whole")).agg(told_.alias("before")), "whole").where("texts < before").select("whole")
+            less = cut(less)
+            own = beside(own, less, "whole").select(rest.columns)
+            rest = cut(beside(rest, less.withColumnRenamed("whole", "family"), "family", "left_anti").select(rest.columns).unionByName(own))
         if not rest.isEmpty():
             other = F.explode(F.expr("if(parts = 1, array(0L), filter(sequence(0L, parts - 1), x -> x != part))")).alias("other")
             across = rest.select("*", other).withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))

@@ -29,6 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 INF = np.int64(1) << 40
 CACHE_WORDS = 400_000
+NEW_BYTES = 1 << 18  # of new words that are encoded at once: each byte starts several pieces, which are held as edges
 
 
 def _fields(data: bytes):
@@ -295,6 +296,14 @@ def encode_words(p: Pieces, text: np.ndarray, starts: np.ndarray, ends: np.ndarr
     return flat.astype(np.int32), np.concatenate([[0], np.cumsum(count)])
 
 
+def encode_new(p: Pieces, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode_words``, about NEW_BYTES at a time."""
+    group = np.cumsum(ends - starts) // NEW_BYTES
+    edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(starts)).tolist()
+    made = [encode_words(p, text, starts[a:b], ends[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return np.concatenate([flat for flat, _ in made]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(ptr) for _, ptr in made]))])
+
+
 class Encoder:
     """Encodes slices of texts; keeps the ids of up to CACHE_WORDS distinct words."""
 
@@ -328,7 +337,7 @@ class Encoder:
             if len(self.hash) + int(new.sum()) > CACHE_WORDS:
                 self.clear()
                 new = np.ones(len(uniq), bool)
-            flat, ptr = encode_words(self.p, data, starts[first[new]], ends[first[new]])
+            flat, ptr = encode_new(self.p, data, starts[first[new]], ends[first[new]])
             order = np.argsort(np.concatenate([self.hash, uniq[new]]), kind="stable")
             size = np.concatenate([np.diff(self.ptr), np.diff(ptr)])
             start = np.concatenate([self.ptr[:-1], ptr[:-1] + len(self.flat)])
