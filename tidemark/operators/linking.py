@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import rung_rank
+from .lineage import LADDER, UNLINKED, rung_rank
 
 # fixed values: how long behind a capture's end a commit may come, the snapshot at the end, and the hash of an empty diff
 AFTER_SECONDS = 600
@@ -23,7 +23,8 @@ def confidence(commits: DataFrame, captures: DataFrame, snapshots: DataFrame, st
     patch. Seen only at the capture's end, or made behind it, that is tree_match_after, else tree_match_during. A commit counts from the second
     in which the capture starts to ``after`` seconds behind its end. Time alone is a link (heuristic) only if that is asked for.
 
-    Trees and statements meet by equi-joins; times by buckets of ``width`` seconds, of which a capture covers as many as it lasts.
+    Trees and statements meet by equi-joins; times by buckets of ``width`` seconds, doubled until a capture covers three at most. Nothing that
+    grows with the captures is broadcast: what the planner takes for small is many times larger behind an explode.
     """
     made = commits.select("repo", "sha", "parent", "patch", "at")
     seen = snapshots.where("head is not null and diff is not null").select("capture", "head", "diff", (F.coalesce("trigger", F.lit(AT_END)) != AT_END).alias("during"))
@@ -32,15 +33,20 @@ def confidence(commits: DataFrame, captures: DataFrame, snapshots: DataFrame, st
     shown = made.select("repo", "sha", "at", states).select("repo", "sha", "at", "state.*").where("head is not null and diff is not null")
     own = captures.select("capture", F.col("repo").alias("__repo"), F.expr("start - make_dt_interval(0, 0, 0, extract(SECOND FROM start) % 1)").alias("__start"), F.col("end").alias("__end"))
     late = F.col("__end") + F.make_dt_interval(secs=F.lit(after))
-    pairs = shown.join(seen, ["head", "diff"]).join(own, "capture").where((F.col("repo") == F.col("__repo")) & F.col("at").between(F.col("__start"), late))
+    pairs = shown.join(seen.hint("merge"), ["head", "diff"]).join(own.hint("merge"), "capture").where((F.col("repo") == F.col("__repo")) & F.col("at").between(F.col("__start"), late))
     trees = pairs.groupBy("capture", "sha").agg(F.bool_or("during").alias("during"), F.bool_or(F.col("at") > F.col("__end")).alias("behind"))
     found = trees.select("capture", "sha", F.when(F.col("during") & ~F.col("behind"), "tree_match_during").otherwise("tree_match_after").alias("rung"))
     found = found.unionByName(stated.select("capture", "sha", "rung"))
     if heuristic:
-        at = F.unix_seconds(F.col("at").cast("timestamp"))
-        bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width)
-        covered = own.select("capture", "__repo", "__start", "__end", F.explode(F.sequence(bucket(F.col("__start")), bucket(late))).alias("__bucket"))
-        near = made.withColumn("__bucket", F.floor(at / width)).join(covered, (F.col("repo") == F.col("__repo")) & (covered["__bucket"] == F.floor(at / width)))
+        seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+        bucket = lambda c: F.floor(seconds(c) / (F.pow(F.lit(2.0), F.col("__level")) * width))
+        level = F.ceil(F.log2(F.greatest((seconds(late) - seconds(F.col("__start"))) / width, F.lit(1.0)))).cast("int")
+        covered = own.withColumn("__level", level).withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__start")), bucket(late))))
+        # a commit looks only at the levels that captures of its repository have
+        levels = covered.select("__repo", "__level").distinct()
+        near = made.join(levels.hint("merge"), F.col("repo") == F.col("__repo")).select("repo", "sha", "at", "__level").withColumn("__bucket", bucket(F.col("at")))
+        near = near.join(covered.withColumnRenamed("__repo", "repo").hint("merge"), ["repo", "__level", "__bucket"])
         found = found.unionByName(near.where(F.col("at").between(F.col("__start"), late)).select("capture", "sha", F.lit("heuristic").alias("rung")))
-    best = found.groupBy("capture", "sha").agg(F.min_by("rung", rung_rank(F.col("rung"))).alias("rung"))
-    return best.join(made.select("sha").distinct().withColumn("known", F.lit(True)), "sha", "left").select("capture", "sha", "rung", F.coalesce("known", F.lit(False)).alias("known"))
+    best = found.groupBy("capture", "sha").agg(F.min(rung_rank(F.col("rung"))).alias("rank"))
+    best = best.select("capture", "sha", F.get(F.lit([*LADDER, UNLINKED]), F.col("rank").cast("int")).alias("rung"))
+    return best.join(made.select("sha").distinct().hint("merge").withColumn("known", F.lit(True)), "sha", "left").select("capture", "sha", "rung", F.coalesce("known", F.lit(False)).alias("known"))
