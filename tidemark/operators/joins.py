@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 Cols = Sequence[str]
+BROADCAST_ROWS = 400_000  # of a few columns
+DEALT = 64  # parts of the rows that are met with others
 
 
 def asof_backward(left: DataFrame, right: DataFrame, key: Cols, at: str, values: Cols, tie: Cols, strict: bool = False) -> DataFrame:
@@ -64,12 +66,39 @@ def zip_join(left: DataFrame, right: DataFrame, key: Cols, left_order: Cols, rig
 
 
 def any_key_match(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], left_id: Cols, right_id: Cols) -> DataFrame:
-    """Pairs of ids that agree on any of the column pairs: a union of equi-joins instead of an OR."""
-    found = None
-    for a, b in pairs:
-        one = left.select(*left_id, F.col(a).alias("__k")).join(right.select(*right_id, F.col(b).alias("__k")), "__k").select(*left_id, *right_id)
-        found = one if found is None else found.unionByName(one)
-    return found.distinct()
+    """Pairs of ids that agree on any of the column pairs, each once: a union of equi-joins instead of an OR.
+
+    A pair of ids that have one row each is told by the first column pair that it agrees on, so these need no shuffle to be
+    distinct, however many there are; only pairs of an id of several rows do. A right side of up to BROADCAST_ROWS rows is broadcast;
+    a larger one is told to DEALT parts of the left rows, so that a key that very many rows have is no single task.
+    """
+
+    def side(rows: DataFrame, ident: Cols, columns: Cols, mark: str) -> DataFrame:
+        rows = rows.select(*ident, *[F.col(c).alias(f"__{mark}{i}") for i, c in enumerate(columns)]).distinct()
+        # a given number of parts, as few bytes may meet very many rows
+        return rows.repartition(DEALT, *ident).withColumn(f"__{mark}", F.count("*").over(Window.partitionBy(*ident)) > 1)
+
+    a, b = side(left, left_id, [x for x, _ in pairs], "a"), side(right, right_id, [y for _, y in pairs], "b")
+    small = right.count() <= BROADCAST_ROWS
+    if not small:
+        a = a.withColumn("__deal", F.pmod(F.xxhash64(*left_id), F.lit(DEALT)))
+        b = b.withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+
+    def met(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
+        found = None
+        for i in range(len(pairs)):
+            on = F.col(f"__a{i}") == F.col(f"__b{i}")
+            if not small:
+                on = on & (a["__deal"] == b["__deal"])
+            one = a.join(F.broadcast(b) if small else b, on)
+            for k in range(i if once else 0):
+                one = one.where(~F.coalesce(F.col(f"__a{k}") == F.col(f"__b{k}"), F.lit(False)))
+            one = one.select(*left_id, *right_id)
+            found = one if found is None else found.unionByName(one)
+        return found
+
+    single, several = met(a.where("not __a"), b.where("not __b"), True), met(a.where("__a"), b, False).unionByName(met(a.where("not __a"), b.where("__b"), False))
+    return single.unionByName(several.distinct())
 
 
 def interval_overlaps(df: DataFrame, place: Cols, ident: str, start: str, end: str, width: int) -> DataFrame:
