@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import any_key_match
+
 # fixed values: how sure a link is, best first, and the word for none
 LADDER = ("explicit", "provider_reported", "tree_match_during", "tree_match_after", "heuristic")
 UNLINKED = "unlinked"
@@ -50,12 +52,11 @@ def commit_links(links: DataFrame, base: DataFrame, sha: str, tree: str, activit
 def outcomes_about(outcomes: DataFrame, changes: DataFrame) -> DataFrame:
     """(sha, outcome_id) where an outcome names the sha, or the task and attempt that landed the change; each pair once.
 
-    outcomes: outcome_id, sha, task, attempt; changes: sha, task, attempt. An OR-condition as a union of two equi-joins.
+    outcomes: outcome_id, sha, task, attempt; changes: sha, task, attempt. An OR-condition as a union of equi-joins, whose pairs aren't shuffled.
     """
-    by_sha = outcomes.where("sha is not null").join(changes.select("sha").distinct(), "sha").select("sha", "outcome_id")
-    named = outcomes.where("task is not null and attempt is not null").select("task", "attempt", "outcome_id")
-    by_task = named.join(changes.select("sha", "task", "attempt").distinct(), ["task", "attempt"]).select("sha", "outcome_id")
-    return by_sha.unionByName(by_task).distinct()
+    landed = F.when(F.col("task").isNotNull() & F.col("attempt").isNotNull(), F.struct("task", "attempt"))
+    found = any_key_match(outcomes.withColumn("__landed", landed), changes.withColumn("__landed", landed), [("sha", "sha"), ("__landed", "__landed")], ["outcome_id"], ["sha"])
+    return found.select("sha", "outcome_id")
 
 
 def known_pass(status: Column) -> Column:

@@ -43,13 +43,13 @@ def q_refused_links(spark, d):
 def _outcomes(spark, d):
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select(
-        k.alias("outcome_id"), F.when(k % 3 == 0, F.col("o_custkey")).alias("sha"), F.when(k % 2 == 0, F.concat(F.lit("t"), F.col("o_custkey"))).alias("task"), F.when(k % 5 != 0, (k % 4).cast("int")).alias("attempt"),
+        k.alias("outcome_id"), F.when(k % 3 == 0, F.col("o_custkey")).alias("sha"), F.when(k % 2 == 0, F.concat(F.lit("t"), F.col("o_custkey") % 50)).alias("task"), F.when(k % 5 != 0, (k % 4).cast("int")).alias("attempt"),
         F.col("o_custkey").alias("change"), (k % 3 != 1).alias("verifies"), F.when(k % 4 != 0, k % 1000).alias("duration_ms"), _pick(STATUS, k).alias("status"),
     )
 
 
 def q_outcomes_about(spark, d):
-    changes = table(spark, d, "customer").select(F.col("c_custkey").alias("sha"), F.concat(F.lit("t"), F.col("c_custkey")).alias("task"), (F.col("c_custkey") % 4).cast("int").alias("attempt"))
+    changes = table(spark, d, "customer").select(F.col("c_custkey").alias("sha"), F.concat(F.lit("t"), F.col("c_custkey") % 50).alias("task"), (F.col("c_custkey") % 4).cast("int").alias("attempt"))
     return L.outcomes_about(_outcomes(spark, d).select("outcome_id", "sha", "task", "attempt"), changes)
 
 
@@ -236,13 +236,13 @@ LADDER = _listed(WORDS)
 LINKS = f"lk AS (SELECT l_partkey AS sha, l_partkey % 500 AS tree, {LADDER}[(l_suppkey + l_linenumber) % 7 + 1] AS word, (l_suppkey + l_linenumber) % 7 AS rank, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS activity FROM lineitem)"
 JOINED = f"""{LINKS}, bs AS (SELECT p_partkey AS sha, p_partkey % 500 AS tree FROM part WHERE p_size % 4 = 0), tr AS (SELECT tree, min(sha) AS by_tree, count(*) AS owners FROM bs GROUP BY tree),
   mt AS (SELECT lk.*, owners, coalesce(bs.sha, CASE WHEN owners = 1 THEN by_tree END) AS row_sha FROM lk LEFT JOIN bs USING (sha) LEFT JOIN tr ON tr.tree = lk.tree)"""
-OUTCOMES = f"""oc AS (SELECT o_orderkey AS outcome_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS sha, CASE WHEN o_orderkey % 2 = 0 THEN 't' || o_custkey END AS task, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS attempt,
+OUTCOMES = f"""oc AS (SELECT o_orderkey AS outcome_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS sha, CASE WHEN o_orderkey % 2 = 0 THEN 't' || (o_custkey % 50) END AS task, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS attempt,
   o_custkey AS change, o_orderkey % 3 <> 1 AS verifies, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 1000 END AS duration_ms, {_listed(STATUS)}[o_orderkey % 4 + 1] AS status FROM orders)"""
 SQL = {
     "best_rung": f"WITH {LINKS} SELECT sha, arg_min(word, rank) AS rung, arg_min(activity, (rank, l_orderkey, l_linenumber)) AS first_activity FROM lk WHERE rank < 6 GROUP BY sha",
     "commit_links": f"""WITH {JOINED} SELECT row_sha, max(sha) FILTER (sha <> row_sha) AS twin, count(*) AS n_links, array_to_string(list_sort(list(DISTINCT activity)), ',') AS activities FROM mt WHERE row_sha IS NOT NULL GROUP BY row_sha""",
     "refused_links": f"WITH {JOINED} SELECT DISTINCT sha, CASE WHEN owners > 1 THEN 'ambiguous_tree' ELSE 'off_base' END AS reason FROM mt WHERE row_sha IS NULL",
-    "outcomes_about": f"""WITH {OUTCOMES}, ch AS (SELECT c_custkey AS sha, 't' || c_custkey AS task, c_custkey % 4 AS attempt FROM customer)
+    "outcomes_about": f"""WITH {OUTCOMES}, ch AS (SELECT c_custkey AS sha, 't' || (c_custkey % 50) AS task, c_custkey % 4 AS attempt FROM customer)
   SELECT sha, outcome_id FROM (SELECT ch.sha, outcome_id FROM ch JOIN oc ON oc.sha = ch.sha UNION SELECT ch.sha, outcome_id FROM ch JOIN oc ON oc.task = ch.task AND oc.attempt = ch.attempt)""",
     "merge_verification": f"""WITH {OUTCOMES}, l AS (SELECT change, count(*) FILTER (verifies) AS n, arg_max(duration_ms, CASE WHEN verifies THEN outcome_id END) AS x, max(outcome_id) FILTER (verifies) AS last FROM oc GROUP BY change),
   j AS (SELECT l.change, oc.duration_ms, CASE lower(oc.status) WHEN 'passed' THEN 0 WHEN 'ok' THEN 0 WHEN 'failed' THEN 1 END::INTEGER AS failed, n FROM l LEFT JOIN oc ON oc.outcome_id = last)
