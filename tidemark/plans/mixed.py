@@ -8,7 +8,7 @@ from ..functions import cleaning
 from ..functions import commands as C
 from ..sources import dispatch as D
 from .calls import _listed, _pick
-from .staging import table
+from .staging import dealt, table
 
 ROUTES = (
     ("claude", "otel_logs"), ("claude", "otel_metrics"), ("claude", "hook"), ("claude", "stream"), ("claude", "transcript"), ("codex", "exec_json"), ("codex", "stream"), ("codex", "rollout"), ("codex", "hook"), ("codex", "transcript"), (None, "hook"),
@@ -58,7 +58,7 @@ def q_clean_kinds(spark, d):
     p = F.col("p_partkey")
     text = F.replace(F.replace(F.lit(PAYLOAD), F.lit("{p}"), p.cast("string")), F.lit("{x}"), F.lit("x" * 40))
     text = F.when(p % 3 == 0, F.regexp_replace(text, r'"tokens":(\d+)', '"tokens":"$1"')).otherwise(text)
-    rows = table(spark, d, "part").select("p_partkey", F.when(p % 7 == 0, F.lit("[1]")).otherwise(text).alias("t"))
+    rows = dealt(table(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.when(p % 7 == 0, F.lit("[1]")).otherwise(text).alias("t"))
     rules = cleaning.Rules(FIELDS, refused=("prompt",), repo=F.lit("/repo"), home=F.lit("/home/u"))
     r = rows.select("p_partkey", cleaning.clean_payload(F.try_parse_json("t"), rules).alias("r"))
     return r.select("p_partkey", "r.payload", F.array_join("r.notes", ";").alias("notes"))
@@ -80,7 +80,7 @@ FORMS = (
 def q_normal_forms(spark, d):
     p = F.col("p_partkey")
     line = F.replace(_pick([a for a, _ in FORMS], p), F.lit("{p}"), p.cast("string"))
-    return table(spark, d, "part").select("p_partkey", C.normalise(line).alias("form"))
+    return dealt(table(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", C.normalise(line).alias("form"))
 
 
 FLAGS = ("--model", "-m")

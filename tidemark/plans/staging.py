@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """rows dealt evenly by their key: a file of narrow rows has few row groups, and each is one task, however much work its rows are."""
+    return rows.repartition(max(64, 4 * rows.sparkSession.sparkContext.defaultParallelism), *key)
+
+
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
