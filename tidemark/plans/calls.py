@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, paths
 from ..functions.commands import VERIFICATION
 from ..operators import calls as C
-from .staging import table
+from .staging import dealt, table
 
 NAMES = ("Read", "Edit", "Bash", "Grep", "Task", "Write", "Glob", "apply_patch")
 COMMANDS = (
@@ -154,7 +154,7 @@ def q_prose_paths(spark, d):
 
 def q_clean_json(spark, d):
     text = F.concat(F.lit('{"a":"'), F.col("p_partkey"), F.lit('","prompt":"secret","k":"sk-abcdefghijklmnopqrstuv","deep":[[[[[[["x"]]]]]]],"n":'), F.col("p_size"), F.lit("}"))
-    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, F.lit("{not json")).otherwise(text).alias("text"))
+    p = dealt(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, F.lit("{not json")).otherwise(text).alias("text"))
     r = p.withColumn("r", cleaning.clean_json(F.col("text"), "f", "scalar", ("prompt",)))
     return r.select("p_partkey", F.col("r.payload").alias("payload"), F.array_join("r.notes", ";").alias("notes"))
 
