@@ -32,7 +32,7 @@ def _mixed(spark, d):
     body = F.replace(F.replace(_pick(BODIES, e), F.lit("{e}"), e.cast("string")), F.lit("{u}"), F.col("user_id").cast("string"))
     broken = F.when(e % 13 == 5, F.substring(body, F.lit(1), F.length(body) - 1)).when(e % 13 == 7, F.lit("[1,2]")).when(e % 13 != 9, body)
     routes = [F.lit(list(x)) for x in (["" if p is None else p for p, _ in ROUTES], [s for _, s in ROUTES])]
-    return table(spark, d, "events").select("event_id", F.nullif(F.element_at(routes[0], (k + 1).cast("int")), F.lit("")).alias("provider"), F.element_at(routes[1], (k + 1).cast("int")).alias("surface"), broken.alias("body"))
+    return dealt(table(spark, d, "events").select("event_id", "user_id"), "event_id").select("event_id", F.nullif(F.element_at(routes[0], (k + 1).cast("int")), F.lit("")).alias("provider"), F.element_at(routes[1], (k + 1).cast("int")).alias("surface"), broken.alias("body"))
 
 
 def q_mixed_surfaces(spark, d):
