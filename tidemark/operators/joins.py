@@ -101,6 +101,13 @@ def any_key_match(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str,
     return single.unionByName(several.distinct())
 
 
+def once_each(rows: DataFrame, column: str, made: dict[str, Column]) -> DataFrame:
+    """rows with columns that follow from one column alone, worked out once for each of its values, null among them."""
+    values = rows.select(F.col(column).alias("__of")).distinct()
+    told = values.select("__of", *[c.alias(name) for name, c in made.items()])
+    return rows.join(F.broadcast(told) if values.count() <= BROADCAST_ROWS else told, F.col(column).eqNullSafe(F.col("__of")), "left").drop("__of")
+
+
 def interval_overlaps(df: DataFrame, place: Cols, ident: str, start: str, end: str, width: int) -> DataFrame:
     """Unordered pairs of ids at one place whose intervals overlap; null ends are open, touching ends don't overlap.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commands as K
 from ..functions import scalars as S
+from ..operators import joins as J
 from ..operators import metrics as M
 from ..sources import exports as X
 from ..sources import git as G
@@ -87,8 +88,8 @@ def _commands(spark, d):
 
 
 def q_command_category(spark, d):
-    c = F.col("command")
-    return _commands(spark, d).select("o_orderkey", "command", K.category(c).alias("category"), K.exit_masked(c).alias("masked"), K.scope(c).alias("scope"))
+    c = F.col("__of")
+    return J.once_each(_commands(spark, d), "command", {"category": K.category(c), "masked": K.exit_masked(c), "scope": K.scope(c)})
 
 
 def q_otlp_logs(spark, d):
