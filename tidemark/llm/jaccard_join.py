@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .dealing import cells, deal, levels_of, unpack
 from .graph import beside, components, cut
-from .text import distinct, mix64, shingles, slices, sums, tidied, word_hashes
+from .text import SMALL, distinct, mix64, shingles, slices, sums, tidied, word_hashes
 
 U = np.uint64
 FREQUENT = 32
@@ -110,7 +110,7 @@ def _signatures(h: np.ndarray, ptr: np.ndarray, num: int, den: int, bands: np.nd
 
 def _sets(texts: pa.Array | pa.ChunkedArray, words: int):
     """(first row, end row, hashes, pointers, class names) of the sets of texts."""
-    for a, b, data, offsets in slices(texts):
+    for a, b, data, offsets in slices(texts, SMALL):
         h, ptr = distinct(*shingles(*word_hashes(data, offsets), words))
         yield a, b, h, ptr, _names(h, ptr)
 

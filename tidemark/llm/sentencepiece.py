@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .text import slices, span_hashes, tidied
+from .text import SMALL, slices, span_hashes, tidied
 
 U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -395,7 +395,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", check: bool
     def run(batches):
         enc = encoder(spec.value)
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column(text)):
+            for a, b, data, offsets in slices(batch.column(text), 2 * SMALL):
                 ids, ptr, norm, off = enc.encode(data, offsets)
                 null = batch.column(text).slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
                 arrays = [*batch.slice(a, b - a).columns, pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(ids), mask=pa.array(null))]

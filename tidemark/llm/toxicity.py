@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import LOWER, SPACE, mix64, slices, tidied
+from .text import LOWER, SMALL, SPACE, mix64, slices, tidied
 
 U = np.uint64
 BITS = 20
@@ -71,18 +71,17 @@ def _fit(table: pa.Table, share: float) -> pa.Table:
     label = table.column("label").to_numpy().astype(float)
     order = np.argsort(table.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")
     table, label = table.take(pa.array(order)), label[order]
-    rows, cols = [], []
-    for a, _, data, offsets in slices(table.column("text").combine_chunks()):
+    found, p, q = [], np.zeros(1 << BITS), np.zeros(1 << BITS)  # counts are whole numbers, which add up exactly in any order
+    for a, _, data, offsets in slices(table.column("text").combine_chunks(), SMALL):
         r, c = present(data, offsets)
-        rows.append(r + a)
-        cols.append(c)
-    row, col = np.concatenate(rows), np.concatenate(cols)
+        r = (r + a).astype(np.int32)
+        p += np.bincount(c, label[r], 1 << BITS)
+        q += np.bincount(c, 1 - label[r], 1 << BITS)
+        found.append((r, c))
     n1, n0 = label.sum(), (1 - label).sum()
     nothing = pa.table({"feature": pa.array([], pa.int32()), "weight": pa.array([], pa.float64())})
     if not n1 or not n0:
         return nothing
-    p = np.bincount(col, label[row], 1 << BITS)
-    q = np.bincount(col, 1 - label[row], 1 << BITS)
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     rate = (p + q + 1) / (n1 + n0 + 2)
     z = (p / n1 - q / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
@@ -90,8 +89,9 @@ def _fit(table: pa.Table, share: float) -> pa.Table:
     if not use.any():
         return nothing
     number = np.cumsum(use) - 1
-    keep = use[col]
-    row, col = row[keep], number[col[keep]]
+    # of all n-grams only those that are used are held together
+    found = [(r[use[c]].astype(np.int64), number[c[use[c]]]) for r, c in found]
+    row, col = (np.concatenate(x) for x in zip(*found, strict=True))
     r = ratio[use]
     x = r[col]
     w, b = np.zeros(len(r)), 0.0
@@ -163,7 +163,7 @@ def score_toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
         weight = held.value
         wanted = weight != 0
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text")):
+            for a, b, data, offsets in slices(batch.column("text"), SMALL):
                 row, col = present(data, offsets, wanted)
                 margin = np.bincount(row, weight[col], b - a) + bias
                 score = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
