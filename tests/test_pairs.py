@@ -24,6 +24,29 @@ def test_pairs_of_any_key_are_told_once(spark, monkeypatch, limit):
     assert set(got) == want
 
 
+@pytest.mark.parametrize("limit", [400_000, 0])
+def test_pairs_of_large_keys_are_met_in_blocks(spark, monkeypatch, limit):
+    """Keys of more rows than a block on either side; with limit 0 what tells their blocks is joined by a shuffle, too, and nothing is broadcast."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(joins, "LEFT_BLOCK", 5, raising=False)
+    monkeypatch.setattr(joins, "RIGHT_BLOCK", 3, raising=False)
+    left, right = [(i, i % 7 or None, i % 2) for i in range(60)], [(i, i % 9, i % 3) for i in range(50)] + [(3, 1, 1)]
+    want = {(a, b) for a, x, y in left for b, u, v in right if (x is not None and x == u) or y == v}
+    df = joins.any_key_match(spark.createDataFrame(left, "a long, x long, y long"), spark.createDataFrame(right, "b long, u long, v long"), [("x", "u"), ("y", "v")], ["a"], ["b"])
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want)
+    assert set(got) == want
+
+
+def test_pairs_broadcast_no_side(spark):
+    """A right side of more rows than may be broadcast looks small to the planner, also told to many parts."""
+    left = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") % 500).alias("x"))
+    right = spark.range(joins.BROADCAST_ROWS + 1).select(F.col("id").alias("b"), (F.col("id") % 400_000).alias("u"))
+    df = joins.any_key_match(left, right, [("x", "u")], ["a"], ["b"])
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 1002
+
+
 def test_outcomes_are_about_each_change_once(spark):
     outcomes = [(1, 10, "t", 1), (2, None, "t", 1), (3, 11, None, 1), (4, 12, "t", None), (5, 10, "u", 2), (5, 10, "u", 2), (6, 99, "t", 1)]
     changes = [(10, "t", 1), (11, "t", 1), (12, "u", 2), (12, "u", 2), (13, None, None), (10, "v", 3)]

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 Cols = Sequence[str]
 BROADCAST_ROWS = 400_000  # of a few columns
 DEALT = 64  # parts of the rows that are met with others
+LEFT_BLOCK, RIGHT_BLOCK = 65_536, 1024  # about so many rows of a key are met at once
 
 
 def asof_backward(left: DataFrame, right: DataFrame, key: Cols, at: str, values: Cols, tie: Cols, strict: bool = False) -> DataFrame:
@@ -69,35 +70,46 @@ def any_key_match(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str,
     """Pairs of ids that agree on any of the column pairs, each once: a union of equi-joins instead of an OR.
 
     A pair of ids that have one row each is told by the first column pair that it agrees on, so these need no shuffle to be
-    distinct, however many there are; only pairs of an id of several rows do. A right side of up to BROADCAST_ROWS rows is broadcast;
-    a larger one is told to DEALT parts of the left rows, so that a key that very many rows have is no single task.
+    distinct, however many there are; only pairs of an id of several rows do. Rows of a key are dealt to blocks, and each row to all blocks of
+    the other side: a key that very many rows have is many parts, of which none holds more than a right block, and a written part
+    repeats the same few ids, which columns of a file are small for. Nothing that grows with a side is broadcast.
     """
 
-    def side(rows: DataFrame, ident: Cols, columns: Cols, mark: str) -> DataFrame:
-        rows = rows.select(*ident, *[F.col(c).alias(f"__{mark}{i}") for i, c in enumerate(columns)]).distinct()
+    def side(rows: DataFrame, ident: Cols, columns: Cols) -> DataFrame:
+        rows = rows.select(F.struct(*ident).alias("__id"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(columns)])
+        # rows of an id lie together once dealt, so that neither equal ones nor their number need another shuffle
+        return rows.repartition("__id").distinct().withColumn("__several", F.count("*").over(Window.partitionBy("__id")) > 1)
+
+    def with_blocks(rows: DataFrame, key: Column, most: int, name: str):
+        """What adds to rows of __key how many blocks of ``most`` it has on this side; most keys have one."""
+        large = rows.groupBy(key.alias("__key")).agg(F.ceil(F.count("*") / most).alias(name)).where(f"__key is not null and {name} > 1")
+        n = large.count()
+        large = F.broadcast(large) if n <= BROADCAST_ROWS else large
+        return lambda side: side.join(large, "__key", "left").fillna(1, [name]) if n else side.withColumn(name, F.lit(1).cast("long"))
+
+    a, b = side(left, left_id, [x for x, _ in pairs]), side(right, right_id, [y for _, y in pairs])
+    counts = [(with_blocks(left, F.col(x), LEFT_BLOCK, "__of_left"), with_blocks(right, F.col(y), RIGHT_BLOCK, "__of_right")) for x, y in pairs]
+
+    def dealt(rows: DataFrame, i: int, own: str, other: str, row: str) -> DataFrame:
+        rows = rows.where(f"__k{i} is not null").select(F.col(f"__k{i}").alias("__key"), F.struct("__id", *[f"__k{k}" for k in range(i)]).alias(row))
+        for add in counts[i]:
+            rows = add(rows)
+        block = {f"__of_{own}": F.pmod(F.xxhash64(f"{row}.__id"), F.col(f"__of_{own}")), f"__of_{other}": F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"__of_{other}") - 1))}
+        at = [F.col("__key"), *[block[k].alias(k[5:]) for k in ("__of_left", "__of_right")]]
         # a given number of parts, as few bytes may meet very many rows
-        return rows.repartition(DEALT, *ident).withColumn(f"__{mark}", F.count("*").over(Window.partitionBy(*ident)) > 1)
-
-    a, b = side(left, left_id, [x for x, _ in pairs], "a"), side(right, right_id, [y for _, y in pairs], "b")
-    small = right.count() <= BROADCAST_ROWS
-    if not small:
-        a = a.withColumn("__deal", F.pmod(F.xxhash64(*left_id), F.lit(DEALT)))
-        b = b.withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+        return rows.select(row, *at).repartition(DEALT, "__key", "left", "right")
 
     def met(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
         found = None
         for i in range(len(pairs)):
-            on = F.col(f"__a{i}") == F.col(f"__b{i}")
-            if not small:
-                on = on & (a["__deal"] == b["__deal"])
-            one = a.join(F.broadcast(b) if small else b, on)
+            one = dealt(a, i, "left", "right", "__l").join(dealt(b, i, "right", "left", "__r").hint("merge"), ["__key", "left", "right"])
             for k in range(i if once else 0):
-                one = one.where(~F.coalesce(F.col(f"__a{k}") == F.col(f"__b{k}"), F.lit(False)))
-            one = one.select(*left_id, *right_id)
+                one = one.where(~F.coalesce(F.col(f"__l.__k{k}") == F.col(f"__r.__k{k}"), F.lit(False)))
+            one = one.select("__l.__id.*", "__r.__id.*")
             found = one if found is None else found.unionByName(one)
         return found
 
-    single, several = met(a.where("not __a"), b.where("not __b"), True), met(a.where("__a"), b, False).unionByName(met(a.where("not __a"), b.where("__b"), False))
+    single, several = met(a.where("not __several"), b.where("not __several"), True), met(a.where("__several"), b, False).unionByName(met(a.where("not __several"), b.where("__several"), False))
     return single.unionByName(several.distinct())
 
 
