@@ -47,6 +47,16 @@ def test_pairs_broadcast_no_side(spark):
     assert df.count() == 1002
 
 
+def test_written_pairs_of_large_keys_are_small(spark, tmp_path):
+    """Left rows of one key after the other, each with the same few right ids; in the order of left ids it would be several bytes a pair."""
+    left = spark.range(2600).select(F.col("id").alias("a"), (F.col("id") % 26).alias("x"))
+    right = spark.range(50_000).select(F.col("id").alias("b"), (F.xxhash64("id") % 26).alias("u"))
+    joins.any_key_match(left, right, [("x", "u")], ["a"], ["b"]).write.parquet(f"{tmp_path}/out")
+    n = spark.read.parquet(f"{tmp_path}/out").count()
+    assert n == left.join(right, F.col("x") == F.col("u")).count()
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < n
+
+
 def test_outcomes_are_about_each_change_once(spark):
     outcomes = [(1, 10, "t", 1), (2, None, "t", 1), (3, 11, None, 1), (4, 12, "t", None), (5, 10, "u", 2), (5, 10, "u", 2), (6, 99, "t", 1)]
     changes = [(10, "t", 1), (11, "t", 1), (12, "u", 2), (12, "u", 2), (13, None, None), (10, "v", 3)]
