@@ -974,3 +974,36 @@ def test_decontaminate_keeps_clean_rows(spark, leaky):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(df, nothing).count() == df.count()
     assert decontaminate.find_leaks(df.limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
+
+
+def test_chance_candidates_are_told_by_counts(spark, monkeypatch):
+    """Texts of words of their own with one of a few phrases share signatures by chance, which are too few for a link; copies with one other word keep theirs."""
+    rng = random.Random(11)
+    phrases = [" ".join(f"p{k}x{i}" for i in range(6)) for k in range(20)]
+    texts = []
+    for d in range(200):
+        words = [f"d{d}w{rng.randrange(10**6)}" for _ in range(rng.randrange(90, 140))]
+        at = rng.randrange(len(words))
+        texts.append(" ".join([*words[:at], phrases[d % 20], *words[at:]]))
+    copies = []
+    for text in texts[:10]:
+        words = text.split()
+        words[rng.randrange(len(words))] = "other"
+        copies.append(" ".join(words))
+    seen, real = [], jaccard_join._near_stars
+    monkeypatch.setattr(jaccard_join, "_near_stars", lambda stars, *a, **k: seen.append(stars.select("u").distinct().count()) or real(stars, *a, **k))
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {d: d - 200 if d >= 200 else d for d in range(210)}
+    assert 20 <= seen[0] <= 30
+
+
+def test_most_sets_have_no_more_empty_blocks_than_spare_ones():
+    """Empty blocks of a set that has more would be signatures, and those of a size band would share them."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(60, 600, 400)
+    ptr = np.concatenate([[0], np.cumsum(sizes)])
+    h = rng.integers(0, 1 << 63, ptr[-1], dtype=np.int64).view(np.uint64)
+    sig, *_ = jaccard_join._signatures(h, ptr, 80, 100, jaccard_join._bands(80, 100))
+    # random sets share a signature only if it is of an empty block
+    assert len(sig) - len(np.unique(sig)) < 0.01 * len(sig)

@@ -78,7 +78,8 @@ def _signatures(h: np.ndarray, ptr: np.ndarray, num: int, den: int, bands: np.nd
     band = np.where(slot == 0, own[doc], nxt[doc])
     high = bands[band + 1] - 1
     differ = (den - num) * 2 * high // (den + num)
-    spare = 2 + differ // 12
+    # enough for the empty blocks of nearly all sets: those of a set with more would be signatures that all such sets share
+    spare = 3 + differ // 6
     blocks = differ + 1 + spare
     base = np.zeros(len(doc) + 1, np.int64)
     np.cumsum(blocks, out=base[1:])
@@ -203,7 +204,7 @@ def _summaries(batches, words: int, num: int, den: int):
 
 SUMMARY = "doc_id long, key long, n long, name long, spare0 long, spare1 long, m long, profile binary, fine binary"
 LOCAL = 1 << 30  # ranges from here on hold what a chunk found to be frequent
-TOLD = "u long, v long, slot int, loud boolean"
+TOLD = "u long, v long, slot int, loud boolean, c long"
 
 
 def _virtual(value: np.ndarray) -> np.ndarray:
@@ -257,10 +258,10 @@ def _dealt(batches, words: int, num: int, den: int, bits: int, width: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(node, head, slot, loud) of one range's signatures that several classes have."""
+    """(node, head, slot, loud, c) of one range's signatures that several classes have; c: how many with the same head a class has."""
     if table.column("p")[0].as_py() >= LOCAL:
         value, node, slot = unpack(table, "value"), unpack(table, "node"), unpack(table, "slot")
-        return pa.table({"u": node.view(np.int64), "v": _virtual(value), "slot": slot.astype(np.int32), "loud": np.ones(len(value), bool)})
+        return pa.table({"u": node.view(np.int64), "v": _virtual(value), "slot": slot.astype(np.int32), "loud": np.ones(len(value), bool), "c": np.ones(len(value), np.int64)})
     value, node, slot, weight = (unpack(table, k) for k in ("value", "node", "slot", "weight"))
     order = np.lexsort((node, value))
     value, node, slot, weight = value[order], node[order], slot[order], weight[order].astype(np.int64)
@@ -273,7 +274,11 @@ def _shared(table: pa.Table) -> pa.Table:
     head = np.repeat(node[heads], count).view(np.int64)
     loud = total > FREQUENT
     tell = (total > 1) & (node != 0)
-    return pa.table({"u": node[tell].view(np.int64), "v": np.where(loud, _virtual(value), head)[tell], "slot": slot[tell].astype(np.int32), "loud": loud[tell]})
+    u, v, slot, loud = node[tell].view(np.int64), np.where(loud, _virtual(value), head)[tell], slot[tell].astype(np.int32), loud[tell]
+    order = np.lexsort((slot, v, u))
+    u, v, slot, loud = u[order], v[order], slot[order], loud[order]
+    heads = np.flatnonzero((np.diff(u, prepend=~u[:1]) != 0) | (np.diff(v, prepend=~v[:1]) != 0) | (np.diff(slot, prepend=~slot[:1]) != 0))
+    return pa.table({"u": u[heads], "v": v[heads], "slot": slot[heads], "loud": loud[heads], "c": np.diff(np.append(heads, len(u)))})
 
 
 FAN, WORDS64 = 8, 16
@@ -488,7 +493,9 @@ def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: in
     entries = full.agg(F.sum("m")).first()[0] or 0
     bits, width = _scale(entries)
     dealt = docs.select("text").mapInArrow(lambda it: tidied(_dealt(it, words=words, num=num, den=den, bits=bits[0], width=width)), CELLS)
-    told = cut(deal(dealt, bits, ["node", "slot", "weight"], entries // CHUNK_ENTRIES, width, LOCAL).groupBy("p").applyInArrow(lambda t: tidied(_shared(t)), TOLD).distinct())
+    told = deal(dealt, bits, ["node", "slot", "weight"], entries // CHUNK_ENTRIES, width, LOCAL).groupBy("p").applyInArrow(lambda t: tidied(_shared(t)), TOLD)
+    # a frequent signature is a head of its own
+    told = cut(told.groupBy("u", "v", "slot", "loud").agg(F.when(F.col("loud"), 1).otherwise(F.sum("c")).alias("c")))
     wanted = cut(told.select(F.col("u").alias("name")).distinct())
     # one row of each class gives its profile, found by its id and text, so that a text of very many exact copies is no hot key
     chosen = cut(classes.join(wanted, "name").withColumnRenamed("name", "node"))
@@ -496,12 +503,19 @@ def _components(docs: DataFrame, words: int, num: int, den: int, unit_tokens: in
     own = full.select("doc_id", "key", "profile", "fine")
     profiles = beside(own, side, own.doc_id.eqNullSafe(F.col("__d")) & (own.key == F.col("__k"))).groupBy("node").agg(F.min(F.struct("profile", "fine")).alias("p")).select("node", "p.*")
     facts = cut(chosen.join(profiles, "node"))
-    # a document may leave as many very frequent signatures as it has spare ones
-    loud = told.where("loud").groupBy("u").agg(F.count_if(F.col("slot") == 0).alias("loud0"), F.count_if(F.col("slot") == 1).alias("loud1"))
-    loud = loud.join(facts, F.col("u") == F.col("node")).select("u", (F.col("loud0") > F.col("spare0")).alias("keeps0"), (F.col("loud1") > F.col("spare1")).alias("keeps1"))
-    some = beside(told.where("loud"), cut(loud.where("keeps0 or keeps1")), "u").where(F.when(F.col("slot") == 0, F.col("keeps0")).otherwise(F.col("keeps1")))
+    # linked sets share more signatures than either has spare ones, so a document that shares fewer with all others together has no link in that
+    # slot: most of those that share some by chance go here, before anything wide is told of them
+    shared = [F.sum(F.when(F.col("slot") == k, F.col("c"))).alias(f"all{k}") for k in (0, 1)]
+    shared += [F.count_if(F.col("loud") & (F.col("slot") == k)).alias(f"loud{k}") for k in (0, 1)]
+    keeps = told.groupBy("u").agg(*shared).join(facts, F.col("u") == F.col("node"))
+    # of very frequent signatures a document may leave as many as it has spare ones
+    keeps = keeps.select("u", *[(F.coalesce(f"all{k}", F.lit(0)) > F.col(f"spare{k}")).alias(f"any{k}") for k in (0, 1)], *[(F.col(f"loud{k}") > F.col(f"spare{k}")).alias(f"keeps{k}") for k in (0, 1)])
+    own = lambda name: F.when(F.col("slot") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    some = beside(told, cut(keeps.where("any0 or any1")), "u").where(own("any") & (~F.col("loud") | own("keeps")))
     # stars of candidates: the head is one of them, but where it stands for a frequent signature
-    stars = cut(told.where("not loud").select("u", "v").unionByName(some.select("u", "v")).distinct())
+    stars = cut(some.select("u", "v").distinct())
+    alone = stars.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    stars = cut(stars.join(alone.hint("merge"), "v").select("u", "v"))
     # few candidates are left by the coarse profiles, and only these are held against each other by fine ones
     near = _near_stars(stars, facts, "profile", num, den, apart=True)
     edges = _near_stars(near, facts, "fine", num, den)
